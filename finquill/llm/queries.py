@@ -10,6 +10,37 @@ from pyspark.sql import functions as F
 from finquill.llm.common import table
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from finquill.llm.pii import BASE, pii_spans, spans_text
+
+    spans = F.col("spans")
+    base = F.filter(spans, lambda s: s["kind"].isin(*BASE))
+    return pii_spans(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        *[F.size(F.filter(spans, lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in BASE],
+        F.sha2(spans_text(base), 256).alias("base_sha256"),
+        spans_text(spans).alias("spans"),
+        F.coalesce(F.array_max(F.transform(spans, lambda s: s["score"])), F.lit(0.0)).alias("top_score"),
+    )
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from finquill.llm.decontamination import find_contamination
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    x = F.col("contamination")
+    n_hit = F.aggregate(x["spans"], F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["start"]).cast("long"))
+    return find_contamination(docs, table(spark, sf_dir, "benchmark")).select(
+        "doc_id",
+        x["n_words"].alias("n_words"),
+        n_hit.alias("n_hit"),
+        F.size(x["item_ids"]).cast("long").alias("n_items"),
+        F.sha2(F.array_join(x["item_ids"], ","), 256).alias("items_sha256"),
+        (F.size(x["spans"]) > 0).alias("contaminated"),
+        x["longest"].cast("long").alias("longest_match"),
+    )
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -25,6 +56,8 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_pii": op6_pii,
+    "op7_decontamination": op7_decontamination,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
