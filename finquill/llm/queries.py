@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finquill.llm.common import table
+from finquill.llm.common import table, text_remainder
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from finquill.llm.language_id import identify, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = train(docs, text_remainder(F.col("doc_id"), 4) != 2)
+    return identify(docs, model).select(
+        "doc_id",
+        F.coalesce(text_remainder(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"),
+        "lang_pred",
+        "score",
+        F.array_join(F.transform("mixture", lambda x: F.concat_ws(":", x["lang"], x["share"].cast("string"))), ",").alias("mixture"),
+    )
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +70,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_language_id": op5_language_id,
     "op6_pii": op6_pii,
     "op7_decontamination": op7_decontamination,
     "op10_sentencepiece": op10_sentencepiece,
