@@ -10,6 +10,34 @@ from pyspark.sql import functions as F
 from finquill.llm.common import table, text_remainder
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from finquill.llm.toxicity import DECISION, score, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = train(docs, table(spark, sf_dir, "labels"), text_remainder(F.col("doc_id"), 3) != 1)
+    return score(docs, model).select(
+        "doc_id",
+        F.coalesce(text_remainder(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= DECISION).cast("int").alias("predicted"),
+        "threshold",
+        "flagged",
+    )
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from finquill.llm.quality import DECISION, score, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(docs, table(spark, sf_dir, "labels"), text_remainder(F.col("doc_id"), 5) != 0)
+    return score(docs, model).select(
+        "doc_id",
+        F.coalesce(text_remainder(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= DECISION).cast("int").alias("predicted"),
+    )
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from finquill.llm.language_id import identify, train
 
@@ -70,6 +98,8 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op3_quality": op3_quality,
     "op5_language_id": op5_language_id,
     "op6_pii": op6_pii,
     "op7_decontamination": op7_decontamination,
