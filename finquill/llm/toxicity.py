@@ -44,6 +44,8 @@ WIDTHS = (1, 2, 3)
 FILTERS = 8
 TOP = 4
 EPOCHS = 6
+#: Small samples are gone through more often, up to so many steps.
+STEPS = 900
 STEMS = (3, 4, 5, 6, 8)
 ENDINGS = (4,)
 DECISION = 0.7
@@ -86,7 +88,7 @@ def _flat(buckets: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
 class ConvNet:
     def __init__(self, seed: int = 1):
         r = np.random.default_rng(seed)
-        self.embed = r.normal(0, 0.3, (BUCKETS, DIM)).astype(np.float32)
+        self.embed = r.normal(0, 0.03, (BUCKETS, DIM)).astype(np.float32)
         self.conv = [r.normal(0, 0.5 / w**0.5, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
         self.conv_bias = [np.zeros(FILTERS, np.float32) for _ in WIDTHS]
         self.out = r.normal(0, 0.2, FILTERS * TOP * len(WIDTHS)).astype(np.float32)
@@ -154,7 +156,7 @@ class ConvNet:
         moments = [[np.zeros_like(p), np.zeros_like(p)] for p in parameters]
         e_moment = np.zeros(BUCKETS, np.float32)
         step, best, kept = 0, np.inf, None
-        for _ in range(EPOCHS):
+        for _ in range(max(EPOCHS, min(50, STEPS // max(1, len(own) // 32)))):
             for batch in np.array_split(r.permutation(own), max(1, len(own) // 32)):
                 step += 1
                 grads = [np.zeros_like(p) for p in parameters]
