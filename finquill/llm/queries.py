@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from finquill.llm.common import table, text_remainder
@@ -57,9 +57,13 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     spans = F.col("spans")
     base = F.filter(spans, lambda s: s["kind"].isin(*BASE))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     return pii_spans(table(spark, sf_dir, "documents")).select(
         "doc_id",
-        *[F.size(F.filter(spans, lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in BASE],
+        *map(count, BASE),
         F.sha2(spans_text(base), 256).alias("base_sha256"),
         spans_text(spans).alias("spans"),
         F.coalesce(F.array_max(F.transform(spans, lambda s: s["score"])), F.lit(0.0)).alias("top_score"),
