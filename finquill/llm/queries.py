@@ -38,6 +38,12 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from finquill.llm.ann import self_search
+
+    return self_search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from finquill.llm.language_id import identify, train
 
@@ -109,6 +115,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op3_quality": op3_quality,
+    "op4_nearest_neighbours": op4_nearest_neighbours,
     "op5_language_id": op5_language_id,
     "op6_pii": op6_pii,
     "op7_decontamination": op7_decontamination,
