@@ -5,10 +5,48 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from finquill.llm.common import cut, table
+from finquill.llm import decontamination, line_dedup, ngram_join, quality, sentencepiece_bpe
+from finquill.llm.common import cut, table, text_remainder
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier doesn't reject."""
+    model = quality.train(docs, table(spark, sf_dir, "labels"), text_remainder(F.col("doc_id"), 5) != 0)
+    return quality.keep_good(docs, model)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without repeated lines; documents of which nothing is left go."""
+    return line_dedup.drop_lines(docs)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return ngram_join.keep_one(docs)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without benchmark passages; documents that are mostly benchmark go."""
+    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of each text, and the text decoded from them."""
+    import public_tokenizers
+
+    out = sentencepiece_bpe.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("decoded").alias("text"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_classifier", quality_stage),
+    ("line_dedup", line_stage),
+    ("ngram_jaccard_join", near_stage),
+    ("benchmark_decontamination", benchmark_stage),
+    ("sentencepiece", token_stage),
+]
 
 #: The trained and iterative stages can't be written in SQL.
 ORACLE_SQL: str | None = None

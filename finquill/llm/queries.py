@@ -25,6 +25,13 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from finquill.llm.line_dedup import line_report
+
+    out = line_report(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from finquill.llm.quality import DECISION, score, train
 
@@ -120,6 +127,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_line_dedup": op2_line_dedup,
     "op3_quality": op3_quality,
     "op4_nearest_neighbours": op4_nearest_neighbours,
     "op5_language_id": op5_language_id,
