@@ -163,14 +163,17 @@ def prefix(shingles: np.ndarray, cells: np.ndarray, usual: float) -> tuple[np.nd
 
 
 def _lists(rows: DataFrame, cells: np.ndarray) -> DataFrame:
-    """(token, node, level, wanted) of all prefixes; a task emits a node once."""
+    """(token, node, info) of all prefixes; info packs the set's size, the level and the chosen l.
+
+    A task emits a node once.
+    """
     shared = rows.sparkSession.sparkContext.broadcast((cells, float(np.median(cells))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, seen = Shingler(), set()
         cells, usual = shared.value
         for batch in slices(batches):
-            tokens, nodes, levels, wanted = [], [], [], []
+            tokens, nodes, infos = [], [], []
             for text in utf8(batch.column("text")):
                 s = shingler.set_of(text)
                 if not len(s) or (node := node_of(s)) in seen:
@@ -179,23 +182,21 @@ def _lists(rows: DataFrame, cells: np.ndarray) -> DataFrame:
                 token, level, best = prefix(s, cells, usual)
                 tokens.append(token)
                 nodes.append(np.full(len(token), node))
-                levels.append(level)
-                wanted.append(np.full(len(token), best))
+                infos.append(len(s) << 8 | level << 4 | best)
             if tokens:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(tokens), pa.int64()), pa.array(np.concatenate(nodes), pa.int64()), pa.array(np.concatenate(levels).astype(np.int8), pa.int8()), pa.array(np.concatenate(wanted).astype(np.int8), pa.int8())],
-                    ["token", "node", "level", "wanted"],
-                )
+                columns = [np.concatenate(tokens), np.concatenate(nodes), np.concatenate(infos).astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["token", "node", "info"])
 
-    return rows.mapInArrow(run, "token long, node long, level byte, wanted byte")
+    return rows.mapInArrow(run, "token long, node long, info long")
 
 
-def _pairs_of(token: np.ndarray, node: np.ndarray, level: np.ndarray, wanted: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """(a, b, shared, wanted) from the lists of some tokens."""
+def _pairs_of(token: np.ndarray, node: np.ndarray, info: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(a, b, shared, wanted) from the lists of some tokens; pairs whose sizes rule out a link are left out."""
     order = np.lexsort((node, token))
-    token, node, level, wanted = token[order], node[order], level[order], wanted[order]
+    token, node, info = token[order], node[order], info[order]
     once = np.r_[True, (token[1:] != token[:-1]) | (node[1:] != node[:-1])]
-    token, node, level, wanted = token[once], node[once], level[once], wanted[once]
+    token, node, info = token[once], node[once], info[once]
+    size_of, level, wanted = info >> 8, info >> 4 & 15, info & 15
     starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
     sizes = np.diff(np.r_[starts, len(token)])
     for c in np.unique(sizes[sizes > 1]).tolist():
@@ -207,7 +208,8 @@ def _pairs_of(token: np.ndarray, node: np.ndarray, level: np.ndarray, wanted: np
         i, j = np.triu_indices(c, 1)
         i, j = at[:, i].ravel(), at[:, j].ravel()
         least = np.minimum(wanted[i], wanted[j])
-        good = (level[i] <= least) & (level[j] <= least)
+        fit = 100 * np.minimum(size_of[i], size_of[j]) >= SHARE * np.maximum(size_of[i], size_of[j])
+        good = fit & (level[i] <= least) & (level[j] <= least)
         yield node[i][good], node[j][good], np.ones(int(good.sum()), np.int64), least[good].astype(np.int64)
 
 
@@ -215,7 +217,7 @@ def _candidates(lists: DataFrame) -> DataFrame:
     """(a, b) of nodes whose prefixes share enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [tuple(np.asarray(b.column(c)) for c in ("token", "node", "level", "wanted")) for b in batches if b.num_rows]
+        held = [tuple(np.asarray(b.column(c)) for c in ("token", "node", "info")) for b in batches if b.num_rows]
         found = list(_pairs_of(*(np.concatenate(c) for c in zip(*held, strict=True)))) if held else []
         if not found:
             return
@@ -231,7 +233,11 @@ def _candidates(lists: DataFrame) -> DataFrame:
 
 
 def _sets_of(rows: DataFrame, needed: DataFrame) -> DataFrame:
-    """(node, shingles) of the documents ``needed`` (doc_id), and of a few more."""
+    """(node, shingles) of the documents ``needed`` (doc_id), and of a few more.
+
+    A shingle goes as the upper 48 bits of its hash: two sets of a thousand shingles then have a false
+    common one with a probability below 1e-8.
+    """
     mask = np.int64((1 << FILTER_BITS) - 1)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,12 +260,18 @@ def _sets_of(rows: DataFrame, needed: DataFrame) -> DataFrame:
                 if len(s) and (node := node_of(s)) not in seen:
                     seen.add(node)
                     nodes.append(node)
-                    sets.append(s.tobytes())
+                    sets.append(s.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "shingles"])
 
     return rows.withColumn("h", F.xxhash64("doc_id")).mapInArrow(run, "node long, shingles binary")
 
 
+def _unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view(np.int64).ravel()
+
+
 def linked(sets: list[np.ndarray]) -> np.ndarray:
     """Pairs (i < j, as rows) of sets that reach the threshold."""
     sizes = np.array([len(s) for s in sets])
@@ -310,7 +322,7 @@ def _verify(rows: DataFrame) -> DataFrame:
         first: dict[int, int] = {}
         for x in nodes:  # what is known to be connected isn't linked again
             forest.join(x, first.setdefault(group[x][0], x))
-        pairs = linked([np.frombuffer(group[x][1], np.int64) for x in nodes])
+        pairs = linked([_unpacked(group[x][1]) for x in nodes])
         return [(nodes[i], nodes[j]) for i, j in pairs.tolist() if forest.join(nodes[i], nodes[j])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,23 +358,22 @@ def links_of(rows: DataFrame, nodes: DataFrame, cells: np.ndarray) -> DataFrame:
     clusters = cut(components(edges).select("node", F.col("component").alias("cluster")), "shingle-clusters")
     first = nodes.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     needed = cut(clusters.join(first, "node").select("node", "cluster", "doc_id"), "shingle-needed")
-    sets = _sets_of(rows, needed.select("doc_id"))
-    sets = cut(sets.join(needed.select("node"), "node", "left_semi").dropDuplicates(["node"]), "shingle-sets")
-    large = cut(clusters.groupBy("cluster").count().where(F.col("count") > CHUNK).select("cluster", F.ceil(F.col("count") / (CHUNK * 3 // 4)).alias("n")), "shingle-large")
-    placed = clusters.join(large, "cluster", "left")
-    chunks = placed.withColumn("chunk", F.when(F.col("n").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("node"), F.col("n"))).cast("long"))
-    # a small cluster is a task of its own; of a large one, chunks with themselves and with the first
-    small = chunks.where("n is null").select("node", F.col("cluster").alias("part_of")).join(sets, "node").select(F.xxhash64("part_of").alias("key"), "node", F.col("node").alias("part"), "shingles")
-    links = _verify(small)
-    if large.limit(1).count():
-        spread = cut(chunks.where("n is not null").select("node", "cluster", "chunk", "n"), "shingle-chunks")
+    sizes = clusters.groupBy("cluster").count().where(F.col("count") > CHUNK)
+    large = cut(sizes.select("cluster", F.ceil(F.col("count") / (CHUNK * 3 // 4)).alias("n")), "shingle-large")
+    # a small cluster is a task of its own; its sets are joined and dealt once, nothing is written between
+    placed = cut(needed.join(large, "cluster", "left"), "shingle-placed")
+    small = placed.where("n is null")
+    own = small.select("node", F.col("cluster").alias("key"), F.col("node").alias("part"))
+    links = cut(_verify(_sets_of(rows, small.select("doc_id")).join(own, "node")), "shingle-links")
+    if large.limit(1).count():  # of a large one, chunks with themselves and with the first
+        chunk = F.pmod(F.xxhash64("node"), F.col("n")).cast("long").alias("chunk")
+        spread = cut(placed.where("n is not null").select("node", "cluster", "doc_id", chunk, "n"), "shingle-chunks")
+        sets = cut(_sets_of(rows, spread.select("doc_id")).join(spread.select("node"), "node", "left_semi").dropDuplicates(["node"]), "shingle-sets")
         members, where = spread.select("node", "cluster", F.col("node").alias("part")), spread.select("node", "chunk")
         each = large.select("cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j"))
         pairs = each.select("cluster", F.lit(0).cast("long").alias("i"), "j").unionByName(each.where("j > 0").select("cluster", F.col("j").alias("i"), "j"))
         links = cut(links.unionByName(_verify(_tasks(members, where, pairs.withColumn("key", F.xxhash64("cluster", "i", "j")), sets))), "shingle-links")
         links = cut(links.unionByName(_rest(spread, links, sets)), "shingle-links")
-    else:
-        links = cut(links, "shingle-links")
     return links
 
 
