@@ -56,16 +56,24 @@ def _closed(text: str) -> str:
     return text + "".join(reversed(open_brackets))
 
 
-@F.pandas_udf("string")
-def repair_json(raw: pd.Series) -> pd.Series:
+def _repair(raw: pd.Series) -> pd.Series:
     return raw.map(repaired)
 
 
-@F.pandas_udf("double")
-def token_set_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+def repair_json(raw):
+    """Column of valid JSON, or null."""
+    return F.pandas_udf(_repair, "string")(raw)
+
+
+def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_token_set(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def token_set_ratio(a, b):
+    """Similarity of the word sets of two columns, 0 to 100."""
+    return F.pandas_udf(_ratios, "double")(a, b)
+
+
 def _token_set(a: str | None, b: str | None) -> float:
     x, y = set(re.findall(r"\w+", (a or "").lower())), set(re.findall(r"\w+", (b or "").lower()))
     if not x or not y:
@@ -78,14 +86,16 @@ def _token_set(a: str | None, b: str | None) -> float:
 _NOTE = re.compile(r"(?i)\b(?:see\s+)?notes?\s*(?:no\.?)?\s*[:\-]?\s*(\d{1,2}[a-z]?)\b")
 
 
-@F.pandas_udf("array<struct<note:string,at:int>>")
-def note_refs(text: pd.Series) -> pd.Series:
+def _notes(text: pd.Series) -> pd.Series:
     return text.map(lambda t: [{"note": m[1], "at": m.start()} for m in _NOTE.finditer(t or "")])
 
 
-@F.pandas_udf("array<string>")
-def split_labels(cell: pd.Series) -> pd.Series:
-    """Known labels in a cell from left to right; where two overlap the longer one stays."""
+def note_refs(text):
+    """Column of (note, at): references to notes with their positions."""
+    return F.pandas_udf(_notes, "array<struct<note:string,at:int>>")(text)
+
+
+def _labels(cell: pd.Series) -> pd.Series:
 
     def of(text: str | None) -> list[str]:
         low = (text or "").lower()
@@ -99,6 +109,11 @@ def split_labels(cell: pd.Series) -> pd.Series:
     return cell.map(of)
 
 
+def split_labels(cell):
+    """Known labels in a cell from left to right; where two overlap the longer one stays."""
+    return F.pandas_udf(_labels, "array<string>")(cell)
+
+
 class _Grid(HTMLParser):
     """Cells of all tables with row and column spans filled in."""
 

@@ -31,8 +31,8 @@ LEVELS: tuple[tuple[str, str], ...] = (
     ("roce", "ratio(pbdit, total_assets, 4)"),
     ("wc_gap", "current_assets - creditors - coalesce(other_cl, 0)"),
     ("contribution", "net_sales - variable_cost"),
-    ("break_even_sales", "case when contribution > 0 then ratio(fixed_cost, contribution / nullif(net_sales, 0), 2) end"),
-    ("cash_break_even", "case when contribution > 0 then ratio(fixed_cost - dep, contribution / nullif(net_sales, 0), 2) end"),
+    ("break_even_sales", "case when contribution > 0 then ratio(fixed_cost, contribution / nullif(net_sales, 0), 1) end"),
+    ("cash_break_even", "case when contribution > 0 then ratio(fixed_cost - dep, contribution / nullif(net_sales, 0), 1) end"),
 )
 
 

@@ -82,7 +82,7 @@ SECTIONS: tuple[tuple[str, str, str], ...] = (
     ("fund_flow", "surplus", "capital + reserves + term_liabilities - total_assets + current_assets"),
     ("break_even", "contribution", "net_sales - variable_cost"),
     ("break_even", "pv_ratio", "ratio(net_sales - variable_cost, net_sales, 4)"),
-    ("break_even", "break_even_sales", "case when net_sales > variable_cost then ratio(fixed_cost, (net_sales - variable_cost) / nullif(net_sales, 0), 2) end"),
+    ("break_even", "break_even_sales", "case when net_sales > variable_cost then ratio(fixed_cost, (net_sales - variable_cost) / nullif(net_sales, 0), 1) end"),
     ("break_even", "fixed_next_year", "round(fixed_cost * 1.09, 4)"),
     ("dscr", "cash_accruals", "pat + dep"),
     ("dscr", "net_dscr", "ratio(pat + dep, repayment, 4)"),

@@ -234,7 +234,7 @@ def bank_summary(spark, sf):
     return _bank(spark, sf).groupBy("user_id").agg(F.sum("debit").alias("debits"), F.sum("credit").alias("credits"), F.max_by("balance", "idx").alias("closing"))
 
 
-@query("SELECT o_orderkey AS doc_id, least(CASE WHEN o_totalprice IS NOT NULL THEN 0.95 ELSE 0.0 END, CASE WHEN o_orderkey % 4 = 0 THEN 0.4 ELSE 1.0 END) AS confidence FROM orders")
+@query("SELECT o_orderkey AS doc_id, CAST(least(CASE WHEN o_totalprice IS NOT NULL THEN 0.95 ELSE 0.0 END, CASE WHEN o_orderkey % 4 = 0 THEN 0.4 ELSE 1.0 END) AS DOUBLE) AS confidence FROM orders")
 def field_confidence(spark, sf):
     o = load(spark, sf, "orders")
     values = o.select(F.col("o_orderkey").alias("doc_id"), F.lit("total").alias("field"), F.col("o_totalprice").cast("string").alias("value"))
@@ -324,7 +324,7 @@ _KIND = "SELECT conv_id, turn, s, kind FROM (SELECT conv_id, turn, s, kind, row_
 ) + ")) WHERE r = 1"
 
 
-@query(f"SELECT conv_id, turn, CASE WHEN s >= 2 THEN kind ELSE 'unknown' END AS kind, CASE WHEN s >= 2 THEN round(least(0.95, 0.55 + 0.1 * s), 2) ELSE 0.2 END AS confidence FROM ({_KIND})")
+@query(f"SELECT conv_id, turn, CASE WHEN s >= 2 THEN kind ELSE 'unknown' END AS kind, CAST(CASE WHEN s >= 2 THEN round(least(0.95, 0.55 + 0.1 * s), 2) ELSE 0.2 END AS DOUBLE) AS confidence FROM ({_KIND})")
 def doc_type_classify(spark, sf):
     kind, confidence = text.document_kind(F.col("text"))
     return load(spark, sf, "conversations").select("conv_id", "turn", kind.alias("kind"), confidence.cast("double").alias("confidence"))
@@ -507,8 +507,8 @@ def fuzzy_match(spark, sf):
     from finquill.functions.procedural import token_set_ratio
 
     p = load(spark, sf, "part").select("p_partkey", "p_name")
-    names = F.broadcast(p.select(F.col("p_brand") if "p_brand" in p.columns else F.lit("Part number 1").alias("alias")).distinct())
-    return p.join(names).select("p_partkey", "alias", token_set_ratio("p_name", "alias").alias("score")).where("score >= 72")
+    aliases = F.explode(F.array(F.lit("green part"), F.lit("small red part"))).alias("alias")
+    return p.select("p_partkey", "p_name", aliases).select("p_partkey", "alias", token_set_ratio("p_name", "alias").alias("score")).where("score >= 72")
 
 
 @query()
