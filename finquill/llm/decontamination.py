@@ -63,14 +63,12 @@ class Automaton:
         self.next: list[dict[int, int]] = [{}]
         self.link, self.len = [-1], [0]
         ends: list[set[str]] = [set()]
-        mark = -1  # a separator of its own after every item, so no match crosses items
+        mark, last = -1, 0  # a separator of its own after every item, so no match crosses items
         for name, ids in sequences:
-            last = getattr(self, "_last", 0)
             for k, c in enumerate([*ids, mark]):
                 last = self._extend(last, c, ends)
                 if k < len(ids):
                     ends[last].add(name)
-            self._last = last
             mark -= 1
         order = sorted(range(1, len(self.len)), key=self.len.__getitem__, reverse=True)
         #: the ancestor (or itself) that holds the window ending here, and the items of its windows
@@ -98,7 +96,6 @@ class Automaton:
             if self.len[s] >= window:
                 self.window_state[s] = s if self.len[parent] < window else self.window_state[parent]
             self.short[s] = self.short[parent] + tuple(own.get(s, ()))
-        del self._last
         self.pairs = np.zeros(1 << _TABLE_BITS, bool)
         for _, ids in sequences:
             a = np.array(ids, np.int64)
