@@ -47,7 +47,7 @@ from finquill.llm.components import components
 WORDS = 5
 #: 100 * intersection >= SHARE * union
 SHARE = 80
-CELL_BITS = 22
+CELL_BITS = 24
 FILTER_BITS = 25
 BLOCK_BITS = 16
 LEVELS = (1, 2, 3, 4, 6, 8)
