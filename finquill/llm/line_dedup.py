@@ -8,14 +8,19 @@
 3. Pigeonhole: of five blocks, two hash values within HAMMING = 3 bits agree on at least
    two, so distinct hash values are joined on the ten pairs of blocks.  A pair is taken
    from its first agreeing pair of blocks only.
-4. Lines of equal and near hash values are verified: 1 - edit distance / longer length
-   must reach LIKE (see ``similar_lines``).
-5. Components of verified pairs and equal lines keep their first occurrence; other
+4. A change of one word moves more than HAMMING bits of most lines, so lines also meet
+   on keys of their words (see ``word_keys``): a run of SEGMENT words at the same place
+   from the start or the end, or in short lines all words but one.
+5. Lines that meet are verified: 1 - edit distance / longer length must reach LIKE (see
+   ``similar_lines`` and ``similar_by_words``).
+6. Components of verified pairs and equal lines keep their first occurrence; other
    occurrences are removed.
 
-What the SimHash doesn't bring within HAMMING bits isn't compared; equal lines are
-always found.  Only distinct lines meet in the join, so a line that a third of all
-documents share is one row there.
+A pair that is alike but whose changes leave no key in common and more than HAMMING
+bits of difference isn't compared (changes in every run of words); equal lines and lines
+that differ in one word are found, except in lines of up to SHORT words some changes of
+a word of about a quarter of the line or more.  Only distinct lines meet, so
+a line that a third of all documents share is one row there.
 
 Edge cases: null texts have no lines and stay null; blank lines are never removed;
 a document all of whose lines go keeps an empty text (``drop_lines`` can drop it);
@@ -40,6 +45,10 @@ LIKE = 0.8
 #: (shift, mask) of the five blocks.
 BLOCKS = ((0, 0x1FFF), (13, 0x1FFF), (26, 0x1FFF), (39, 0x1FFF), (52, 0xFFF))
 SLICES = 5
+#: Words of a run that two lines share.
+SEGMENT = 4
+#: Lines of up to so many words are also compared without one of them.
+SHORT = 2 * SEGMENT
 
 
 def normalised(line: Column) -> Column:
@@ -93,6 +102,37 @@ def first_key(x: Column) -> Column:
     return reduce(lambda rest, n: F.when(free[_PAIRS[n][0]] & free[_PAIRS[n][1]], F.lit(n)).otherwise(rest), reversed(range(len(_PAIRS))), F.lit(-1))
 
 
+def word_keys(lines: DataFrame, column: str = "line") -> DataFrame:
+    """``lines`` with ``keys``: what lines that differ in some of their words have in common.
+
+    From 2 * SEGMENT words on, each run of SEGMENT words with its number from the start
+    and from the end: n words have n // SEGMENT runs either way, so a pair with fewer
+    replaced words shares one, and so does a pair with one inserted or dropped passage
+    that leaves a run before or after it.  Up to SHORT words, the line itself and the line
+    without each word; of a word too long to be replaced as a whole, a half stays.
+    """
+    rows = lines.withColumn("_w", F.split(column, " ")).withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w))).withColumn("_n", F.size("_w"))
+    numbers = F.sequence(F.lit(0), F.floor(F.col("_n") / SEGMENT).cast("int") - 1)
+    ahead = F.transform(numbers, lambda i: F.xxhash64(F.lit(1), i, F.slice("_h", i * SEGMENT + 1, SEGMENT)))
+    behind = F.transform(numbers, lambda i: F.xxhash64(F.lit(2), i, F.slice("_h", F.col("_n") - (i + 1) * SEGMENT + 1, SEGMENT)))
+
+    def without(w: Column, i: Column) -> Column:
+        def key(*instead: Column) -> Column:
+            return F.xxhash64(F.lit(3), F.concat(F.slice("_h", F.lit(1), i), F.array(*instead).cast("array<bigint>"), F.slice("_h", i + 2, F.lit(SHORT))))
+
+        n = F.char_length(w)
+        # the halves of a word of n characters and of one of n - 1, so that one character may be new
+        sizes = [F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")]
+        halves = [key(F.xxhash64(F.lit(4), F.substring(w, F.lit(1), k))) for k in sizes]
+        halves += [key(F.xxhash64(F.lit(5), F.substring(w, n - k + 1, k))) for k in (n - sizes[0], n - 1 - sizes[1])]
+        return F.when(n <= F.char_length(F.col(column)) * (1 / LIKE - 1) + 1, F.array(key())).otherwise(F.array_distinct(F.array(*halves)))
+
+    none = F.array().cast("array<bigint>")
+    long = F.when(F.col("_n") >= 2 * SEGMENT, F.concat(ahead, behind)).otherwise(none)
+    short = F.when(F.col("_n") <= SHORT, F.concat(F.array(F.xxhash64(F.lit(3), F.col("_h"))), F.flatten(F.transform("_w", without)))).otherwise(none)
+    return rows.withColumn("keys", F.concat(long, short)).drop("_w", "_h", "_n")
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc_id, at, line) of every line that isn't blank, normalised."""
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("at", "raw"))
@@ -165,17 +205,40 @@ def similar_lines(whole: DataFrame, lines: DataFrame, key: Column) -> DataFrame
     return edges.unionByName(rest.where("alike").select("a_key", "b_key")).select(F.col("a_key").alias("a"), F.col("b_key").alias("b"))
 
 
-def duplicate_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, at) of every line occurrence to remove."""
+def similar_by_words(whole: DataFrame, lines: DataFrame, key: Column) -> DataFrame:
+    """Edges (a, b) between keys of distinct lines that are alike and share one of ``word_keys``.
+
+    The lines of a key are compared with the smallest of them, lines unlike it with all.
+    """
+    # an outer explode: of the other, Spark makes a filter that computes all keys once more
+    sides = word_keys(lines).select(F.explode_outer("keys").alias("block"), key.alias("key"), F.char_length("line").alias("n"))
+    met = sides.groupBy("block").agg(F.min("key").alias("rep"), F.max("key").alias("top")).where("rep <> top")
+    met = cut(met.select("block", "rep"), "word-keys")
+    members = cut(sides.join(met, "block").select("block", "rep", "key", "n").distinct(), "word-members")
+    touched = members.select("key").distinct().join(whole.select("key", "first.doc_id", "first.at"), "key").withColumnRenamed("key", "_key")
+    texts = cut(lines.join(touched, ["doc_id", "at"]).where(key == F.col("_key")).select(F.col("_key").alias("key"), "line").dropDuplicates(["key"]), "word-texts")
+    star = members.where("key <> rep").select(F.col("rep").alias("a_key"), F.col("key").alias("b_key")).distinct()
+    star = _verified(star, texts, "word-stars")
+    unlike = star.where("not alike").select(F.col("a_key").alias("rep"), F.col("b_key").alias("key"))
+    stray = members.join(unlike, ["rep", "key"]).select("block", F.col("key").alias("a"), F.col("n").alias("m"))
+    rest = stray.join(members.where("key <> rep").select("block", F.col("key").alias("b"), "n"), "block").where("a <> b")
+    rest = rest.where(F.abs(F.col("m") - F.col("n")) <= F.floor(F.greatest("m", "n") * (1 - LIKE) + 1e-9))
+    rest = rest.select(F.least("a", "b").alias("a_key"), F.greatest("a", "b").alias("b_key")).distinct()
+    rest = _verified(rest, texts, "word-rest")
+    return star.unionByName(rest).where("alike").select(F.col("a_key").alias("a"), F.col("b_key").alias("b"))
+
+
+def duplicate_lines(docs: DataFrame, by_words: bool = False) -> DataFrame:
+    """(doc_id, at) of every line occurrence to remove; without ``by_words``, what SimHash alone finds."""
     key = F.xxhash64("line", F.lit(1))
     lines = lines_of(docs)
     seen = with_simhash(lines).select(key.alias("key"), "s", "doc_id", "at")
     seen = cut(seen, "lines")
     whole = seen.groupBy("key").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("times"), F.min("s").alias("s"))
     whole = cut(whole, "distinct-lines")
-    edges = similar_lines(whole, lines, key)
-    if edges is not None:
-        groups = components(edges)
+    found = [e for e in (similar_lines(whole, lines, key), similar_by_words(whole, lines, key) if by_words else None) if e is not None]
+    if found:
+        groups = components(reduce(DataFrame.unionByName, found))
         named = whole.join(groups, whole.key == groups.node, "left").select("key", "first", "times", "component")
     else:
         named = whole.select("key", "first", "times", F.lit(None).cast("long").alias("component"))
@@ -188,7 +251,7 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
 
 def line_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed and removed (line numbers from 0, ascending) of each document."""
-    gone = duplicate_lines(docs).groupBy("doc_id").agg(F.sort_array(F.collect_list("at")).alias("removed"))
+    gone = duplicate_lines(docs, by_words=True).groupBy("doc_id").agg(F.sort_array(F.collect_list("at")).alias("removed"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
     rows = rows.withColumn("n_lines", F.greatest("n_lines", F.lit(0).cast("long")))
     none = F.array().cast("array<int>")
@@ -200,7 +263,7 @@ def drop_lines(docs: DataFrame, keep_emptied: bool = False) -> DataFrame:
 
     Documents that lose all their lines go, unless ``keep_emptied``.
     """
-    gone = cut(duplicate_lines(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("at").alias("_removed")), "removed-lines")
+    gone = cut(duplicate_lines(docs, by_words=True).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("at").alias("_removed")), "removed-lines")
     rows = docs.join(gone, docs["doc_id"] == gone["_id"], "left")
     kept = F.array_join(F.filter(F.split(docs["text"], "\n"), lambda line, i: ~F.array_contains(gone["_removed"], i)), "\n")
     text = F.when(gone["_removed"].isNull(), docs["text"]).otherwise(kept)
