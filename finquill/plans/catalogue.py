@@ -183,7 +183,7 @@ def unit_outlier(spark, sf):
 @query(f"SELECT company, field, fy, doc_ord, confidence FROM {_BEST} WHERE confidence < 0.75 AND confidence > 0.45")
 def low_confidence(spark, sf):
     found = merge.best_of_documents(_candidates(spark, sf), ["company", "field", "fy"])
-    return quality.low_confidence(found).where("confidence > 0.45").select("company", "field", "fy", "doc_ord", "confidence")
+    return quality.low_confidence(found).select("company", "field", "fy", "doc_ord", "confidence")
 
 
 _LINES = "SELECT l_orderkey, sum(CAST(round(l_extendedprice * (1 - l_discount) * (1 + l_tax) * 100) AS BIGINT)) AS cents, count(*) AS n FROM lineitem GROUP BY l_orderkey"
