@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import itertools
+import ctypes
+import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -34,34 +35,79 @@ def text_remainder(doc_id: Column, modulus: int) -> Column:
 def scratch(spark: SparkSession, what: str) -> str:
     """A new path below the checkpoint folder that all executors share.
 
-    The setting ``spark.checkpoint.dir`` is read; only where it is unset (tests
-    on one machine) a folder in /tmp takes its place.
+    The setting ``spark.checkpoint.dir`` is read.  Only where it is unset and the
+    master is local (one machine, as in tests) a folder in /tmp takes its place; on a
+    cluster an unset folder is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", "") or "file:///tmp/finquill-checkpoints"
+    base = spark.conf.get("spark.checkpoint.dir", "") or ""
+    if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
+        base = "file:///tmp/finquill-checkpoints"
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+#: Spark's setting to delete shuffle files once the execution that made them ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame, what: str) -> DataFrame:
     """``df`` written as Parquet below the checkpoint folder and read again.
 
     The files are committed and shared, so a lost executor costs nothing that
-    has been written, and the lineage behind them is gone.
+    has been written, and the lineage behind them is gone.  Shuffle files of the step
+    go as soon as it is written.
     """
     spark, path = df.sparkSession, scratch(df.sparkSession, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, *frames_or_paths) -> None:
-    """Delete what ``cut`` or ``scratch`` wrote, once nothing reads it any more."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def remove(spark: SparkSession, *frames_or_paths: DataFrame | str | None) -> None:
+    """Delete what ``cut`` (its own frame) or ``scratch`` wrote, once nothing reads it any more."""
     jvm = spark.sparkContext._jvm
     for x in frames_or_paths:
-        path = jvm.org.apache.hadoop.fs.Path(x if isinstance(x, str) else x.inputFiles()[0].rsplit("/", 1)[0])
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        if name := x if isinstance(x, str) else getattr(x, "scratch_path", None):
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_SLOT: list[tuple[object, object]] = []
+
 
+def worker_slot(key: object, make: Callable[[], object]) -> object:
+    """What ``make`` builds, kept in the Python worker until another key is asked for.
+
+    Workers serve many tasks of many operators; there is one slot, so a worker never holds
+    the tables of two operators.
+    """
+    if not _SLOT or _SLOT[0][0] != key:
+        tidy()
+        _SLOT.append((key, make()))
+    return _SLOT[0][1]
+
+
+def tidy() -> None:
+    """Give memory of the Python worker back to the system."""
+    _SLOT.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # only in glibc
+        pass
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that ``column`` has about SLICE_BYTES in each.
+
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size_limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut record batches so that ``column`` has about ``size_limit`` bytes in each.
 
     A single text above that size is a slice of its own.
     """
@@ -71,7 +117,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
         lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
         start = size = 0
         for i, n in enumerate(lengths):
-            if size and size + n > SLICE_BYTES:
+            if size and size + n > size_limit:
                 yield batch.slice(start, i - start)
                 start, size = i, 0
             size += n
@@ -98,9 +144,3 @@ def fixed_sample(df: DataFrame, key: str, rows: int, seed: int) -> DataFrame:
     cells = 1 << 30
     picked = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(cells)) < F.lit(int(share * cells))
     return df.where(picked).limit(rows)
-
-
-def chunked(items: list, n: int) -> Iterator[list]:
-    it = iter(items)
-    while part := list(itertools.islice(it, n)):
-        yield part

@@ -1,261 +1,293 @@
 """Fuzzy line deduplication in DataFrame operations only.
 
-1. Lines are normalised (trimmed, lower case).  Equal ones are collapsed first by a
-   partial aggregate that keeps the first occurrence: the smallest (doc_id, line).
-2. Each distinct line gets a 64-bit SimHash of its FEATURES smallest distinct word
-   hashes (a consistent sample of the whole line).  Votes are counted for all 64 bits
-   at once with bit-sliced counters.
-3. Pigeonhole: of five blocks, two hash values within HAMMING = 3 bits agree on at least
-   two, so distinct hash values are joined on the ten pairs of blocks.  A pair is taken
-   from its first agreeing pair of blocks only.
-4. A change of one word moves more than HAMMING bits of most lines, so lines also meet
-   on keys of their words (see ``word_keys``): a run of SEGMENT words at the same place
-   from the start or the end, or in short lines all words but one.
-5. Lines that meet are verified: 1 - edit distance / longer length must reach LIKE (see
-   ``similar_lines`` and ``similar_by_words``).
-6. Components of verified pairs and equal lines keep their first occurrence; other
+1. Lines are normalised (trimmed, lower case) and named by a 128-bit hash.  Equal lines
+   are grouped by partial aggregates that keep the first occurrence.
+2. Pigeonhole blocks.  A line is cut into runs of whole words, from its start and from
+   its end; each run's number and words make a block (see ``with_blocks``).  Two lines of
+   which fewer words differ than there are blocks share one, wherever the changes are.
+   Lines are joined on equal blocks.
+3. In a block every line is compared with the smallest one; lines unlike it are also
+   compared with all lines of the block that are near by SimHash and length.
+4. SimHash.  Lines that meet get a 64-bit SimHash of all their words.  Pairs more than
+   ``HAMMING`` bits apart aren't alike; the others are verified: 1 - edit distance /
+   longer length must reach ``LIKE``.
+5. Components of verified pairs and equal lines keep their first occurrence; other
    occurrences are removed.
 
-A pair that is alike but whose changes leave no key in common and more than HAMMING
-bits of difference isn't compared (changes in every run of words); equal lines and lines
-that differ in one word are found, except in lines of up to SHORT words some changes of
-a word of about a quarter of the line or more.  Only distinct lines meet, so
-a line that a third of all documents share is one row there.
+Blocks are cut from the words, not from the SimHash: one changed word of twenty flips
+about 8 of 64 bits, so blocks of SimHash bits that stay selective at 1e11 lines find a
+third of the lines with one changed word only (figures in the README).
 
 Edge cases: null texts have no lines and stay null; blank lines are never removed;
 a document all of whose lines go keeps an empty text (``drop_lines`` can drop it);
-rows that repeat a doc_id are one document; rows with a null doc_id are left as they
-are; very long lines are whole; other columns are kept.
+rows that repeat a doc_id and a text are one document, rows of one doc_id with other
+texts are documents of their own, ordered by a hash of the text; rows with a null
+doc_id are left as they are; very long lines are whole; other columns are kept,
+whatever their names.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from finquill.llm.common import cut
+from finquill.llm.common import cut, remove
 from finquill.llm.components import components
 
-FEATURES = 31
-HAMMING = 3
 LIKE = 0.8
-#: (shift, mask) of the five blocks.
-BLOCKS = ((0, 0x1FFF), (13, 0x1FFF), (26, 0x1FFF), (39, 0x1FFF), (52, 0xFFF))
-SLICES = 5
-#: Words of a run that two lines share.
+#: SimHash bits in which lines that are alike may differ.
+HAMMING = 24
+#: Least words of a run, and runs from either end of a line.
 SEGMENT = 4
-#: Lines of up to so many words are also compared without one of them.
+RUNS = 4
+#: Lines of up to so many words are also joined without one of them.
 SHORT = 2 * SEGMENT
+#: The filter of keys has 2**FILTER_BITS cells of 64 bits (some 10 MB in memory).
+FILTER_BITS = 18
+#: Sums of SimHash votes: so many bits of a sum in a long, so many bits each.
+LANES, LANE_BITS = 3, 21
 
 
 def normalised(line: Column) -> Column:
     return F.lower(F.trim(line))
 
 
-def with_simhash(lines: DataFrame, column: str = "line") -> DataFrame:
-    """``lines`` with ``s``, the 64-bit SimHash of a normalised line.
+def with_simhash(lines: DataFrame, key: str = "key", column: str = "line") -> DataFrame:
+    """(key, s) of distinct keys: the 64-bit SimHash of a line's distinct words, all of them.
 
-    Each step is a column of its own, so no word is hashed twice.
+    Words become rows; the 64 vote counts are sums packed into longs, so that the
+    aggregate is compiled and combines before the shuffle.  A line of 2**20 words or more
+    has no SimHash (null), which rules nothing out.
+    """
+    words = F.array_distinct(F.split(column, " "))
+    rows = lines.select(F.col(key).alias("_key"), F.explode(words).alias("_word"), F.size(words).alias("_n")).where(F.col("_n") < 1 << (LANE_BITS - 1))
+    rows = rows.select("_key", "_n", F.xxhash64("_word").alias("_h"))
+    per = -(-64 // LANES)
+    spread = sum(1 << (LANE_BITS * j) for j in range(LANES))
+
+    def lane(i: int) -> Column:
+        out = F.lit(0).cast("long")
+        for j in range(LANES):
+            if (bit := i + per * j) < 64:
+                out = out + F.shiftleft(F.shiftrightunsigned("_h", bit).bitwiseAND(F.lit(1).cast("long")), LANE_BITS * j)
+        return out
+
+    assert spread.bit_length() <= 63
+    sums = rows.groupBy("_key").agg(F.max("_n").alias("_n"), *[F.sum(lane(i)).alias(f"_v{i}") for i in range(per)])
+    s = F.lit(0).cast("long")
+    for j in range(LANES):
+        for i in range(per):
+            if (bit := i + per * j) < 64:
+                votes = F.shiftrightunsigned(f"_v{i}", LANE_BITS * j).bitwiseAND(F.lit((1 << LANE_BITS) - 1).cast("long"))
+                s = s.bitwiseOR(F.when(2 * votes > F.col("_n"), F.lit(1 << bit if bit < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")))
+    return sums.select(F.col("_key").alias(key), s.alias("s"))
+
+
+def with_blocks(lines: DataFrame, column: str = "line") -> DataFrame:
+    """``lines`` with the column blocks, an array of hashes.
+
+    From 2 * SEGMENT words on: the first RUNS and the last RUNS runs of L words, numbered
+    from their end; L is SEGMENT up to 31 words and doubles whenever the words do, so a
+    line of 4 * SEGMENT words or more has at least RUNS runs.  A line whose words are
+    just above a doubling also has the runs of half the length, so that a line some words
+    shorter meets it.  Up to SHORT words: the line itself and the line without each word;
+    of a word too long to be replaced as a whole, a half stays.
+
+    Words and lengths are columns of their own, so that they are computed once.
     """
-    words = F.array_sort(F.array_distinct(F.transform(F.split(column, " "), lambda w: F.xxhash64(w))))
-    rows = lines.withColumn("_words", F.slice(words, 1, FEATURES))
 
-    def add(acc: Column, h: Column) -> Column:
-        parts, carry = [], h
-        for k in range(SLICES):
-            parts.append(acc[f"c{k}"].bitwiseXOR(carry).alias(f"c{k}"))
-            carry = carry.bitwiseAND(acc[f"c{k}"])
-        return F.struct(*parts)
+    def length_of(n: Column) -> Column:
+        return F.greatest(F.lit(SEGMENT), F.call_function("shiftleft", F.lit(1), F.length(F.bin(n.cast("long"))) - 3))
 
-    zero = F.struct(*[F.lit(0).cast("long").alias(f"c{k}") for k in range(SLICES)])
-    votes = F.aggregate(F.transform("_words", lambda h: F.xxhash64(h)), zero, add)
-    rows = rows.withColumn("_half", F.floor(F.size("_words") / 2).cast("int")).withColumn("_votes", votes)
-    # votes > half, for all bits at once: compare the sliced counters with n // 2
-    more, same = F.lit(0).cast("long"), F.lit(-1).cast("long")
-    for k in reversed(range(SLICES)):
-        bit = -F.shiftright(F.col("_half"), k).bitwiseAND(1).cast("long")
-        count = F.col(f"_votes.c{k}")
-        more = more.bitwiseOR(same.bitwiseAND(count).bitwiseAND(F.bitwise_not(bit)))
-        same = same.bitwiseAND(F.bitwise_not(count.bitwiseXOR(bit)))
-    return rows.withColumn("s", more).drop("_words", "_half", "_votes")
+    rows = lines.withColumn("_w", F.split(column, " ")).withColumn("_n", F.size("_w"))
+    rows = rows.withColumn("_usual", length_of(F.col("_n"))).withColumn("_less", length_of(F.floor(F.col("_n") * LIKE)))
+    w, n = F.col("_w"), F.col("_n")
+    keys = []
+    for size, wanted in ((F.col("_usual"), F.lit(True)), (F.col("_less"), F.col("_less") != F.col("_usual"))):
+        for k in range(RUNS):
+            fit = wanted & (n >= 2 * SEGMENT) & (n >= size * (k + 1))
+            keys.append(F.when(fit, F.xxhash64(F.lit(1), size, F.lit(k), F.slice(w, size * k + 1, size))))
+            keys.append(F.when(fit, F.xxhash64(F.lit(2), size, F.lit(k), F.slice(w, n - size * (k + 1) + 1, size))))
 
+    def without(word: Column, i: Column) -> Column:
+        def key(*instead: Column) -> Column:
+            return F.xxhash64(F.lit(3), F.concat(F.slice(w, F.lit(1), i), F.array(*instead).cast("array<string>"), F.slice(w, i + 2, F.lit(SHORT))))
 
-def _block(s: Column, k: int) -> Column:
-    shift, mask = BLOCKS[k]
-    return F.shiftrightunsigned(s, shift).bitwiseAND(F.lit(mask).cast("long"))
+        m = F.char_length(word)
+        # the halves of a word of m characters and of one of m - 1, so that one character may be new
+        sizes = [F.floor(m / 2).cast("int"), F.floor((m - 1) / 2).cast("int")]
+        halves = [key(F.concat(F.lit("\x01"), F.substring(word, F.lit(1), k))) for k in sizes]
+        halves += [key(F.concat(F.lit("\x02"), F.substring(word, m - k + 1, k))) for k in (m - sizes[0], m - 1 - sizes[1])]
+        return F.when(m <= F.char_length(F.col(column)) * (1 / LIKE - 1) + 1, F.array(key())).otherwise(F.array_distinct(F.array(*halves)))
+
+    none = F.array().cast("array<bigint>")
+    short = F.when(n <= SHORT, F.concat(F.array(F.xxhash64(F.lit(3), w)), F.flatten(F.transform(w, without)))).otherwise(none)
+    rows = rows.withColumn("_runs", F.array(*keys)).withColumn("_short", short)
+    return rows.withColumn("blocks", F.concat(F.array_compact("_runs"), "_short")).drop("_w", "_n", "_usual", "_less", "_runs", "_short")
 
 
-_PAIRS = list(combinations(range(len(BLOCKS)), 2))
+def lines_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, mark, at, line) of every line that isn't blank, normalised; mark is a hash of the text."""
+    rows = docs.where("doc_id is not null and text is not null")
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.posexplode(F.split("text", "\n")).alias("at", "raw"))
+    return rows.where(F.trim("raw") != "").select("doc_id", "mark", "at", normalised(F.col("raw")).alias("line"))
 
 
-def block_keys(s: Column) -> Column:
-    """A key per pair of blocks."""
-    return F.array(*[F.shiftleft(_block(s, i), 30).bitwiseOR(F.shiftleft(_block(s, j), 8)).bitwiseOR(F.lit(n).cast("long")) for n, (i, j) in enumerate(_PAIRS)])
+def _filter_of(keys: DataFrame) -> DataFrame:
+    """A bit for each ``key``: (cell, bits), at most 2**FILTER_BITS rows, written."""
+    cell, bit = _cell_and_bit()
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    return cut(keys.select(cell.alias("cell"), one.alias("bits")).groupBy("cell").agg(F.bit_or("bits").alias("bits")), "key-filter")
 
 
-def first_key(x: Column) -> Column:
-    """Number of the first pair of blocks in which the xor ``x`` of two hashes is 0."""
-    free = [_block(x, k) == 0 for k in range(len(BLOCKS))]
-    return reduce(lambda rest, n: F.when(free[_PAIRS[n][0]] & free[_PAIRS[n][1]], F.lit(n)).otherwise(rest), reversed(range(len(_PAIRS))), F.lit(-1))
+def _cell_and_bit() -> tuple[Column, Column]:
+    h = F.xxhash64("key")
+    return h.bitwiseAND(F.lit((1 << FILTER_BITS) - 1).cast("long")), F.shiftrightunsigned(h, FILTER_BITS).bitwiseAND(F.lit(63).cast("long")).cast("int")
 
 
-def word_keys(lines: DataFrame, column: str = "line") -> DataFrame:
-    """``lines`` with ``keys``: what lines that differ in some of their words have in common.
+def _maybe(rows: DataFrame, marked: DataFrame) -> DataFrame:
+    """``rows`` whose ``key`` may be marked: all that are, and few others while the filter isn't full.
 
-    From 2 * SEGMENT words on, each run of SEGMENT words with its number from the start
-    and from the end: n words have n // SEGMENT runs either way, so a pair with fewer
-    replaced words shares one, and so does a pair with one inserted or dropped passage
-    that leaves a run before or after it.  Up to SHORT words, the line itself and the line
-    without each word; of a word too long to be replaced as a whole, a half stays.
+    The filter has a fixed size, so it is broadcast; beyond it rows only go to a shuffle that
+    would else take all of them.
     """
-    rows = lines.withColumn("_w", F.split(column, " ")).withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w))).withColumn("_n", F.size("_w"))
-    numbers = F.sequence(F.lit(0), F.floor(F.col("_n") / SEGMENT).cast("int") - 1)
-    ahead = F.transform(numbers, lambda i: F.xxhash64(F.lit(1), i, F.slice("_h", i * SEGMENT + 1, SEGMENT)))
-    behind = F.transform(numbers, lambda i: F.xxhash64(F.lit(2), i, F.slice("_h", F.col("_n") - (i + 1) * SEGMENT + 1, SEGMENT)))
+    cell, bit = _cell_and_bit()
+    met = rows.withColumn("cell", cell).join(F.broadcast(marked), "cell")
+    return met.where(F.call_function("shiftrightunsigned", "bits", bit).bitwiseAND(F.lit(1).cast("long")) == 1).select(*rows.columns)
 
-    def without(w: Column, i: Column) -> Column:
-        def key(*instead: Column) -> Column:
-            return F.xxhash64(F.lit(3), F.concat(F.slice("_h", F.lit(1), i), F.array(*instead).cast("array<bigint>"), F.slice("_h", i + 2, F.lit(SHORT))))
 
-        n = F.char_length(w)
-        # the halves of a word of n characters and of one of n - 1, so that one character may be new
-        sizes = [F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")]
-        halves = [key(F.xxhash64(F.lit(4), F.substring(w, F.lit(1), k))) for k in sizes]
-        halves += [key(F.xxhash64(F.lit(5), F.substring(w, n - k + 1, k))) for k in (n - sizes[0], n - 1 - sizes[1])]
-        return F.when(n <= F.char_length(F.col(column)) * (1 / LIKE - 1) + 1, F.array(key())).otherwise(F.array_distinct(F.array(*halves)))
+def _allowed() -> Column:
+    return F.floor(F.greatest("a_n", "b_n") * (1 - LIKE) + 1e-9)
 
-    none = F.array().cast("array<bigint>")
-    long = F.when(F.col("_n") >= 2 * SEGMENT, F.concat(ahead, behind)).otherwise(none)
-    short = F.when(F.col("_n") <= SHORT, F.concat(F.array(F.xxhash64(F.lit(3), F.col("_h"))), F.flatten(F.transform("_w", without)))).otherwise(none)
-    return rows.withColumn("keys", F.concat(long, short)).drop("_w", "_h", "_n")
 
-
-def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, at, line) of every line that isn't blank, normalised."""
-    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("at", "raw"))
-    return rows.select("doc_id", "at", normalised(F.col("raw")).alias("line")).where("line <> ''")
+def _near() -> Column:
+    """Whether lengths and SimHash let ``a`` and ``b`` be alike; short lines have too few words for a SimHash."""
+    short = F.least("a_words", "b_words") < 2 * SEGMENT
+    return (F.abs(F.col("a_n") - F.col("b_n")) <= _allowed()) & (short | F.coalesce(F.bit_count(F.col("a_s").bitwiseXOR(F.col("b_s"))) <= HAMMING, F.lit(True)))
 
 
 def _similar() -> Column:
     """Whether lines ``a`` and ``b`` are alike.
 
     Where the words differ one by one, the lengths of the differing words bound the
-    distance from above; only other pairs need the distance itself.
+    distance from above; only other pairs need the distance itself, of what is left
+    between their common first and last words.
     """
-    longest = F.greatest(F.char_length("a"), F.char_length("b"))
-    allowed = F.floor(longest * (1 - LIKE) + 1e-9).cast("int")
     x, y = F.split("a", " "), F.split("b", " ")
     differing = F.zip_with(x, y, lambda p, q: F.when(p == q, 0).otherwise(F.greatest(F.char_length(p), F.char_length(q))))
     bound = F.aggregate(differing, F.lit(0), lambda n, d: n + d)
-    exact = F.expr(f"levenshtein(a, b, cast(floor(greatest(char_length(a), char_length(b)) * {1 - LIKE!r} + 1e-9) as int)) >= 0")
-    return F.when(F.abs(F.char_length("a") - F.char_length("b")) > allowed, False).when((F.size(x) == F.size(y)) & (bound <= allowed), True).otherwise(exact)
 
+    def alike(ends: Column) -> Column:  # how many words are equal from the start
+        first = F.coalesce(F.array_position(ends, True), F.lit(0)).cast("int")
+        return F.when(first > 0, first - 1).otherwise(F.least(F.size(x), F.size(y)))
 
-def _verified(pairs: DataFrame, texts: DataFrame, what: str) -> DataFrame:
-    """(a_key, b_key, alike) of pairs of lines, written."""
-    one = texts.select(F.col("key").alias("a_key"), F.col("line").alias("a"))
-    other = texts.select(F.col("key").alias("b_key"), F.col("line").alias("b"))
-    return cut(pairs.join(one, "a_key").join(other, "b_key").withColumn("alike", _similar()).select(*pairs.columns, "alike"), what)
+    unequal = F.zip_with(x, y, lambda p, q: ~p.eqNullSafe(q))
+    ahead = alike(unequal)
+    behind = F.least(alike(F.zip_with(F.reverse(x), F.reverse(y), lambda p, q: ~p.eqNullSafe(q))), F.least(F.size(x), F.size(y)) - ahead)
 
+    def middle(w: Column) -> Column:
+        return F.array_join(F.slice(w, ahead + 1, F.size(w) - ahead - behind), " ")
 
-def near_hashes(hashes: DataFrame) -> DataFrame:
-    """(s, s2) with s < s2 of distinct hash values within HAMMING bits."""
-    sides = hashes.select(F.explode(block_keys(F.col("s"))).alias("block"), "s")
-    other = sides.select("block", F.col("s").alias("s2"))
-    x = F.col("s").bitwiseXOR(F.col("s2"))
-    close = (F.col("s") < F.col("s2")) & (F.bit_count(x) <= HAMMING)
-    met = sides.hint("shuffle_hash").join(other, "block")
-    return met.where(close & (first_key(x) == F.col("block").bitwiseAND(F.lit(255).cast("long")))).select("s", "s2")
+    # a threshold of levenshtein is a literal in Spark's function, an expression in SQL's
+    long = F.greatest("a_n", "b_n") > 1000
+    exact = F.call_function("levenshtein", F.when(long, middle(x)).otherwise(F.col("a")), F.when(long, middle(y)).otherwise(F.col("b")), _allowed().cast("int")) >= 0
+    return _near() & (((F.size(x) == F.size(y)) & (bound <= _allowed())) | exact)
 
 
-def similar_lines(whole: DataFrame, lines: DataFrame, key: Column) -> DataFrame | None:
-    """Edges (a, b) between keys of distinct lines that give the components of all similar pairs.
+def _side(lines: DataFrame, name: str, *more: str) -> DataFrame:
+    return lines.select(F.col("key").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("n", "words", "s")], *more)
 
-    Lines of one hash value are compared with the smallest of them, near hash values by
-    their smallest lines.  That leaves open only lines unlike their own smallest one,
-    and near values whose smallest ones are unlike; of these all pairs are compared.  So
-    a group of variants makes rows in proportion to its size.
-    """
-    groups = cut(whole.groupBy("s").agg(F.min("key").alias("rep"), F.count("*").alias("size")), "line-hashes")
-    near = cut(near_hashes(groups), "near-hashes")
-    touched = near.select("s").unionByName(near.select(F.col("s2").alias("s"))).unionByName(groups.where("size > 1").select("s")).distinct()
-    touched = cut(touched.join(groups, "s"), "touched-hashes")
-    if not touched.limit(1).count():
-        return None
-    members = cut(whole.select("s", "key", "first").join(touched, "s").select("s", "key", "rep", "size", "first.doc_id", "first.at"), "line-members")
-    found = lines.join(members.select("key", "doc_id", "at").withColumnRenamed("key", "_key"), ["doc_id", "at"]).where(key == F.col("_key"))
-    texts = cut(found.select(F.col("_key").alias("key"), "line").dropDuplicates(["key"]), "line-texts")
-    star = _verified(members.where("key <> rep").select(F.col("rep").alias("a_key"), F.col("key").alias("b_key"), "s"), texts, "line-stars")
-    reps = touched.select("s", "rep", "size")
-    cross = near.join(reps, "s").withColumnRenamed("rep", "a_key").withColumnRenamed("size", "n1").join(reps.select(F.col("s").alias("s2"), F.col("rep").alias("b_key"), F.col("size").alias("n2")), "s2")
-    cross = _verified(cross.select("a_key", "b_key", "s", "s2", "n1", "n2"), texts, "line-crosses")
-    edges = star.where("alike").select("a_key", "b_key").unionByName(cross.where("alike").select("a_key", "b_key"))
-    # what is open: stray lines against their own and near values, near values with unlike smallest lines
-    stray = star.where("not alike").select("s", F.col("b_key").alias("key"))
-    both = near.unionByName(near.select(F.col("s2").alias("s"), F.col("s").alias("s2")))
-    against = stray.select("key", F.col("s").alias("t")).unionByName(stray.join(both, "s").select("key", F.col("s2").alias("t")))
-    apart = cross.where("not alike and n1 * n2 > 1").select("s", "s2")
-    own = members.select("s", "key")
-    against = against.unionByName(apart.join(own, "s").select("key", F.col("s2").alias("t")))
-    rest = against.join(own.select(F.col("s").alias("t"), F.col("key").alias("b_key")), "t").where("key <> b_key")
-    rest = _verified(rest.select(F.col("key").alias("a_key"), "b_key").distinct(), texts, "line-rest")
-    return edges.unionByName(rest.where("alike").select("a_key", "b_key")).select(F.col("a_key").alias("a"), F.col("b_key").alias("b"))
-
-
-def similar_by_words(whole: DataFrame, lines: DataFrame, key: Column) -> DataFrame:
-    """Edges (a, b) between keys of distinct lines that are alike and share one of ``word_keys``.
-
-    The lines of a key are compared with the smallest of them, lines unlike it with all.
-    """
-    # an outer explode: of the other, Spark makes a filter that computes all keys once more
-    sides = word_keys(lines).select(F.explode_outer("keys").alias("block"), key.alias("key"), F.char_length("line").alias("n"))
+
+def _verified(pairs: DataFrame, texts: DataFrame, what: str) -> DataFrame:
+    """(a, b, alike) of pairs of keys, written."""
+    one = _side(texts, "x", F.col("line").alias("_a")).toDF("_x", "a_n", "a_words", "a_s", "_a")
+    other = _side(texts, "x", F.col("line").alias("_b")).toDF("_y", "b_n", "b_words", "b_s", "_b")
+    met = pairs.join(one, pairs.a == one["_x"]).join(other, pairs.b == other["_y"])
+    met = met.select(F.col("_x"), F.col("_y"), F.col("_a").alias("a"), F.col("_b").alias("b"), *[f"{k}_{c}" for k in "ab" for c in ("n", "words", "s")])
+    return cut(met.select(F.col("_x").alias("a"), F.col("_y").alias("b"), _similar().alias("alike")), what)
+
+
+def similar_lines(seen: DataFrame, docs: DataFrame, whole: DataFrame) -> DataFrame | None:
+    """Edges (a, b) between keys of distinct lines that give the components of all similar pairs found."""
+    spark = docs.sparkSession
+    sides = seen.select(F.explode("blocks").alias("block"), "key")
     met = sides.groupBy("block").agg(F.min("key").alias("rep"), F.max("key").alias("top")).where("rep <> top")
-    met = cut(met.select("block", "rep"), "word-keys")
-    members = cut(sides.join(met, "block").select("block", "rep", "key", "n").distinct(), "word-members")
-    touched = members.select("key").distinct().join(whole.select("key", "first.doc_id", "first.at"), "key").withColumnRenamed("key", "_key")
-    texts = cut(lines.join(touched, ["doc_id", "at"]).where(key == F.col("_key")).select(F.col("_key").alias("key"), "line").dropDuplicates(["key"]), "word-texts")
-    star = members.where("key <> rep").select(F.col("rep").alias("a_key"), F.col("key").alias("b_key")).distinct()
-    star = _verified(star, texts, "word-stars")
-    unlike = star.where("not alike").select(F.col("a_key").alias("rep"), F.col("b_key").alias("key"))
-    stray = members.join(unlike, ["rep", "key"]).select("block", F.col("key").alias("a"), F.col("n").alias("m"))
-    rest = stray.join(members.where("key <> rep").select("block", F.col("key").alias("b"), "n"), "block").where("a <> b")
-    rest = rest.where(F.abs(F.col("m") - F.col("n")) <= F.floor(F.greatest("m", "n") * (1 - LIKE) + 1e-9))
-    rest = rest.select(F.least("a", "b").alias("a_key"), F.greatest("a", "b").alias("b_key")).distinct()
-    rest = _verified(rest, texts, "word-rest")
-    return star.unionByName(rest).where("alike").select(F.col("a_key").alias("a"), F.col("b_key").alias("b"))
-
-
-def duplicate_lines(docs: DataFrame, by_words: bool = False) -> DataFrame:
-    """(doc_id, at) of every line occurrence to remove; without ``by_words``, what SimHash alone finds."""
-    key = F.xxhash64("line", F.lit(1))
-    lines = lines_of(docs)
-    seen = with_simhash(lines).select(key.alias("key"), "s", "doc_id", "at")
+    met = cut(met.select("block", "rep"), "line-blocks")
+    if not met.limit(1).count():
+        remove(spark, met)
+        return None
+    marked = _filter_of(met.select(F.col("block").alias("key")))
+    # members of a block, its smallest line left out
+    members = _maybe(sides.select(F.col("block").alias("key"), F.col("key").alias("line_key")), marked).select(F.col("key").alias("block"), F.col("line_key").alias("key"))
+    members = cut(members.join(met, "block").where("key <> rep").select("block", "rep", "key").distinct(), "line-members")
+    remove(spark, met, marked)
+    pairs = cut(members.select(F.col("rep").alias("a"), F.col("key").alias("b")).distinct(), "line-pairs")
+    # texts and SimHash of the lines that meet, read from their first occurrence
+    touched = cut(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct(), "line-keys")
+    marked = _filter_of(touched)
+    lines = _maybe(lines_of(docs).withColumn("key", F.xxhash64("line", F.lit(1))), marked)
+    where = whole.select("key", "first").join(touched, "key").select("key", "first.doc_id", "first.mark", "first.at")
+    found = lines.join(where, ["key", "doc_id", "mark", "at"]).select("key", "line").dropDuplicates(["key"])
+    found = cut(found.select("key", "line", F.char_length("line").alias("n"), F.size(F.split("line", " ")).alias("words")), "line-found")
+    remove(spark, touched, marked)
+    texts = cut(found.join(with_simhash(found), "key", "left"), "line-texts")
+    remove(spark, found)
+    star = _verified(pairs, texts, "line-stars")
+    remove(spark, pairs)
+    # lines unlike the smallest one of a block meet its other lines
+    stray = members.join(star.where("not alike").select(F.col("a").alias("rep"), F.col("b").alias("key")), ["rep", "key"])
+    bare = texts.select("key", "n", "words", "s")
+    stray = cut(stray.select("block", "key").join(bare, "key").select("block", *[F.col(c).alias(n) for c, n in (("key", "a"), ("n", "a_n"), ("words", "a_words"), ("s", "a_s"))]), "line-strays")
+    others = members.select("block", "key").join(stray.select("block").distinct(), "block").join(bare, "key")
+    others = others.select("block", *[F.col(c).alias(n) for c, n in (("key", "b"), ("n", "b_n"), ("words", "b_words"), ("s", "b_s"))])
+    rest = stray.join(others, "block").where((F.col("a") != F.col("b")) & _near())
+    rest = cut(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-rest-pairs")
+    more = _verified(rest, texts, "line-rest")
+    edges = cut(star.where("alike").select("a", "b").unionByName(more.where("alike").select("a", "b")), "line-edges")
+    remove(spark, members, texts, star, stray, rest, more)
+    return edges
+
+
+def duplicate_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, mark, at) of every line occurrence to remove, written."""
+    spark = docs.sparkSession
+    seen = with_blocks(lines_of(docs)).select("doc_id", "mark", "at", F.xxhash64("line", F.lit(1)).alias("key"), F.xxhash64("line", F.lit(2)).alias("key2"), "blocks")
     seen = cut(seen, "lines")
-    whole = seen.groupBy("key").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("times"), F.min("s").alias("s"))
-    whole = cut(whole, "distinct-lines")
-    found = [e for e in (similar_lines(whole, lines, key), similar_by_words(whole, lines, key) if by_words else None) if e is not None]
-    if found:
-        groups = components(reduce(DataFrame.unionByName, found))
-        named = whole.join(groups, whole.key == groups.node, "left").select("key", "first", "times", "component")
+    whole = cut(seen.groupBy("key", "key2").agg(F.min(F.struct("doc_id", "mark", "at")).alias("first"), F.count("*").alias("times")), "distinct-lines")
+    edges = similar_lines(seen, docs, whole)
+    if edges is None:
+        named = whole.select("key", "key2", "first", "times", F.lit(None).cast("long").alias("component"))
+        groups = None
     else:
-        named = whole.select("key", "first", "times", F.lit(None).cast("long").alias("component"))
+        groups = components(edges)
+        named = whole.join(groups, whole.key == groups.node, "left").select("key", "key2", "first", "times", "component")
     named = cut(named.where("times > 1 or component is not null"), "repeated-lines")
+    remove(spark, whole, edges, groups)
     least = cut(named.where("component is not null").groupBy("component").agg(F.min("first").alias("least")), "first-lines")
-    kept = cut(named.join(least, "component", "left").select("key", F.coalesce("least", "first").alias("keep")), "kept-lines")
-    gone = seen.select("key", "doc_id", "at").join(kept, "key").where("not (doc_id = keep.doc_id and at = keep.at)")
-    return gone.select("doc_id", "at").distinct()
+    kept = named.join(least, "component", "left").select("key", "key2", F.coalesce("least", "first").alias("keep"))
+    kept = cut(kept, "kept-lines")
+    remove(spark, named, least)
+    marked = _filter_of(kept.select("key"))
+    gone = _maybe(seen.select("key", "key2", "doc_id", "mark", "at"), marked).join(kept, ["key", "key2"])
+    gone = cut(gone.where("not (doc_id = keep.doc_id and mark = keep.mark and at = keep.at)").select("doc_id", "mark", "at").distinct(), "removed-lines")
+    remove(spark, seen, kept, marked)
+    return gone
+
+
+def _removed(docs: DataFrame) -> DataFrame:
+    """(_id, _mark, _gone): the numbers of removed lines of each document that has some."""
+    gone = duplicate_lines(docs)
+    return gone.groupBy(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).agg(F.sort_array(F.collect_list("at")).alias("_gone"))
 
 
 def line_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed and removed (line numbers from 0, ascending) of each document."""
-    gone = duplicate_lines(docs, by_words=True).groupBy("doc_id").agg(F.sort_array(F.collect_list("at")).alias("removed"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
-    rows = rows.withColumn("n_lines", F.greatest("n_lines", F.lit(0).cast("long")))
-    none = F.array().cast("array<int>")
-    return rows.join(gone, "doc_id", "left").select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).alias("n"), F.coalesce("removed", none).alias("removed")).select("doc_id", "n_lines", F.greatest("n", F.lit(0)).cast("long").alias("n_removed"), "removed")
+    gone = _removed(docs)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n"))
+    rows = rows.select("doc_id", "mark", F.greatest("n", F.lit(0)).cast("long").alias("n_lines"))
+    found = rows.join(gone, (rows.doc_id == gone["_id"]) & (rows.mark == gone["_mark"]), "left")
+    removed = F.coalesce("_gone", F.array().cast("array<int>"))
+    return found.select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
 
 
 def drop_lines(docs: DataFrame, keep_emptied: bool = False) -> DataFrame:
@@ -263,13 +295,16 @@ def drop_lines(docs: DataFrame, keep_emptied: bool = False) -> DataFrame:
 
     Documents that lose all their lines go, unless ``keep_emptied``.
     """
-    gone = cut(duplicate_lines(docs, by_words=True).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("at").alias("_removed")), "removed-lines")
-    rows = docs.join(gone, docs["doc_id"] == gone["_id"], "left")
-    kept = F.array_join(F.filter(F.split(docs["text"], "\n"), lambda line, i: ~F.array_contains(gone["_removed"], i)), "\n")
-    text = F.when(gone["_removed"].isNull(), docs["text"]).otherwise(kept)
-    out = rows.withColumn("_text", text)
+    gone = _removed(docs)
+    row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))  # columns of any name are safe within a struct
+    row = row.withColumn("id", F.col("row.doc_id").cast("long")).withColumn("mark", F.xxhash64("row.text"))
+    rows = row.join(gone, (row.id == gone["_id"]) & (row.mark == gone["_mark"]), "left")
+    kept = F.array_join(F.filter(F.split("row.text", "\n"), lambda line, i: ~F.array_contains("_gone", i)), "\n")
+    rows = rows.select("row", "_gone", F.when(F.col("_gone").isNull(), F.col("row.text")).otherwise(kept).alias("kept"))
     if not keep_emptied:
-        out = out.where("_removed is null or trim(_text) <> ''")
+        rows = rows.where("_gone is null or trim(kept) <> ''")
     kinds = dict(docs.dtypes)
-    made = {"text": F.col("_text"), "n_chars": F.when(F.col("_removed").isNull(), docs["n_chars"]).otherwise(F.char_length("_text").cast(kinds["n_chars"])) if "n_chars" in docs.columns else None}
-    return out.select(*[made[c].alias(c) if c in made else docs[c] for c in docs.columns])
+    made = {"text": F.col("kept")}
+    if "n_chars" in kinds:
+        made["n_chars"] = F.when(F.col("_gone").isNull(), F.col("row.n_chars")).otherwise(F.char_length("kept").cast(kinds["n_chars"]))
+    return rows.select(*[made.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
