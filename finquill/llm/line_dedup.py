@@ -6,8 +6,9 @@
    its end; each run's number and words make a block (see ``with_blocks``).  Two lines of
    which fewer words differ than there are blocks share one, wherever the changes are.
    Lines are joined on equal blocks.
-3. In a block every line is compared with the smallest one; lines unlike it are also
-   compared with all lines of the block that are near by SimHash and length.
+3. In a block every line is compared with the smallest one.  Lines unlike it are also
+   compared with the lines of the block that aren't in their group by then and are near by
+   SimHash and length; others can't join groups.
 4. SimHash.  Lines that meet get a 64-bit SimHash of all their words.  Pairs more than
    ``HAMMING`` bits apart aren't alike; the others are verified: 1 - edit distance /
    longer length must reach ``LIKE``.
@@ -44,43 +45,39 @@ RUNS = 4
 SHORT = 2 * SEGMENT
 #: The filter of keys has 2**FILTER_BITS cells of 64 bits (some 10 MB in memory).
 FILTER_BITS = 18
-#: Sums of SimHash votes: so many bits of a sum in a long, so many bits each.
-LANES, LANE_BITS = 3, 21
+#: Bits of a SimHash vote counter.
+SLICES = 16
 
 
 def normalised(line: Column) -> Column:
     return F.lower(F.trim(line))
 
 
-def with_simhash(lines: DataFrame, key: str = "key", column: str = "line") -> DataFrame:
-    """(key, s) of distinct keys: the 64-bit SimHash of a line's distinct words, all of them.
+def with_simhash(lines: DataFrame, column: str = "line") -> DataFrame:
+    """``lines`` with ``s``, the 64-bit SimHash of a line's distinct words, all of them.
 
-    Words become rows; the 64 vote counts are sums packed into longs, so that the
-    aggregate is compiled and combines before the shuffle.  A line of 2**20 words or more
-    has no SimHash (null), which rules nothing out.
+    Votes are counted for all 64 bits at once with bit-sliced counters.  A line of
+    2**SLICES distinct words or more has no SimHash (null), which rules nothing out.
     """
-    words = F.array_distinct(F.split(column, " "))
-    rows = lines.select(F.col(key).alias("_key"), F.explode(words).alias("_word"), F.size(words).alias("_n")).where(F.col("_n") < 1 << (LANE_BITS - 1))
-    rows = rows.select("_key", "_n", F.xxhash64("_word").alias("_h"))
-    per = -(-64 // LANES)
-    spread = sum(1 << (LANE_BITS * j) for j in range(LANES))
-
-    def lane(i: int) -> Column:
-        out = F.lit(0).cast("long")
-        for j in range(LANES):
-            if (bit := i + per * j) < 64:
-                out = out + F.shiftleft(F.shiftrightunsigned("_h", bit).bitwiseAND(F.lit(1).cast("long")), LANE_BITS * j)
-        return out
-
-    assert spread.bit_length() <= 63
-    sums = rows.groupBy("_key").agg(F.max("_n").alias("_n"), *[F.sum(lane(i)).alias(f"_v{i}") for i in range(per)])
-    s = F.lit(0).cast("long")
-    for j in range(LANES):
-        for i in range(per):
-            if (bit := i + per * j) < 64:
-                votes = F.shiftrightunsigned(f"_v{i}", LANE_BITS * j).bitwiseAND(F.lit((1 << LANE_BITS) - 1).cast("long"))
-                s = s.bitwiseOR(F.when(2 * votes > F.col("_n"), F.lit(1 << bit if bit < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")))
-    return sums.select(F.col("_key").alias(key), s.alias("s"))
+    rows = lines.withColumn("_words", F.array_distinct(F.split(column, " ")))
+
+    def add(acc: Column, word: Column) -> Column:
+        parts, carry = [], F.xxhash64(word)
+        for k in range(SLICES):
+            parts.append(acc[f"c{k}"].bitwiseXOR(carry).alias(f"c{k}"))
+            carry = carry.bitwiseAND(acc[f"c{k}"])
+        return F.struct(*parts)
+
+    zero = F.struct(*[F.lit(0).cast("long").alias(f"c{k}") for k in range(SLICES)])
+    rows = rows.withColumn("_half", F.floor(F.size("_words") / 2)).withColumn("_votes", F.when(F.size("_words") < 1 << SLICES, F.aggregate("_words", zero, add)))
+    # votes > half, for all bits at once: compare the sliced counters with n // 2
+    more, same = F.lit(0).cast("long"), F.lit(-1).cast("long")
+    for k in reversed(range(SLICES)):
+        bit = -F.shiftright(F.col("_half"), k).bitwiseAND(F.lit(1).cast("long"))
+        count = F.col(f"_votes.c{k}")
+        more = more.bitwiseOR(same.bitwiseAND(count).bitwiseAND(F.bitwise_not(bit)))
+        same = same.bitwiseAND(F.bitwise_not(count.bitwiseXOR(bit)))
+    return rows.withColumn("s", more).drop("_words", "_half", "_votes")
 
 
 def with_blocks(lines: DataFrame, column: str = "line") -> DataFrame:
@@ -194,14 +191,9 @@ def _similar() -> Column:
     return _near() & (((F.size(x) == F.size(y)) & (bound <= _allowed())) | exact)
 
 
-def _side(lines: DataFrame, name: str, *more: str) -> DataFrame:
-    return lines.select(F.col("key").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("n", "words", "s")], *more)
-
-
 def _verified(pairs: DataFrame, texts: DataFrame, what: str) -> DataFrame:
     """(a, b, alike) of pairs of keys, written."""
-    one = _side(texts, "x", F.col("line").alias("_a")).toDF("_x", "a_n", "a_words", "a_s", "_a")
-    other = _side(texts, "x", F.col("line").alias("_b")).toDF("_y", "b_n", "b_words", "b_s", "_b")
+    one, other = (texts.select("key", "n", "words", "s", "line").toDF(f"_{x}", f"{k}_n", f"{k}_words", f"{k}_s", f"_{k}") for x, k in (("x", "a"), ("y", "b")))
     met = pairs.join(one, pairs.a == one["_x"]).join(other, pairs.b == other["_y"])
     met = met.select(F.col("_x"), F.col("_y"), F.col("_a").alias("a"), F.col("_b").alias("b"), *[f"{k}_{c}" for k in "ab" for c in ("n", "words", "s")])
     return cut(met.select(F.col("_x").alias("a"), F.col("_y").alias("b"), _similar().alias("alike")), what)
@@ -230,24 +222,30 @@ def similar_lines(seen: DataFrame, docs: DataFrame, whole: DataFrame) -> DataFra
     found = lines.join(where, ["key", "doc_id", "mark", "at"]).select("key", "line").dropDuplicates(["key"])
     found = cut(found.select("key", "line", F.char_length("line").alias("n"), F.size(F.split("line", " ")).alias("words")), "line-found")
     remove(spark, touched, marked)
-    texts = cut(found.join(with_simhash(found), "key", "left"), "line-texts")
+    texts = cut(with_simhash(found), "line-texts")
     remove(spark, found)
     star = _verified(pairs, texts, "line-stars")
     remove(spark, pairs)
-    # lines unlike the smallest one of a block meet its other lines
+    groups = components(star.where("alike").select("a", "b"))
+    # lines unlike the smallest one of a block meet its other lines, but for those already in their group
+    parts = texts.select("key", "n", "words", "s").join(groups, texts.key == groups.node, "left")
+    parts = cut(parts.select("key", "n", "words", "s", F.coalesce("component", "key").alias("part")), "line-parts")
+    remove(spark, groups)
     stray = members.join(star.where("not alike").select(F.col("a").alias("rep"), F.col("b").alias("key")), ["rep", "key"])
-    bare = texts.select("key", "n", "words", "s")
-    stray = cut(stray.select("block", "key").join(bare, "key").select("block", *[F.col(c).alias(n) for c, n in (("key", "a"), ("n", "a_n"), ("words", "a_words"), ("s", "a_s"))]), "line-strays")
-    others = members.select("block", "key").join(stray.select("block").distinct(), "block").join(bare, "key")
-    others = others.select("block", *[F.col(c).alias(n) for c, n in (("key", "b"), ("n", "b_n"), ("words", "b_words"), ("s", "b_s"))])
-    rest = stray.join(others, "block").where((F.col("a") != F.col("b")) & _near())
+    stray = cut(stray.select("block", "key").join(parts, "key").select("block", *_as("a")), "line-strays")
+    others = members.select("block", "key").join(stray.select("block").distinct(), "block").join(parts, "key").select("block", *_as("b"))
+    rest = stray.join(others, "block").where((F.col("a_part") != F.col("b_part")) & _near())
     rest = cut(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-rest-pairs")
     more = _verified(rest, texts, "line-rest")
     edges = cut(star.where("alike").select("a", "b").unionByName(more.where("alike").select("a", "b")), "line-edges")
-    remove(spark, members, texts, star, stray, rest, more)
+    remove(spark, members, texts, parts, star, stray, rest, more)
     return edges
 
 
+def _as(name: str) -> list[Column]:
+    return [F.col("key").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("n", "words", "s", "part")]]
+
+
 def duplicate_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, mark, at) of every line occurrence to remove, written."""
     spark = docs.sparkSession
