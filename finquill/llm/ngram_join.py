@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from finquill.llm.common import ASCII_LOWER, cut, slices, utf8
+from finquill.llm.common import ASCII_LOWER, cut, remove, slices, tidy, utf8
 from finquill.llm.components import components
 
 WORDS = 5
@@ -55,7 +55,7 @@ PAIRED = 32
 CHUNK = 256
 #: Columns of a verification matrix that are in memory at once.
 SLAB = 1 << 15
-MEMORY_WORDS = 400_000
+MEMORY_WORDS = 200_000
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -117,7 +117,7 @@ def _added(blocks: DataFrame, bits: int) -> np.ndarray:
 
 
 def _survey(rows: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, node, n) of every row, written, and the count sketch."""
+    """The written survey, whose rows without a block are (doc_id, node, n) of every row, and the count sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "node", "n", "block", "cells"]
@@ -141,9 +141,11 @@ def _survey(rows: DataFrame) -> tuple[DataFrame, np.ndarray]:
         found = list(_blocks(cells))
         n = len(found)
         yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([b for b, _ in found], pa.int32()), pa.array([c for _, c in found], pa.binary())], names)
+        del shingler, cells, seen, found
+        tidy()
 
     both = cut(rows.mapInArrow(run, "doc_id long, node long, n long, block int, cells binary"), "shingle-survey")
-    return both.where("block is null").select("doc_id", "node", "n"), _added(both.where("block is not null").select("block", "cells"), CELL_BITS)
+    return both, _added(both.where("block is not null").select("block", "cells"), CELL_BITS)
 
 
 def prefix(shingles: np.ndarray, cells: np.ndarray, usual: float) -> tuple[np.ndarray, np.ndarray, int]:
@@ -186,6 +188,8 @@ def _lists(rows: DataFrame, cells: np.ndarray) -> DataFrame:
             if tokens:
                 columns = [np.concatenate(tokens), np.concatenate(nodes), np.concatenate(infos).astype(np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["token", "node", "info"])
+        del shingler, seen
+        tidy()
 
     return rows.mapInArrow(run, "token long, node long, info long")
 
@@ -234,9 +238,6 @@ def _candidates(lists: DataFrame) -> DataFrame:
 
 def _sets_of(rows: DataFrame, needed: DataFrame) -> DataFrame:
     """(node, shingles) of the documents ``needed`` (doc_id), and of a few more.
-
-    A shingle goes as the upper 48 bits of its hash: two sets of a thousand shingles then have a false
-    common one with a probability below 1e-8.
     """
     mask = np.int64((1 << FILTER_BITS) - 1)
 
@@ -260,18 +261,14 @@ def _sets_of(rows: DataFrame, needed: DataFrame) -> DataFrame:
                 if len(s) and (node := node_of(s)) not in seen:
                     seen.add(node)
                     nodes.append(node)
-                    sets.append(s.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes())
+                    sets.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "shingles"])
+        del shingler, wanted, seen
+        tidy()
 
     return rows.withColumn("h", F.xxhash64("doc_id")).mapInArrow(run, "node long, shingles binary")
 
 
-def _unpacked(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, 2:] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.view(np.int64).ravel()
-
-
 def linked(sets: list[np.ndarray]) -> np.ndarray:
     """Pairs (i < j, as rows) of sets that reach the threshold."""
     sizes = np.array([len(s) for s in sets])
@@ -322,7 +319,7 @@ def _verify(rows: DataFrame) -> DataFrame:
         first: dict[int, int] = {}
         for x in nodes:  # what is known to be connected isn't linked again
             forest.join(x, first.setdefault(group[x][0], x))
-        pairs = linked([_unpacked(group[x][1]) for x in nodes])
+        pairs = linked([np.frombuffer(group[x][1], np.int64) for x in nodes])
         return [(nodes[i], nodes[j]) for i, j in pairs.tolist() if forest.join(nodes[i], nodes[j])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,17 +348,20 @@ def _tasks(members: DataFrame, chunks: DataFrame, pairs: DataFrame, sets: DataFr
 
 
 def links_of(rows: DataFrame, nodes: DataFrame, cells: np.ndarray) -> DataFrame:
-    """Links (a, b) between nodes that give the components of all links."""
+    """Links (a, b) between nodes that give the components of all links, written."""
+    spark = rows.sparkSession
     edges = cut(_candidates(_lists(rows, cells)), "shingle-candidates")
     if not edges.limit(1).count():
         return edges
-    clusters = cut(components(edges).select("node", F.col("component").alias("cluster")), "shingle-clusters")
+    found = components(edges)
+    clusters = found.select("node", F.col("component").alias("cluster"))
     first = nodes.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     needed = cut(clusters.join(first, "node").select("node", "cluster", "doc_id"), "shingle-needed")
     sizes = clusters.groupBy("cluster").count().where(F.col("count") > CHUNK)
     large = cut(sizes.select("cluster", F.ceil(F.col("count") / (CHUNK * 3 // 4)).alias("n")), "shingle-large")
     # a small cluster is a task of its own; its sets are joined and dealt once, nothing is written between
     placed = cut(needed.join(large, "cluster", "left"), "shingle-placed")
+    remove(spark, edges, found, needed)
     small = placed.where("n is null")
     own = small.select("node", F.col("cluster").alias("key"), F.col("node").alias("part"))
     links = cut(_verify(_sets_of(rows, small.select("doc_id")).join(own, "node")), "shingle-links")
@@ -372,13 +372,17 @@ def links_of(rows: DataFrame, nodes: DataFrame, cells: np.ndarray) -> DataFrame:
         members, where = spread.select("node", "cluster", F.col("node").alias("part")), spread.select("node", "chunk")
         each = large.select("cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j"))
         pairs = each.select("cluster", F.lit(0).cast("long").alias("i"), "j").unionByName(each.where("j > 0").select("cluster", F.col("j").alias("i"), "j"))
-        links = cut(links.unionByName(_verify(_tasks(members, where, pairs.withColumn("key", F.xxhash64("cluster", "i", "j")), sets))), "shingle-links")
-        links = cut(links.unionByName(_rest(spread, links, sets)), "shingle-links")
+        before, links = links, cut(links.unionByName(_verify(_tasks(members, where, pairs.withColumn("key", F.xxhash64("cluster", "i", "j")), sets))), "shingle-links")
+        remove(spark, before)
+        rest, steps = _rest(spread, links, sets)
+        before, links = links, cut(links.unionByName(rest), "shingle-links")
+        remove(spark, before, sets, spread, *steps)
+    remove(spark, large, placed)
     return links
 
 
-def _rest(spread: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links of large clusters between components that the first chunks left apart.
+def _rest(spread: DataFrame, links: DataFrame, sets: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Links of large clusters between components that the first chunks left apart; and the steps that they read.
 
     Nodes are dealt anew: those of a large component to chunks of it, those of all small
     components to common chunks.  Chunks of one large component needn't meet.
@@ -397,22 +401,30 @@ def _rest(spread: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
     list_of = dealt.select("cluster", "chunk", "large").distinct()
     a, b = list_of.select("cluster", F.col("chunk").alias("i"), F.col("large").alias("x")), list_of.select("cluster", F.col("chunk").alias("j"), F.col("large").alias("y"))
     pairs = a.join(b, "cluster").where("i <= j and not coalesce(x = y, false)").select("cluster", "i", "j").withColumn("key", F.xxhash64("cluster", "i", "j"))
-    return _verify(_tasks(dealt.select("node", "cluster", "part"), dealt.select("node", "chunk"), pairs, sets))
+    return _verify(_tasks(dealt.select("node", "cluster", "part"), dealt.select("node", "chunk"), pairs, sets)), [found, parts, size, others, dealt]
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of ``docs`` (doc_id, text)."""
+    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    nodes, cells = _survey(rows)
-    found = components(links_of(rows, nodes, cells))
+    survey, cells = _survey(rows)
+    nodes = survey.where("block is null").select("doc_id", "node", "n")
+    links = links_of(rows, nodes, cells)
+    found = components(links)
     named = nodes.join(found, "node", "left").select("doc_id", "n", F.coalesce("component", "node").alias("class"))
     named = cut(named, "shingle-classes")
+    remove(spark, survey, links, found)
     least = cut(named.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("size")).where("size > 1"), "shingle-least")
     return named.join(least, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose component has a smaller doc_id; in their own columns."""
+    """``docs`` without the rows whose component has a smaller doc_id; in their own columns.
+
+    Repeated rows are all kept or all dropped, as they share their doc_id; rows with a null doc_id stay.
+    """
     gone = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     gone = cut(gone, "shingle-gone")
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti").select(*[docs[c] for c in docs.columns])
+    row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))  # columns of any name are safe within a struct
+    return row.join(gone, F.col("row.doc_id") == gone["_gone"], "left_anti").select(*[F.col("row")[c].alias(c) for c in docs.columns])
