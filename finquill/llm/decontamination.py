@@ -8,10 +8,10 @@ says where windows end.  Streaming starts only in stretches whose neighbouring
 words are neighbours in some item (a hash table of word pairs): elsewhere no
 window can lie, so this drops nothing.
 
-Items are cut into automata of at most AUTOMATON_WORDS words each, an item never
-being split; a pass over the documents is made for each of them and the spans are
-joined.  So what is sent to executors at once has a fixed bound however large the
-benchmark is (a single item above the bound is refused).
+Items are dealt to automata of at most AUTOMATON_WORDS words each, longer items in
+pieces that overlap by a window; a pass over the documents is made for each automaton
+and the spans are joined.  So what is sent to executors at once has a fixed bound
+however large the benchmark is.
 
 Edge cases: null or empty texts and items have no words; an item without words is
 never found; repeated items are found together; a null item_id is ignored; very
@@ -21,6 +21,7 @@ empty results; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from itertools import repeat
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from finquill.llm.common import cut, slices, utf8
+from finquill.llm.common import cut, remove, slices, utf8, worker_slot
 
 WINDOW = 10
 #: An automaton of so many words takes some 100 MB in a worker.
@@ -178,33 +179,32 @@ class Automaton:
         return spans, found, longest
 
 
-_AUTOMATA: dict[int, tuple[object, Automaton]] = {}
-
-
 def _automaton(shared, window: int) -> Automaton:
     """Built once in each worker from the broadcast items."""
-    key = shared.value["key"]
-    if key not in _AUTOMATA:
-        _AUTOMATA.clear()
-        _AUTOMATA[key] = Automaton([(n, words_of(t)) for n, t in shared.value["items"]], window)
-    return _AUTOMATA[key]
+    return worker_slot(("automaton", shared.value["key"], window), lambda: Automaton([(n, words_of(t)) for n, t in shared.value["items"]], window))
+
 
+def _pieces(words: list[bytes], window: int) -> Iterator[list[bytes]]:
+    """An item in pieces of at most AUTOMATON_WORDS words that overlap, so that every window is in one."""
+    size = max(AUTOMATON_WORDS, 2 * window)
+    for start in range(0, max(1, len(words) - window + 1), size - window + 1) if len(words) > size else (0,):
+        yield words[start : start + size]
 
-def item_groups(items: DataFrame) -> Iterator[list[tuple[str, bytes]]]:
+
+def item_groups(items: DataFrame, window: int = WINDOW) -> Iterator[list[tuple[str, bytes]]]:
     """Items with words, in groups of bounded size; the driver holds one group at a time."""
     group: list[tuple[str, bytes]] = []
     total = 0
     rows = items.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("binary").alias("t"))
     for row in rows.where("i is not null and t is not null").orderBy("i", "t").toLocalIterator():
-        n = len(words_of(bytes(row.t)))
-        if n > AUTOMATON_WORDS:
-            raise ValueError(f"item {row.i} has {n} words; an automaton takes at most {AUTOMATON_WORDS}")
-        if n and total + n > AUTOMATON_WORDS:
-            yield group
-            group, total = [], 0
-        if n:
-            group.append((row.i, bytes(row.t)))
-            total += n
+        for words in _pieces(words_of(bytes(row.t)), window):
+            n = len(words)
+            if n and total + n > AUTOMATON_WORDS and group:
+                yield group
+                group, total = [], 0
+            if n:
+                group.append((row.i, b" ".join(words)))
+                total += n
     if group:
         yield group
 
@@ -212,19 +212,22 @@ def item_groups(items: DataFrame) -> Iterator[list[tuple[str, bytes]]]:
 _FOUND = "struct<spans:array<struct<start:int,end:int>>,item_ids:array<string>,n_words:bigint,longest:int>"
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """All columns of ``docs`` (needs ``text``) with one more, ``contamination``:
-    a struct of hit spans in words, ids of items found (sorted), words and the
-    longest match."""
-    docs = docs.withColumn("contamination", F.lit(None).cast(_FOUND))
+def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, column: str = "contamination") -> DataFrame:
+    """All columns of ``docs`` (needs ``text``) with one more, ``column`` (which replaces one of
+    that name): a struct of hit spans in words, ids of items found (sorted), words and
+    the longest match (within a piece of an item of more than AUTOMATON_WORDS words)."""
+    docs = docs.withColumn(column, F.lit(None).cast(_FOUND))
     context = docs.sparkSession.sparkContext
-    groups = 0
-    for group in item_groups(items):
+    before, groups = None, 0
+    for group in item_groups(items, window):
         if groups:  # each pass ends before the next automaton is sent
-            docs = cut(docs, "contamination")
-        docs = _pass(docs, context.broadcast({"key": hash(tuple(group)), "items": group}), window)
+            last, docs = before, cut(docs, "contamination")
+            remove(docs.sparkSession, last)
+            before = docs
+        digest = hashlib.sha256(b"".join(len(x).to_bytes(8) + x for n, t in group for x in (n.encode(), t))).hexdigest()
+        docs = _pass(docs, context.broadcast({"key": digest, "items": group}), window, column)
         groups += 1
-    return docs if groups else _pass(docs, context.broadcast({"key": 0, "items": []}), window)
+    return docs if groups else _pass(docs, context.broadcast({"key": "", "items": []}), window, column)
 
 
 def _join(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -237,8 +240,8 @@ def _join(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int,
     return out
 
 
-def _pass(docs: DataFrame, shared, window: int) -> DataFrame:
-    kind = docs.schema["contamination"].dataType
+def _pass(docs: DataFrame, shared, window: int, column: str) -> DataFrame:
+    kind = docs.schema[column].dataType
     arrow = pa.struct(
         [
             ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
@@ -252,7 +255,7 @@ def _pass(docs: DataFrame, shared, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton(shared, window)
         for batch in slices(batches):
-            at = batch.schema.get_field_index("contamination")
+            at = batch.schema.get_field_index(column)
             out = []
             for text, old in zip(utf8(batch.column("text")), batch.column(at).to_pylist(), strict=True):
                 words = words_of(text)
@@ -285,15 +288,18 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, span_
     """The documents without benchmark passages, in their own columns.
 
     Documents of which more than ``coverage_limit`` of the words is hit go; of the
-    rest, spans of at least ``span_limit`` words (and items shorter than that, as a
-    whole) are cut from the text.  n_chars, if there, is counted anew for them.
+    rest, spans of at least ``span_limit`` words, and spans of items of fewer than ``window``
+    words, are cut from the text; other spans stay.  n_chars, if there, is counted anew for them.
     """
     columns = docs.columns
-    found = find_contamination(docs, items, window)
+    name = "contamination"
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    found = find_contamination(docs, items, window, name)
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             at = batch.schema.get_field_index("text")
             texts, keep = batch.column(at).to_pylist(), []
             lengths = batch.column(columns.index("n_chars")).to_pylist() if "n_chars" in columns else None
@@ -302,7 +308,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, span_
                 if sum(e - s for s, e in spans) > coverage_limit * x["n_words"]:
                     continue
                 keep.append(i)
-                if cuts := [(s, e) for s, e in spans if e - s >= min(span_limit, window) or e - s < window]:
+                if cuts := [(s, e) for s, e in spans if e - s >= span_limit or e - s < window]:
                     texts[i] = remove_spans(texts[i].encode("utf-8"), cuts).decode("utf-8")
                     if lengths:
                         lengths[i] = len(texts[i])
