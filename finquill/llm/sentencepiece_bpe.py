@@ -22,6 +22,7 @@ give repeated results; null ids of rows are kept; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
 from collections.abc import Iterator
@@ -31,13 +32,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from finquill.llm.common import BROADCAST_BYTES, slices
+from finquill.llm.common import BROADCAST_BYTES, slices, worker_slot
 
 MARK = "▁"
 UNKNOWN, CONTROL, BYTE = 2, 3, 6  # kinds of pieces in the model file
-#: Distinct words remembered by a worker; then the memory is emptied.
-MEMORY_WORDS = 500_000
-#: After so many rounds the few words left (long runs) are finished by a heap.
+#: Distinct words that a worker remembers, and their characters; then the memory is emptied.
+MEMORY_WORDS, MEMORY_CHARACTERS = 200_000, 4_000_000
+#: Bytes of text that are encoded at once.
+SLICE = 1 << 20
+#: After so many rounds the few words left (long runs) are finished by a heap, which makes
+#: the same merges in the same order; rounds alone would take quadratic time there.
 ROUNDS = 400
 NO_PAIR = np.int64(1 << 40)
 
@@ -142,10 +146,14 @@ class Model:
             if self.byte_ids[b]:
                 self.surface_bytes[self.byte_ids[b]] = bytes([b])
         self.marked = np.array([p.startswith(MARK) for p in self.pieces])
+        self.surface_len = np.array([len(x) for x in self.surface_bytes], np.int64)
+        self.surface_at = np.cumsum(self.surface_len) - self.surface_len
+        self.surface_flat = np.frombuffer(b"".join(self.surface_bytes), np.uint8)
         self._forget()
 
     def _forget(self) -> None:
         self.word_at: dict[str, int] = {}
+        self.held = 0
         self.word_len = np.zeros(0, np.int64)
         self.word_ids = np.zeros(0, np.int32)
 
@@ -269,12 +277,13 @@ class Model:
                 words += found
         if not words:
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
-        if len(self.word_at) > MEMORY_WORDS:
+        if len(self.word_at) > MEMORY_WORDS or self.held > MEMORY_CHARACTERS:
             self._forget()
         new = [w for w in dict.fromkeys(words) if w not in self.word_at]
         if new:
             ids, sizes = self.merge_words(new)
             base = len(self.word_at)
+            self.held += sum(map(len, new))
             self.word_at.update(zip(new, range(base, base + len(new)), strict=True))
             self.word_len = np.r_[self.word_len, sizes]
             self.word_ids = np.r_[self.word_ids, ids]
@@ -287,6 +296,33 @@ class Model:
         return flat, np.diff(np.r_[0, text_ends])
 
     # -- decoding ---------------------------------------------------------
+    def decode_all(self, flat: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """The texts of ids that lie one after the other; ``ends`` starts with 0.
+
+        Pieces' bytes are gathered at once; where control ids or bytes that are no
+        UTF-8 occur, texts are decoded one by one.
+        """
+        plain = not (len(flat) and flat.min() <= self.last_control)
+        if plain:
+            size, at = self.surface_len[flat], self.surface_at[flat]
+            if self.dummy_prefix:  # the mark of a first piece is the space that encoding put there
+                first = ends[:-1][ends[1:] > ends[:-1]]
+                first = first[self.marked[flat[first]]]
+                size[first] -= 1
+                at[first] += 1
+            after = np.cumsum(size)
+            data = self.surface_flat[np.arange(after[-1] if len(after) else 0) + np.repeat(at - (after - size), size)]
+            offsets = np.r_[0, after][ends]
+            if offsets[-1] < 1 << 31:
+                out = pa.StringArray.from_buffers(len(ends) - 1, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data))
+                try:
+                    out.validate(full=True)
+                    return out
+                except pa.ArrowInvalid:
+                    pass
+        ids = flat.tolist()
+        return pa.array([self.decode(ids[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.string())
+
     def decode(self, ids: list[int]) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD, one each."""
         if not ids:
@@ -330,16 +366,9 @@ class Model:
         return "".join(out)
 
 
-_MODELS: dict[int, Model] = {}
-
-
 def _model(data: bytes) -> Model:
     """The worker's own copy; workers serve many tasks."""
-    key = hash(data)
-    if key not in _MODELS:
-        _MODELS.clear()
-        _MODELS[key] = Model(data)
-    return _MODELS[key]
+    return worker_slot(("sentencepiece", hashlib.sha256(data).hexdigest()), lambda: Model(data))
 
 
 def read_model(path: str) -> bytes:
@@ -358,13 +387,12 @@ def encode_decode(docs: DataFrame, model_path: str, id_column: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(shared.value)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             flat, counts = model.encode(batch.column("text").to_pylist())
             ends = np.r_[0, np.cumsum(counts)]
-            ids = flat.tolist()
-            decoded = [model.decode(ids[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            decoded = model.decode_all(flat, ends)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, decoded], ["doc_id", "ids", "decoded"])
 
     rows = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].alias("text"))
     return rows.mapInArrow(run, "doc_id long, ids array<int>, decoded string")
