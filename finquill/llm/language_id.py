@@ -12,8 +12,10 @@ fitted again; the set with the best penalised likelihood (half the logarithm of
 words for each further language) is selected.  The prediction is the language of the
 largest proportion in the selected set, the score that proportion.
 
-Documents whose second language has almost no share (SHARE_FLOOR) keep one
-language without a refit, as no larger set could win.
+The refit is left out only where it provably can't change the choice: the likelihood of
+any set is at most that of the full mixture plus a bound on what further steps could add
+(words times the logarithm of the largest relative gradient), and if that less the
+likelihood of the first language alone is below the penalty, no larger set wins.
 
 Edge cases: null texts and texts without a letter are ``und`` with score 0; with no
 labelled text at all, everything is ``und``; ties go to the language that sorts first;
@@ -25,7 +27,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,21 +36,26 @@ from pyspark.sql import functions as F
 
 from finquill.llm.common import fixed_sample, slices
 
-#: Bound of the training sample in documents, and of a single document's part in
-#: it (a seeded choice of its words, not a prefix).
+#: Bound of the training sample in documents, which are taken whole.
 TRAIN_ROWS = 3_000
-TRAIN_WORDS = 2_000
 BUCKETS = 1 << 17
 SMOOTHING = 0.2
 TEMPER = 0.5
 STEPS = 12
-SHARE_FLOOR = 0.03
 MEMORY_WORDS = 300_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
 
+def letters_of(text: str) -> list[str]:
+    """Runs of letters, lower case; signs that only count as numbers (a half, a superscript) are none."""
+    found = _WORD.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return "".join(c if c.isalpha() else " " for c in " ".join(found)).split()
+
+
 def _trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all trigrams of the words (with a border on either side), and the word of each."""
     codes = np.frombuffer(("\x02" + "\x03\x02".join(words) + "\x03").encode("utf-32-le"), np.uint32).astype(np.uint64)
@@ -60,6 +67,24 @@ def _trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return ((mixed * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(40)).astype(np.int64)[inside] % BUCKETS, word[:-2][inside]
 
 
+def trigram_counts(texts: Iterable[str]) -> np.ndarray:
+    """How often each bucket occurs in the texts."""
+    out, words = np.zeros(BUCKETS), Counter()
+
+    def add() -> None:
+        if words:
+            grams, word = _trigrams(list(words))
+            out[:] += np.bincount(grams, np.array(list(words.values()), float)[word], BUCKETS)
+            words.clear()
+
+    for text in texts:
+        words.update(letters_of(text))
+        if len(words) > MEMORY_WORDS:
+            add()
+    add()
+    return out
+
+
 class LanguageModel:
     """Log probabilities of trigrams by language."""
 
@@ -77,15 +102,11 @@ class LanguageModel:
         languages = sorted({lang for lang, _ in rows})
         counts = np.zeros((len(languages), BUCKETS))
         for k, lang in enumerate(languages):
-            words: Counter[str] = Counter()
-            for n, (_, text) in enumerate(sorted(r for r in rows if r[0] == lang)):
-                own = _WORD.findall(text.lower())
-                if len(own) > TRAIN_WORDS:
-                    own = [own[i] for i in np.random.default_rng(n).choice(len(own), TRAIN_WORDS, replace=False)]
-                words.update(own)
-            if words:
-                grams, word = _trigrams(list(words))
-                counts[k] = np.bincount(grams, np.array(list(words.values()), float)[word], BUCKETS)
+            counts[k] = trigram_counts(text for own, text in rows if own == lang)
+        return cls.of_counts(languages, counts)
+
+    @classmethod
+    def of_counts(cls, languages: list[str], counts: np.ndarray) -> LanguageModel:
         smooth = counts + SMOOTHING
         return cls(languages, np.log(smooth / smooth.sum(axis=1, keepdims=True)).T.astype(np.float32))
 
@@ -106,7 +127,7 @@ class LanguageModel:
         out: list[tuple[str, float, list[tuple[str, float]]]] = [(UNKNOWN, 0.0, [])] * len(texts)
         rows, words, sizes = [], [], []
         for i, text in enumerate(texts):
-            if text and self.languages and (found := _WORD.findall(text.lower())):
+            if text and self.languages and (found := letters_of(text)):
                 rows.append(i)
                 words += found
                 sizes.append(len(found))
@@ -135,12 +156,18 @@ class LanguageModel:
         return share, np.add.reduceat(count * np.log((p * share[doc]).sum(axis=1)), first)
 
     def _select(self, p: np.ndarray, count: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        full, _ = self._fit(p, count, doc, np.ones((n, p.shape[1])))
+        full, reach = self._fit(p, count, doc, np.ones((n, p.shape[1])))
         order = np.argsort(-full, axis=1, kind="stable")
         chosen = np.zeros(full.shape)
         chosen[np.arange(n), order[:, 0]] = 1
         share = chosen.copy()
-        mixed = np.flatnonzero(np.sort(full, axis=1)[:, -2] >= SHARE_FLOOR) if full.shape[1] > 1 else np.zeros(0, np.int64)
+        # what a larger set could gain over the first language alone, at most
+        first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+        words = np.add.reduceat(count, first)
+        alone = np.add.reduceat(count * np.log(p[np.arange(len(p)), order[doc, 0]]), first)
+        gradient = np.add.reduceat(p * (count / (p * full[doc]).sum(axis=1))[:, None], first, axis=0) / words[:, None]
+        gain = reach + words * np.log(np.maximum(gradient.max(axis=1), 1.0)) - alone
+        mixed = np.flatnonzero(gain >= 0.5 * np.log(words + 1)) if full.shape[1] > 1 else np.zeros(0, np.int64)
         if not len(mixed):
             return chosen, share
         take = np.isin(doc, mixed)
@@ -159,9 +186,35 @@ class LanguageModel:
 
 
 def train(docs: DataFrame, trainable: Column, rows: int = TRAIN_ROWS, seed: int = 5) -> LanguageModel:
-    """A model of at most ``rows`` labelled documents; the others teach nothing."""
+    """A model of at most ``rows`` labelled documents, whole; the others teach nothing.
+
+    Trigrams are counted on the executors; the driver gets a table of at most
+    BUCKETS numbers a language.
+    """
     own = docs.where(trainable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    return LanguageModel.train([(r.lang, r.text) for r in fixed_sample(own, "doc_id", rows, seed).toLocalIterator()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, np.ndarray] = {}
+        for batch in slices(batches):
+            langs = batch.column("lang").to_pylist()
+            texts = batch.column("text").to_pylist()
+            for lang in set(langs):
+                found = trigram_counts(t for x, t in zip(langs, texts, strict=True) if x == lang)
+                total[lang] = total[lang] + found if lang in total else found
+        for lang, found in total.items():
+            at = np.flatnonzero(found)
+            at = at if len(at) else np.zeros(1, np.int64)  # a language whose texts have no letter is one too
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at, pa.int32()), pa.array(found[at].astype(np.int64))], ["lang", "bucket", "n"])
+
+    counted = fixed_sample(own, "doc_id", rows, seed).mapInArrow(run, "lang string, bucket int, n long")
+    table = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    langs = table.column("lang").combine_chunks().dictionary_encode() if table.num_rows else pa.array([], pa.string()).dictionary_encode()
+    languages = sorted(langs.dictionary.to_pylist())
+    place = np.array([languages.index(x) for x in langs.dictionary.to_pylist()], np.int64)
+    counts = np.zeros((len(languages), BUCKETS))
+    if languages:
+        counts[place[np.asarray(langs.indices)], np.asarray(table.column("bucket"))] = np.asarray(table.column("n"))
+    return LanguageModel.of_counts(languages, counts)
 
 
 _MIX = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
