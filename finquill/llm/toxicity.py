@@ -35,9 +35,8 @@ from finquill.llm.common import fixed_sample, slices
 
 #: Documents whose prediction is this near their label teach nothing in an epoch.
 SURE = 0.01
-#: Bounds of training: documents, and words of one document (a random window of it).
+#: Bound of training in documents, which are taken whole.
 TRAIN_ROWS = 6_000
-TRAIN_WORDS = 3_000
 BUCKETS = 1 << 17
 DIM = 12
 WIDTHS = (1, 2, 3)
@@ -138,13 +137,7 @@ class ConvNet:
             return self
         r = np.random.default_rng(seed)
         vocabulary = Vocabulary()
-        docs = []
-        for t in texts:
-            words = words_of(t)
-            if len(words) > TRAIN_WORDS:
-                start = int(r.integers(len(words) - TRAIN_WORDS))
-                words = words[start : start + TRAIN_WORDS]
-            docs.append(vocabulary.numbers(words))
+        docs = [vocabulary.numbers(words_of(t)) for t in texts]
         held = np.array([zlib.crc32(t.encode("utf-8")) % 5 == 0 for t in texts])
         own, rest = np.flatnonzero(~held), np.flatnonzero(held)
         if len({*labels[rest].tolist()}) < 2:
