@@ -6,7 +6,8 @@ share costs no more than another.  A first graph joins neighbours in several ord
 random projections.  NN-descent then improves it: for each node, its neighbours and
 reverse neighbours (new ones sampled, as in the published algorithm) are joined with
 one another and better edges are merged in, round by round, until few change.
-Rounds carry vectors as one byte per component; the graph only guides the search.
+Rounds carry vectors as one byte per component and a scale of each vector, so that one
+large vector doesn't blur the others; the graph only guides the search.
 
 Search.  Each query starts at the nearest of ENTRIES random nodes (a bounded, measured
 table) and keeps its BEAM best nodes; each hop joins the ones not yet expanded with
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from finquill.llm.common import BROADCAST_BYTES, cut
+from finquill.llm.common import BROADCAST_BYTES, cut, remove
 
 LISTED = 11
 DEGREE = 24
@@ -59,8 +60,18 @@ def _lists(array: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return np.r_[0, np.cumsum(lengths)], array.flatten()
 
 
-def _bytes_matrix(array: pa.Array, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(array.to_pylist()), np.int8).reshape(-1, dim).astype(np.float32)
+def _coded(x: np.ndarray) -> list[bytes]:
+    """Rows as a scale (4 bytes) and one byte per component."""
+    step = np.maximum(np.abs(x).max(axis=1, initial=0), 1e-300) / 127
+    q = np.clip(np.rint(x / step[:, None]), -127, 127).astype(np.int8)
+    with np.errstate(over="ignore"):
+        scale = np.minimum(step, np.finfo(np.float32).max / 1e6).astype("<f4")
+    return [s.tobytes() + v.tobytes() for s, v in zip(scale, q, strict=True)]
+
+
+def _bytes_matrix(array: pa.Array | list[bytes], dim: int) -> np.ndarray:
+    raw = np.frombuffer(b"".join(array if isinstance(array, list) else array.to_pylist()), np.uint8).reshape(-1, dim + 4)
+    return raw[:, 4:].view(np.int8) * np.ascontiguousarray(raw[:, :4]).view("<f4")
 
 
 def usable(vectors: DataFrame) -> tuple[DataFrame, int]:
@@ -82,12 +93,12 @@ def nodes_of(rows: DataFrame) -> DataFrame:
     return few.groupBy("vector").agg(F.min("vec_id").alias("node"), F.sort_array(F.collect_list("vec_id")).alias("ids")).select("node", "vector", "ids")
 
 
-def _quantised(nodes: DataFrame, scale: float) -> DataFrame:
+def _quantised(nodes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             _, flat = _lists(batch.column("vector"))
-            q = np.clip(np.rint(np.asarray(flat) * scale), -127, 127).astype(np.int8).reshape(batch.num_rows, -1)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([x.tobytes() for x in q], pa.binary())], ["node", "code"])
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(_coded(np.asarray(flat).reshape(batch.num_rows, -1)), pa.binary())], ["node", "code"])
 
     return nodes.select("node", "vector").mapInArrow(run, "node long, code binary")
 
@@ -113,7 +124,8 @@ def _first_graph(codes: DataFrame, dim: int) -> DataFrame:
 
         def place(batches: Iterator[pa.RecordBatch], planes=planes) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                y = _bytes_matrix(batch.column("code"), dim) @ planes
+                x = _bytes_matrix(batch.column("code"), dim)
+                y = x @ planes / np.maximum(np.sqrt((x * x).sum(axis=1)), 1e-30)[:, None] * 1e4
                 key = (y[:, :bits] > 0) @ (1 << np.arange(bits)[::-1])
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(key * 1e6 + np.clip(y[:, bits], -4e5, 4e5), pa.float64())], ["node", "code", "place"])
 
@@ -193,15 +205,15 @@ def _local_join(edges: DataFrame, codes: DataFrame, dim: int, seed: int) -> tupl
 
 def build_graph(nodes: DataFrame, dim: int) -> tuple[DataFrame, DataFrame]:
     """(codes, edges) of the NN-descent graph over ``nodes``."""
-    top = nodes.select(F.max(F.array_max(F.transform("vector", lambda x: F.abs(x)))).alias("m")).collect()[0]["m"]
-    codes = cut(_quantised(nodes, 127 / top if top else 1.0), "ann-codes")
+    codes = cut(_quantised(nodes), "ann-codes")
     edges = cut(_best(_first_graph(codes, dim)), "ann-edges")
     total = edges.count()
     for k in range(ROUNDS):
         better, joined = _local_join(edges, codes, dim, k)
         old = edges.join(joined.withColumn("done", F.lit(True)), ["u", "v"], "left")
         old = old.select("u", "v", "d", (F.col("fresh") & F.col("done").isNull()).alias("fresh"))
-        edges = cut(_best(old.unionByName(better)), "ann-edges")
+        before, edges = edges, cut(_best(old.unionByName(better)), "ann-edges")
+        remove(nodes.sparkSession, before)
         if edges.where("fresh").count() < STILL * total:
             break
     return codes, edges
@@ -218,17 +230,17 @@ _STATE = "query_id long, vector array<double>, found array<struct<node:long,d:do
 _FOUND = pa.list_(pa.struct([("node", pa.int64()), ("d", pa.float64()), ("done", pa.bool_())]))
 
 
-def _starts(queries: DataFrame, codes: DataFrame, dim: int, scale: float) -> DataFrame:
+def _starts(queries: DataFrame, codes: DataFrame, dim: int) -> DataFrame:
     """Each query with the nearest of the entry nodes."""
     rows = codes.orderBy(F.xxhash64("node", F.lit(17)), "node").limit(ENTRIES).collect()
-    if ENTRIES * (dim + 8) > BROADCAST_BYTES:
+    if ENTRIES * (4 * dim + 8) > BROADCAST_BYTES:
         raise ValueError("vectors are too long for the table of entries")
     ids = np.array([r.node for r in rows], np.int64)
-    shared = queries.sparkSession.sparkContext.broadcast((ids, np.frombuffer(b"".join(bytes(r.code) for r in rows), np.int8).reshape(len(ids), -1)))
+    shared = queries.sparkSession.sparkContext.broadcast((ids, _bytes_matrix([bytes(r.code) for r in rows], dim)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, x = shared.value
-        x = x.astype(np.float64) / scale
+        x = x.astype(np.float64)
         for batch in batches:
             _, flat = _lists(batch.column("vector"))
             q = np.asarray(flat).reshape(batch.num_rows, -1)
@@ -240,7 +252,7 @@ def _starts(queries: DataFrame, codes: DataFrame, dim: int, scale: float) -> Dat
     return queries.mapInArrow(run, _STATE)
 
 
-def _merge(rows: DataFrame, dim: int, scale: float) -> DataFrame:
+def _merge(rows: DataFrame, dim: int) -> DataFrame:
     """States with what a hop reached: the BEAM best, nearest first; those expanded are done."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,7 +260,7 @@ def _merge(rows: DataFrame, dim: int, scale: float) -> DataFrame:
             out = []
             ends, flat = _lists(batch.column("near"))
             ids = np.asarray(flat.field("v")) if len(flat) else np.zeros(0, np.int64)
-            x = _bytes_matrix(flat.field("code"), dim).astype(np.float64) / scale if len(flat) else np.zeros((0, dim))
+            x = _bytes_matrix(flat.field("code"), dim).astype(np.float64) if len(flat) else np.zeros((0, dim))
             vectors = np.asarray(_lists(batch.column("vector"))[1]).reshape(batch.num_rows, -1)
             for k, found in enumerate(batch.column("found").to_pylist()):
                 opened = [y["node"] for y in found if not y["done"]][:EXPANDED]
@@ -275,14 +287,14 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
     rows, dim = usable(vectors)
     asked, _ = usable(queries.withColumnRenamed("query_id", "vec_id"))
     asked = asked.where(F.size("vector") == dim).select(F.col("vec_id").alias("query_id"), "vector").dropDuplicates(["query_id"])
+    spark = vectors.sparkSession
     nodes = cut(nodes_of(rows), "ann-nodes")
-    top = nodes.select(F.max(F.array_max(F.transform("vector", lambda x: F.abs(x)))).alias("m")).collect()[0]["m"]
-    if top is None:
+    if not nodes.limit(1).count():
         return asked.select("query_id", F.lit(1).alias("rank"), F.col("query_id").alias("vec_id"), F.lit(0.0).alias("score")).limit(0)
-    scale = 127 / top
     codes, edges = build_graph(nodes, dim)
     links = cut(_links(edges), "ann-links")
-    state = cut(_starts(asked, codes, dim, scale), "ann-state")
+    remove(spark, edges)
+    state = cut(_starts(asked, codes, dim), "ann-state")
     nothing = F.array().cast("array<struct<v:bigint,code:binary>>")
     for _ in range(HOPS):
         opened = F.slice(F.filter("found", lambda f: ~f["done"]), 1, EXPANDED)
@@ -291,7 +303,9 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
             break
         met = front.join(links, "u").select("query_id", F.explode("near").alias("v")).distinct()
         reached = met.join(codes, met.v == codes.node).groupBy("query_id").agg(F.collect_list(F.struct("v", "code")).alias("near"))
-        state = cut(_merge(state.join(reached, "query_id", "left").withColumn("near", F.coalesce("near", nothing)), dim, scale), "ann-state")
+        before, state = state, cut(_merge(state.join(reached, "query_id", "left").withColumn("near", F.coalesce("near", nothing)), dim), "ann-state")
+        remove(spark, before)
+    remove(spark, links, codes)
     pairs = state.select("query_id", F.col("vector").alias("q"), F.explode("found").alias("f")).select("query_id", "q", F.col("f.node").alias("node"))
     exact = F.sqrt(F.aggregate(F.zip_with("q", "vector", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
     hits = pairs.join(nodes, "node").select("query_id", exact.alias("score"), F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
