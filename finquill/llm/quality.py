@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from finquill.llm.common import fixed_sample, slices, utf8
+from finquill.llm.common import fixed_sample, slices, tidy, utf8
 
 #: Bound of the training sample in documents.
 TRAIN_ROWS = 8_000
@@ -213,5 +213,6 @@ def keep_good(docs: DataFrame, model: Forest, decision: float = DECISION) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             yield batch.filter(pa.array(shared.value.score(_matrix(utf8(batch.column("text")))) >= decision))
+        tidy()
 
     return docs.mapInArrow(run, docs.schema)
