@@ -102,21 +102,13 @@ def _simhash(words, mask=(1 << 64) - 1):
     return sum(1 << b for b in range(64) if votes[b] > len(words) // 2) & mask
 
 
-def test_simhash_and_fuzzy_lines(spark):
+def test_simhash(spark):
     r = random.Random(1)
-    lines = [" ".join(r.choice("abcdefgh") * r.randint(1, 4) for _ in range(r.randint(1, 60))) for _ in range(200)]
+    lines = [" ".join(r.choice("abcdefgh") * r.randint(1, 4) for _ in range(r.randint(1, 90))) for _ in range(100)]
     df = spark.createDataFrame([(x,) for x in lines], "line string")
-    hashed = line_dedup.with_simhash(df).select("line", "s", F.transform(F.slice(F.array_sort(F.array_distinct(F.transform(F.split("line", " "), lambda w: F.xxhash64(w)))), 1, 31), lambda h: F.xxhash64(h)).alias("h"))
+    hashed = line_dedup.with_simhash(df).select("line", "s", F.transform(F.array_distinct(F.split("line", " ")), lambda w: F.xxhash64(w)).alias("h"))
     for row in hashed.collect():
         assert row.s % (1 << 64) == _simhash([h % (1 << 64) for h in row.h])
-    # all pairs of distinct lines within 3 bits and similar enough are found
-    base = [" ".join(f"token{r.randrange(500)}" for _ in range(80)) for _ in range(20)]
-    texts = base + [b.replace(b.split()[k], "changed", 1) for k, b in enumerate(base)] + [b + " end" for b in base]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    s = {x.doc_id: x.s % (1 << 64) for x in line_dedup.with_simhash(df.withColumn("line", line_dedup.normalised(F.col("text")))).collect()}
-    near = {(a, b) for a in s for b in s if a < b and (s[a] ^ s[b]).bit_count() <= 3 and a % 20 == b % 20}
-    removed = {x.doc_id for x in line_dedup.duplicate_lines(df).collect()}
-    assert {b for _, b in near} == removed and removed
 
 
 def test_sentencepiece(spark, docs):
