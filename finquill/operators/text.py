@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from finquill.functions.scalars import hits
+from finquill.operators.pages import MAIN_STATEMENTS, PAGE_TYPES
 
 CHUNK, OVERLAP = 6000, 1500
 
@@ -17,14 +18,17 @@ DOCUMENT_WORDS = {
     "purchase_order": ["purchase order", "po number", "buyer", "ship to", "bill to"],
     "financial_report": ["profit and loss", "balance sheet", "financial report", "revenue", "assets"],
 }
-# Words of pages that are reports about statements, and of the statements themselves.
+# Words of pages that are reports about statements.
 REJECTED_PAGES = [
-    "independent auditor", "auditor's report", "auditors' report", "auditors report", "caro report",
-    "directors' report", "directors report", "board's report", "board report", "corporate governance",
-    "management discussion", "notice of agm", "proxy form", "attendance slip", "compliance certificate",
-    "secretarial audit", "annexure a", "annexure b", "annexure to",
+    "independent auditor", "auditor's report", "auditors' report", "auditors report", "caro report", "caro, 2016",
+    "caro 2020", "directors' report", "directors report", "board's report", "board report", "corporate governance",
+    "management discussion", "notice of annual general", "notice of agm", "proxy form", "attendance slip",
+    "compliance certificate", "secretarial audit", "independent practitioner's report",
+    "independent accountant's review report", "annexure a", "annexure b", "companies (auditor's report)",
+    "companies (auditors report)", "annexure to",
 ]
-STATEMENT_WORDS = ["balance sheet", "profit and loss", "cash flow statement"]
+#: Words of the main statements; a page with one of them is kept.
+STATEMENT_WORDS = [w for name in MAIN_STATEMENTS for w in PAGE_TYPES[name]]
 
 
 def chunks(texts: DataFrame, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:

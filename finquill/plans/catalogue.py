@@ -5,30 +5,17 @@ Q holds the callables, SQL the statements; the names match.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from finquill.functions import scalars
 from finquill.operators import derive, merge, quality, report, sequence, text
+from finquill.plans.named import SQL, Q, query  # noqa: F401
 from finquill.plans.statement import FY_SQL, ST, load, statement
 
-Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 YEARS = ["1995-96", "1996-97", "1997-98"]
 
 
-def query(sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        Q[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 # ---- yearly tables, growth and projections --------------------------------
 _PIVOT = ", ".join(f"round(max(CASE WHEN fy = '{fy}' THEN net_sales END), 2) AS fy_{fy.replace('-', '_')}" for fy in YEARS)
 
