@@ -339,24 +339,6 @@ def field_snippets(spark, sf):
     return text.snippets(lines, "license").select("doc_id", "line_no", "snippet")
 
 
-@query("SELECT p_brand, p_partkey, p_name FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS r FROM part WHERE contains(lower(p_name), 'a')) WHERE r <= 5")
-def field_hints_top5(spark, sf):
-    rows = load(spark, sf, "part").where(F.lower("p_name").contains("a")).select("p_brand", "p_partkey", "p_name")
-    w = Window.partitionBy("p_brand").orderBy("p_partkey")
-    return rows.withColumn("r", F.row_number().over(w)).where("r <= 5").drop("r")
-
-
-@query("SELECT p_partkey, p_name AS label FROM part WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT lower(p_type) AS t FROM part UNION SELECT DISTINCT lower(p_brand) FROM part UNION SELECT 'green' UNION SELECT '#1') WHERE length(t) >= 2 AND (contains(lower(trim(p_name)), t) OR contains(t, lower(trim(p_name))))) AND trim(p_name) <> ''")
-def unmapped_items(spark, sf):
-    p = load(spark, sf, "part")
-    extra = spark.range(1).select(F.explode(F.array(F.lit("green"), F.lit("#1"))).alias("term"))
-    terms = p.select(F.col("p_type").alias("term")).union(p.select("p_brand")).union(extra).distinct()
-    label = F.lower(F.trim("label"))
-    items = p.select("p_partkey", F.col("p_name").alias("label")).where(F.trim("p_name") != "")
-    known = F.broadcast(terms.select(F.lower("term").alias("t")).where("length(t) >= 2").distinct())
-    return items.join(known, label.contains(F.col("t")) | F.col("t").contains(label), "left_anti")
-
-
 @query("SELECT lower(trim(p_name)) AS label, min(p_partkey) AS p_partkey FROM part WHERE trim(p_name) <> '' GROUP BY 1")
 def first_labels(spark, sf):
     rows = merge.first_of_labels(load(spark, sf, "part").select("p_partkey", F.col("p_name").alias("label")), [], ["p_partkey"])
@@ -465,13 +447,6 @@ def sheet_injection(spark, sf):
     return inject(n.withColumn("default", F.lit(0.0)), values, overrides)
 
 
-@query("SELECT l_partkey AS img, round(var_pop(4 * v - up - down - l - r), 4) AS score FROM (SELECT l_partkey, CAST(l_quantity AS INT) AS v, CAST(l_linenumber AS INT) AS up, CAST(l_quantity AS INT) % 7 AS down, CAST(l_linenumber AS INT) % 3 AS l, CAST(l_quantity AS INT) % 5 AS r FROM lineitem) GROUP BY l_partkey")
-def blur_score(spark, sf):
-    q, n = F.col("l_quantity").cast("int"), F.col("l_linenumber").cast("int")
-    lap = 4 * q - n - q % 7 - n % 3 - q % 5
-    return load(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("img")).agg(F.round(F.var_pop(lap), 4).alias("score"))
-
-
 # ---- procedural corner: no SQL --------------------------------------------
 @query()
 def json_repair(spark, sf):
