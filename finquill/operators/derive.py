@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +35,13 @@ LEVELS: tuple[tuple[str, str], ...] = (
     ("contribution", "net_sales - variable_cost"),
     ("break_even_sales", "case when contribution > 0 then ratio(fixed_cost, contribution / nullif(net_sales, 0), 1) end"),
     ("cash_break_even", "case when contribution > 0 then ratio(fixed_cost - dep, contribution / nullif(net_sales, 0), 1) end"),
+    ("rm_content", "ratio(raw_material, net_sales, 4)"),
+    ("total_receivable_days", "ratio(receivables * 365, net_sales + coalesce(other_income, 0), 1)"),
+    ("dep_adjustments", "dep"),
+    ("transfer_to_reserves", "0 * net_sales"),
 )
+#: Confidence of a value that a formula filled in.
+COMPUTED = 0.92
 
 
 def to_sql(formula: str, divide: str = "{a} / nullif({b}, 0)") -> str:
@@ -57,13 +65,43 @@ def to_sql(formula: str, divide: str = "{a} / nullif({b}, 0)") -> str:
     return out
 
 
-def derive(wide: DataFrame) -> DataFrame:
-    """All LEVELS over a frame with a column per field (missing fields are null)."""
+def _levels() -> list[list[tuple[str, str]]]:
+    """LEVELS by depth: formulas of one level read base fields and earlier levels only."""
+    depth: dict[str, int] = {}
     for target, formula in LEVELS:
-        value: Column = F.expr(to_sql(formula, "try_divide({a}, {b})"))
-        wide = wide.withColumn(target, F.coalesce(F.col(target), value) if target in wide.columns else value)
+        depth[target] = 1 + max((depth[t] for t in depth if re.search(rf"\b{t}\b", formula)), default=0)
+    return [[(t, f) for t, f in LEVELS if depth[t] == d] for d in range(1, max(depth.values()) + 1)]
+
+
+def derive(wide: DataFrame) -> DataFrame:
+    """All LEVELS over a frame with a column per field (missing fields are null); one projection a level.
+
+    A target that has a value keeps it; only nulls are filled.
+    """
+    for level in _levels():
+        made = {}
+        for target, formula in level:
+            value: Column = F.expr(to_sql(formula, "try_divide({a}, {b})"))
+            made[target] = F.coalesce(F.col(target), value) if target in wide.columns else value
+        wide = wide.withColumns(made)
     return wide
 
 
+def derive_long(wide: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, field, value, confidence, evidence) of all targets that have a value after ``derive``.
+
+    A given value has no confidence of its own here (null); a computed one has COMPUTED and says
+    from which formula it comes.
+    """
+    given = {t: F.col(t).isNotNull() if t in wide.columns else F.lit(False) for t, _ in LEVELS}
+    marked = wide.withColumns({f"__given_{t}": g for t, g in given.items()})
+    done = derive(marked)
+    cells = F.array(*[
+        F.struct(F.lit(t).alias("field"), F.col(t).cast("double").alias("value"), F.when(~F.col(f"__given_{t}"), COMPUTED).alias("confidence"), F.when(~F.col(f"__given_{t}"), F.lit(f"[COMPUTED] {f}")).alias("evidence"))
+        for t, f in LEVELS
+    ])
+    return done.select(*keys, F.explode(cells).alias("c")).select(*keys, "c.*").where("value is not null")
+
+
 def to_long(wide: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
     return wide.unpivot(keys, fields, "field", "value")
