@@ -15,9 +15,27 @@ from pyspark.sql import functions as F
 
 # Labels that tables often join in one cell.
 LABELS = (
-    "Share Capital", "Reserves and Surplus", "Long Term Borrowings", "Short Term Borrowings", "Trade Payables",
-    "Other Current Liabilities", "Fixed Assets", "Inventories", "Trade Receivables", "Cash and Bank Balances",
+    "Share Capital", "Reserves and Surplus", "Reserves & Surplus", "Long-Term Borrowings", "Long Term Borrowings",
+    "Other Long term Liabilities", "Other Long-Term Liabilities", "Long Term Provisions", "Long-Term Provisions",
+    "Short-Term Borrowings", "Short Term Borrowings", "Trade Payables", "Other Current Liabilities",
+    "Short-Term Provisions", "Short Term Provisions", "Property Plant and Equipment", "Property, Plant and Equipment",
+    "Intangible Assets", "Capital work-in-progress", "Capital work in progress", "Intangible Assets under development",
+    "Non-Current Investments", "Deferred Tax Asset", "Deferred Tax Assets", "Long-Term Loans and Advances",
+    "Long -Term Loans and Advances", "Other Non Current Assets", "Other Non-Current Assets", "Trade Receivables",
+    "Cash and Cash Equivalents", "Bank balance other than cash and cash equivalent", "Bank balances other than cash",
+    "Short-Term Loans and Advances", "Short - Term Loans and Advances", "Other Current Assets",
+    "Revenue from Operations", "Other Income", "Total Income", "Cost of Materials Consumed",
+    "Purchases of Stock-in-Trade", "Changes in inventories", "Employee Benefits Expense", "Finance Costs",
+    "Depreciation and Amortization", "Depreciation and Amortisation", "Other Expense", "Other Expenses",
+    "Total Expense", "Profit before tax", "Profit after tax", "Profit for the year", "Earnings per equity share", "TOTAL",
 )
+# How texts refer to a note, in order.
+NOTE_PATTERNS = (
+    r"Note\s*(\d{1,3})\s*[-–—:.]",
+    r"Note\s*(?:No\.?\s*)?(\d{1,3})",
+    r"Schedule\s+([IVX]+|\d{1,3})",
+    r"note\s+(\d{1,3})\s*(?:[-–]|$)",
+)
 
 
 def repaired(raw: str | None) -> str | None:
@@ -25,7 +43,7 @@ def repaired(raw: str | None) -> str | None:
     if raw is None:
         return None
     for text in (raw, raw[raw.find("{") :] if "{" in raw else raw):
-        for candidate in (text, _cleaned(text), _closed(_cleaned(text))):
+        for candidate in (text, _cleaned(text), _closed(_cleaned(text)), _closed(_cleaned(_escaped(text)))):
             try:
                 return json.dumps(json.loads(candidate), ensure_ascii=False)
             except ValueError:
@@ -39,6 +57,21 @@ def _cleaned(text: str) -> str:
     return re.sub(r'(:\s*)(?:"(-?\d+(?:\.\d+)?|null)(?=\s*[,}\n])|(-?\d+(?:\.\d+)?|null)"(?=\s*[,}\n]))', lambda m: m[1] + (m[2] or m[3]), text)
 
 
+def _escaped(text: str) -> str:
+    """Quotes within a string escaped: a quote ends a string only where a sign of structure or the end follows."""
+    out, inside = [], False
+    for i, c in enumerate(text):
+        if c == '"' and (i == 0 or text[i - 1] != "\\"):
+            if not inside:
+                inside = True
+            elif (rest := text[i + 1 :].lstrip()[:1]) == "" or rest in ",:}]":
+                inside = False
+            else:
+                out.append("\\")
+        out.append(c)
+    return "".join(out)
+
+
 def _closed(text: str) -> str:
     open_brackets, in_string, escaped = [], False, False
     for c in text:
@@ -83,16 +116,20 @@ def _token_set(a: str | None, b: str | None) -> float:
     return round(100 * max(SequenceMatcher(None, p, q).ratio() for p, q in ((both, left), (both, right), (left, right)) if p and q), 2)
 
 
-_NOTE = re.compile(r"(?i)\b(?:see\s+)?notes?\s*(?:no\.?)?\s*[:\-]?\s*(\d{1,2}[a-z]?)\b")
+_NOTES = tuple(re.compile(p, re.IGNORECASE) for p in NOTE_PATTERNS)
+_TAG = re.compile(r"<[^>]+>")
 
 
-def _notes(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: [{"note": m[1], "at": m.start()} for m in _NOTE.finditer(t or "")])
+def notes_of(text: str | None) -> list[dict[str, object]]:
+    """Notes with position and surroundings, by position; a place that fits several spellings counts for each."""
+    plain = _TAG.sub(" ", text or "")
+    found = [(m.start(), k, m[1], plain[max(0, m.start() - 30) : m.end() + 30].strip()) for k, p in enumerate(_NOTES) for m in p.finditer(plain)]
+    return [{"note": n, "at": at, "context": around} for at, _, n, around in sorted(found)]
 
 
 def note_refs(text):
-    """Column of (note, at): references to notes with their positions."""
-    return F.pandas_udf(_notes, "array<struct<note:string,at:int>>")(text)
+    """Column of (note, at, context): references to notes with their positions."""
+    return F.pandas_udf(lambda s: s.map(notes_of), "array<struct<note:string,at:int,context:string>>")(text)
 
 
 def _labels(cell: pd.Series) -> pd.Series:

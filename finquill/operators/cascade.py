@@ -182,7 +182,7 @@ def rows(columns: DataFrame, section: str | None = None, given: DataFrame | None
     out = frame.select("company", "col", F.explode(cells).alias("c")).select("company", "c.section", "c.row_ord", "c.row", "col", "c.value")
     if given is not None:
         out = out.join(given.select("company", "col", "section", "row", F.col("value").alias("__given")), ["company", "col", "section", "row"], "left").withColumn("value", F.coalesce("__given", "value")).drop("__given")
-    return out.where("value is not null").select("company", "section", "row_ord", "row", "col", F.round("value", 4).alias("value"))
+    return out.where("value is not null").select("company", "section", "row_ord", "row", "col", F.round("value", 6).alias("value"))
 
 
 def averages(found: DataFrame, names: list[str]) -> DataFrame:

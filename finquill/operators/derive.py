@@ -40,6 +40,7 @@ LEVELS: tuple[tuple[str, str], ...] = (
     ("dep_adjustments", "dep"),
     ("transfer_to_reserves", "0 * net_sales"),
 )
+_SYNTAX = {"ratio", "coalesce", "nullif", "case", "when", "then", "end"}
 #: Confidence of a value that a formula filled in.
 COMPUTED = 0.92
 
@@ -76,15 +77,18 @@ def _levels() -> list[list[tuple[str, str]]]:
 def derive(wide: DataFrame) -> DataFrame:
     """All LEVELS over a frame with a column per field (missing fields are null); one projection a level.
 
-    A target that has a value keeps it; only nulls are filled.
+    A target that has a value keeps it; only nulls are filled.  Fields that the frame lacks are null.
     """
+    words = {w for _, f in LEVELS for w in re.findall(r"[a-z_]+", f)} - {t for t, _ in LEVELS} - _SYNTAX
+    lacking = sorted(words - set(wide.columns))
+    wide = wide.withColumns({w: F.lit(None).cast("double") for w in lacking})
     for level in _levels():
         made = {}
         for target, formula in level:
             value: Column = F.expr(to_sql(formula, "try_divide({a}, {b})"))
             made[target] = F.coalesce(F.col(target), value) if target in wide.columns else value
         wide = wide.withColumns(made)
-    return wide
+    return wide.drop(*lacking)
 
 
 def derive_long(wide: DataFrame, keys: list[str]) -> DataFrame:

@@ -63,8 +63,8 @@ def balance_progression(rows: DataFrame, account: str) -> DataFrame:
     down = before["balance"] - before["credit"] + before["debit"]
     rows = rows.withColumn("up_ok", (F.abs(F.col("balance") - up) <= 100).cast("int")).withColumn("down_ok", (F.abs(F.col("balance") - down) <= 100).cast("int"))
     rows = rows.withColumn("expected_up", up).withColumn("expected_down", down)
-    votes = rows.groupBy(account).agg(F.sum("up_ok").alias("ups"), F.sum("down_ok").alias("downs"))
-    both = rows.join(votes, account).withColumn("ascending", F.coalesce("ups", F.lit(0)) >= F.coalesce("downs", F.lit(0)))
+    whole = Window.partitionBy(account)  # the same partitioning: no second shuffle, no join
+    both = rows.withColumn("ascending", F.coalesce(F.sum("up_ok").over(whole), F.lit(0)) >= F.coalesce(F.sum("down_ok").over(whole), F.lit(0)))
     wrong = F.when(F.col("ascending"), F.col("up_ok")).otherwise(F.col("down_ok")) == 0
     expected = F.when(F.col("ascending"), F.col("expected_up")).otherwise(F.col("expected_down"))
     return both.where(wrong).select(account, "idx", "balance", expected.alias("expected"), "ascending")

@@ -32,11 +32,27 @@ def percent(progress: Column, total: Column) -> Column:
     return F.round(progress * 100.0 / F.greatest(total, F.lit(1))).cast("int")
 
 
-def reusable(jobs: DataFrame, company: str, doc_ids: list[str]) -> DataFrame:
-    """Each company's first job that is still open, or done with the same set of documents."""
+def reusable(jobs: DataFrame, company: str, doc_ids: list[str], order: str = "job_id", force: bool = False) -> DataFrame:
+    """Each company's first job (by ``order``, the order in which jobs were made) that is still open, or done with the same
+    documents; none with ``force``."""
     same = F.array_sort("doc_ids") == F.array(*[F.lit(x) for x in sorted(doc_ids)])
     open_or_same = F.col("status").isin("running", "pending") | ((F.col("status") == "done") & same)
-    return jobs.where(open_or_same).groupBy(company).agg(F.min("job_id").alias("job_id"))
+    return jobs.where(open_or_same & F.lit(not force)).groupBy(company).agg(F.min_by("job_id", order).alias("job_id"))
+
+
+def priced(documents: DataFrame, keys: list[str], prices: DataFrame, ocr_model: str, extraction_model: str) -> DataFrame:
+    """documents, pages, tokens and cost by a table of prices (model, input, output per million tokens); null for unknown models."""
+    sums = documents.groupBy(*keys).agg(F.count("*").alias("documents"), F.sum("pages").alias("pages"))
+
+    def price(model: str, name: str) -> DataFrame:
+        return prices.where(F.col("model") == model).agg(F.first("input").alias(f"{name}_in"), F.first("output").alias(f"{name}_out"))
+
+    rows = sums.crossJoin(F.broadcast(price(ocr_model, "ocr"))).crossJoin(F.broadcast(price(extraction_model, "ext")))  # one row each
+    ocr = (F.col("pages") * PAGE_TOKENS[0] * F.col("ocr_in") + F.col("pages") * PAGE_TOKENS[1] * F.col("ocr_out")) / 1_000_000
+    calls = F.col("documents") * CALLS
+    ext = (calls * CALL_TOKENS[0] * F.col("ext_in") + calls * CALL_TOKENS[1] * F.col("ext_out")) / 1_000_000
+    tokens = F.col("pages") * sum(PAGE_TOKENS) + calls * sum(CALL_TOKENS)
+    return rows.select(*keys, "documents", "pages", tokens.alias("tokens"), F.round(ocr, 4).alias("ocr_cost"), F.round(ext, 4).alias("extraction_cost"), F.round(F.round(ocr, 4) + F.round(ext, 4), 4).alias("total_cost"))
 
 
 def cost(documents: DataFrame, keys: list[str], page_price: tuple[float, float], call_price: tuple[float, float]) -> DataFrame:

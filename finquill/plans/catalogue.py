@@ -127,10 +127,10 @@ def derived_measures(spark, sf):
     return derive.derive(statement(spark, sf)).select("company", "fy", *[F.round(t, 4).alias(t) for t in _DERIVED])
 
 
-@query(_STEPS + " SELECT * FROM (" + " UNION ALL ".join(f"SELECT company, fy, '{t}' AS field, round(CAST({t} AS DOUBLE), 4) AS value FROM d{len(_DERIVED) - 1}" for t in _DERIVED[:8]) + ")")
+@query(_STEPS + " SELECT * FROM (" + " UNION ALL ".join(f"SELECT company, fy, '{t}' AS field, round(CAST({t} AS DOUBLE), 4) AS value FROM d{len(_DERIVED) - 1}" for t in _DERIVED) + ")")
 def derived_long(spark, sf):
-    wide = derive.derive(statement(spark, sf)).select("company", "fy", *[F.round(F.col(t).cast("double"), 4).alias(t) for t in _DERIVED[:8]])
-    return derive.to_long(wide, ["company", "fy"], _DERIVED[:8])
+    wide = derive.derive(statement(spark, sf)).select("company", "fy", *[F.round(F.col(t).cast("double"), 4).alias(t) for t in _DERIVED])
+    return derive.to_long(wide, ["company", "fy"], _DERIVED)
 
 
 def _section_query(name: str, public: str):
@@ -151,23 +151,24 @@ def accounting_identity(spark, sf):
     return quality.accounting_identity(statement(spark, sf).withColumn("net_worth", F.col("capital") + F.col("reserves")))
 
 
-@query(f"{ST} SELECT company, fy, net_sales - variable_cost - fixed_cost * 2.1 AS net_sales FROM st WHERE net_sales - variable_cost - fixed_cost * 2.1 < 0")
+@query(f"{ST} SELECT company, fy, -net_sales AS net_sales FROM st WHERE company >= 'NATION_2' AND net_sales > 0")
 def sign_check(spark, sf):
-    return quality.sign_check(statement(spark, sf).withColumn("net_sales", F.expr("net_sales - variable_cost - fixed_cost * 2.1")))
+    return quality.sign_check(statement(spark, sf).withColumn("net_sales", F.expr("case when company < 'NATION_2' then net_sales else -net_sales end")))
 
 
-@query(f"{ST} SELECT * FROM (SELECT company, fy, CASE WHEN pbt > 0 AND pat + dep > pbt * 1.1 THEN 'pat_above_pbt' WHEN pbt < 0 AND pat + dep > 0 THEN 'loss_but_pat' END AS finding FROM st) WHERE finding IS NOT NULL")
+@query(f"{ST}, x AS (SELECT company, fy, CASE WHEN company > 'NATION_5' THEN -pbt ELSE pbt END AS pbt, CASE WHEN company < 'NATION_15' THEN pbt * 1.2 ELSE pat END AS pat FROM st) SELECT company, fy, CASE WHEN pbt < 0 THEN 'loss_but_pat' ELSE 'pat_above_pbt' END AS finding FROM x WHERE (pbt < 0 AND pat > 0) OR (pbt > 0 AND pat > 1.1 * pbt)")
 def pbt_pat_check(spark, sf):
-    return quality.profit_consistency(statement(spark, sf, ["pbt", "pat", "dep"]).withColumn("pat", F.col("pat") + F.col("dep")))
+    st = statement(spark, sf, ["pbt", "pat"]).withColumn("pat", F.expr("case when company < 'NATION_15' then pbt * 1.2D else pat end"))
+    return quality.profit_consistency(st.withColumn("pbt", F.expr("case when company > 'NATION_5' then -pbt else pbt end")))
 
 
-@query(f"{ST}, x AS (SELECT company, fy, greatest(net_sales, total_assets, net_sales / 20000) / least(net_sales, total_assets, net_sales / 20000) AS spread FROM st) SELECT company, fy, round(spread, 2) AS spread FROM x WHERE spread > 10000")
+@query(f"{ST}, x AS (SELECT company, fy, greatest(net_sales, total_assets) / (net_sales / CASE WHEN company < 'NATION_2' THEN 20000 ELSE 2 END) AS spread FROM st) SELECT company, fy, round(spread, 2) AS spread FROM x WHERE spread > 10000")
 def unit_outlier(spark, sf):
-    st = statement(spark, sf, ["net_sales", "total_assets"]).withColumn("capital", F.col("net_sales") / 20000)
+    st = statement(spark, sf, ["net_sales", "total_assets"]).withColumn("capital", F.expr("net_sales / case when company < 'NATION_2' then 20000 else 2 end"))
     return quality.unit_spread(st, ["net_sales", "total_assets", "capital"])
 
 
-@query(f"SELECT company, field, fy, doc_ord, confidence FROM {_BEST} WHERE confidence < 0.75 AND confidence > 0.45")
+@query(f"SELECT company, field, fy, doc_ord, confidence FROM {_BEST} WHERE confidence < 0.75")
 def low_confidence(spark, sf):
     found = merge.best_of_documents(_candidates(spark, sf), ["company", "field", "fy"])
     return quality.low_confidence(found).select("company", "field", "fy", "doc_ord", "confidence")
@@ -184,10 +185,10 @@ def invoice_amount_check(spark, sf):
     return out.select("o_orderkey", (F.expr("cast(round(o_totalprice * 100) as bigint)") - F.col("cents")).alias("diff_cents")).where("abs(diff_cents) > 100")
 
 
-@query("SELECT l_partkey, l_suppkey, l_quantity, l_extendedprice, count(*) AS times FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+@query("SELECT l_suppkey, l_quantity, l_discount, CAST(r AS INT) AS repeat_no FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey, l_quantity, l_discount ORDER BY l_orderkey) AS r FROM lineitem) WHERE r > 1")
 def duplicate_line_items(spark, sf):
-    # counting is enough here: the repeats of the first are times - 1, without a sort
-    return load(spark, sf, "lineitem").groupBy("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice").agg(F.count("*").alias("times")).where("times > 1")
+    rows = load(spark, sf, "lineitem").select("l_suppkey", "l_quantity", "l_discount", "l_orderkey")
+    return quality.repeated_rows(rows, ["l_suppkey", "l_quantity", "l_discount"], ["l_orderkey"]).drop("l_orderkey")
 
 
 @query("SELECT * FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice) AS repeat_no FROM lineitem) WHERE repeat_no > 1")
@@ -477,14 +478,17 @@ def fuzzy_match(spark, sf):
 def note_references(spark, sf):
     from finquill.functions.procedural import note_refs
 
-    return load(spark, sf, "documents").select("doc_id", note_refs("text").alias("refs")).select("doc_id", F.explode("refs").alias("r")).select("doc_id", "r.note", "r.at")
+    from finquill.plans.paging import pages
+
+    found = pages(spark, sf).select("page", note_refs("text").alias("refs"))
+    return found.select("page", F.explode("refs").alias("r")).select("page", "r.note", "r.at", "r.context")
 
 
 @query()
 def jammed_labels(spark, sf):
     from finquill.functions.procedural import split_labels
 
-    pairs = load(spark, sf, "nation").select("n_nationkey", F.concat("n_name", F.lit(" Trade Receivables "), "n_name", F.lit(" Inventories")).alias("cell"))
+    pairs = load(spark, sf, "nation").select("n_nationkey", F.concat("n_name", F.lit(" Trade Receivables "), "n_name", F.lit(" Other Non Current Assets Total Income")).alias("cell"))
     return pairs.select("n_nationkey", split_labels("cell").alias("labels")).select("n_nationkey", F.posexplode("labels").alias("at", "label"))
 
 

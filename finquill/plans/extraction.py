@@ -270,3 +270,57 @@ def sheet_injection_rules(spark, sf):
     overrides = p.where("p_partkey % 9 = 0").selectExpr("p_partkey AS row_no", "p_retailprice * 2 AS value")
     formulas = p.where("p_partkey % 5 = 0").selectExpr("p_partkey AS row_no", "concat('=H', CAST(p_partkey AS STRING), '*2') AS formula")
     return extract.injected(sheet, values, overrides, 2025, formulas, "H", "J")
+
+
+@query("""WITH c AS (SELECT n_name AS sheet, CAST(n_nationkey AS DOUBLE) AS a, CAST(n_regionkey + 1 AS DOUBLE) AS b FROM nation), v AS (SELECT sheet, a, b, a + b * 2 AS c3 FROM c)
+ SELECT sheet, unnest([1, 2, 3, 4, 5, 6, 7, 8]) AS row_no, unnest([a, b, c3, (c3 - a) / b, 0.0, CASE WHEN a > b THEN a - b ELSE 0 END, 1.0, 0.0]) AS value FROM v""")
+def formula_values(spark, sf):
+    from finquill.functions.formulas import sheet_values
+
+    formulas = ["=S1+S2*2", "=(S3-S1)/S2", "=S4/0", "=IF(S1>S2,S1-S2,0)", "=S99+1", "=SUM(S1:S2)"]
+
+    def cell(row_no: int, number, formula: str | None = None):
+        return F.struct(F.lit(row_no).alias("row_no"), F.lit(number).cast("double").alias("number") if number is None else number.cast("double").alias("number"), F.lit(formula).cast("string").alias("formula"))
+
+    rows = [cell(1, F.col("n_nationkey")), cell(2, F.col("n_regionkey") + 1), *[cell(k, None, f) for k, f in enumerate(formulas, 3)]]
+    cells = load(spark, sf, "nation").select(F.col("n_name").alias("sheet"), F.explode(F.array(*rows)).alias("c")).select("sheet", "c.*")
+    return sheet_values(cells, "S")
+
+
+_FILL = choose("l_partkey", ["FFFFFF00", "FFFFFFFF", "00000000", "ffd9e1f2"])
+
+
+@query(f"SELECT sheet, row_no, string_agg(value, ' | ' ORDER BY col_no) AS cells FROM (SELECT l_orderkey AS sheet, l_linenumber AS row_no, l_partkey * 100 + l_suppkey % 100 AS col_no, CAST(l_partkey AS VARCHAR) AS value, upper({_FILL}) AS f FROM lineitem) WHERE f NOT IN ('FFFFFFFF', '00000000') GROUP BY sheet, row_no")
+def coloured_rows(spark, sf):
+    from finquill.sources.sinks import coloured_rows
+
+    cells = load(spark, sf, "lineitem").selectExpr("l_orderkey AS sheet", "l_linenumber AS row_no", "l_partkey * 100 + l_suppkey % 100 AS col_no", "CAST(l_partkey AS STRING) AS value", f"{_FILL} AS fill_rgb")
+    return coloured_rows(cells, ["FFFFFFFF", "00000000"])
+
+
+@query("""WITH d AS (SELECT o_custkey, count(*) AS documents, sum(o_orderkey % 40) AS pages FROM orders GROUP BY o_custkey)
+ SELECT o_custkey, documents, CAST(pages AS BIGINT) AS pages, CAST(pages * 2600 + documents * 190 * 2150 AS BIGINT) AS tokens, round((pages * 1700 * 0.15137::DOUBLE + pages * 900 * 0.60713::DOUBLE) / 1000000, 4) AS ocr_cost, NULL::DOUBLE AS extraction_cost, NULL::DOUBLE AS total_cost FROM d""")
+def cost_by_prices(spark, sf):
+    """The price of the extraction model is unknown, so it and the total are null."""
+    from finquill.operators.registry import priced
+
+    prices = spark.createDataFrame([("small", 0.15137, 0.60713), ("large", 2.5, 10.0)], "model string, input double, output double")
+    docs = load(spark, sf, "orders").selectExpr("o_custkey", "o_orderkey % 40 AS pages")
+    return priced(docs, ["o_custkey"], prices, "small", "another")
+
+
+@query("WITH j AS (SELECT o_custkey, o_orderkey AS job_id, 100000 - o_orderkey AS made, CASE WHEN o_orderkey % 4 = 0 THEN 'running' WHEN o_orderkey % 4 = 1 THEN 'done' ELSE 'failed' END AS status, o_orderkey % 3 = 0 AS same FROM orders) SELECT o_custkey, arg_min(job_id, made) AS job_id FROM j WHERE status = 'running' OR (status = 'done' AND same) GROUP BY o_custkey")
+def job_reuse_by_age(spark, sf):
+    from finquill.operators.registry import reusable
+
+    jobs = load(spark, sf, "orders").selectExpr("o_custkey", "o_orderkey AS job_id", "100000 - o_orderkey AS made", "CASE WHEN o_orderkey % 4 = 0 THEN 'running' WHEN o_orderkey % 4 = 1 THEN 'done' ELSE 'failed' END AS status", "CASE WHEN o_orderkey % 3 = 0 THEN array('b', 'a') ELSE array('a') END AS doc_ids")
+    return reusable(jobs, "o_custkey", ["a", "b"], "made")
+
+
+@query()
+def old_label_matches(spark, sf):
+    from finquill.functions.procedural import token_set_ratio
+
+    rows = load(spark, sf, "lineitem").selectExpr("l_orderkey AS doc", f"{_POS} AS pos", f"{_LABEL} AS label")
+    aliases = spark.createDataFrame([("Net Sales", "revenue from operations"), ("Share Capital", "share capital"), ("Trade Payables", "payables trade"), ("Deferred Tax Liabilities", "total current assets")], "field string, alias string")
+    return extract.old_matches(rows, aliases, token_set_ratio("label", "alias")).select("doc", "pos", "label", "field")

@@ -39,7 +39,7 @@ def _section_sql(first: int, name: str, listed: list[tuple[str, str]]) -> str:
     names = ", ".join("'" + n.replace("'", "''") + "'" for n, _ in listed)
     values = ", ".join(f"CAST({e} AS DOUBLE)" for _, e in listed)
     ords = ", ".join(str(first + k) for k in range(len(listed)))
-    return f"{_FIVE} SELECT company, '{name}' AS section, row_ord, row, col, round(value, 4) AS value FROM (SELECT company, CAST(col AS INT) AS col, unnest([{ords}]) AS row_ord, unnest([{names}]) AS row, unnest([{values}]) AS value FROM z) WHERE value IS NOT NULL"
+    return f"{_FIVE} SELECT company, '{name}' AS section, row_ord, row, col, round(value, 6) AS value FROM (SELECT company, CAST(col AS INT) AS col, unnest([{ords}]) AS row_ord, unnest([{names}]) AS row, unnest([{values}]) AS value FROM z) WHERE value IS NOT NULL"
 
 
 def _q(a: str, b: str, digits: int = 4) -> str:
@@ -114,7 +114,7 @@ def report_indicators(spark, sf):
     return cascade.rows(_columns(spark, sf), "indicators")
 
 
-@query(f"{_FIVE} SELECT company, row, round(avg(nullif(round(v, 4), 0)), 4) AS average FROM (SELECT company, unnest(['Gross DSCR', 'Net DSCR']) AS row, unnest([{_q('(accruals + interest)', 'repayment + interest')}, {_q('accruals', 'repayment')}]) AS v FROM z) WHERE v IS NOT NULL GROUP BY company, row")
+@query(f"{_FIVE} SELECT company, row, round(avg(nullif(round(v, 6), 0)), 4) AS average FROM (SELECT company, unnest(['Gross DSCR', 'Net DSCR']) AS row, unnest([{_q('(accruals + interest)', 'repayment + interest')}, {_q('accruals', 'repayment')}]) AS v FROM z) WHERE v IS NOT NULL GROUP BY company, row")
 def dscr_averages(spark, sf):
     return cascade.averages(cascade.rows(_columns(spark, sf), "dscr"), ["Net DSCR", "Gross DSCR"])
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -15,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from finquill.errors import UnsupportedFormat
+
 # File endings that are taken.
 SUPPORTED = (".pdf", ".png", ".jpg", ".jpeg", ".tiff", ".tif", ".zip")
 
@@ -32,24 +35,47 @@ def uploads(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("path", "length", F.sha2("content", 256).alias("sha256"), error.alias("error_code"))
 
 
+_MEMBERS = "path string, member string, content binary, error_code string"
+
+
 def zip_members(archives: DataFrame) -> DataFrame:
-    """(path, member, content) of supported, non-empty members; nested archives are left out."""
+    """(path, member, content, error_code) of supported, non-empty members; nested archives are left out.
+
+    An archive that can't be read, or has no such member, is one row with the code unsupported_format.
+    """
+
+    def members(raw: bytes) -> Iterator[tuple[str, bytes]]:
+        with zipfile.ZipFile(io.BytesIO(raw)) as z:
+            for info in z.infolist():
+                name = info.filename.lower()
+                if not info.is_dir() and info.file_size and name.endswith(SUPPORTED) and not name.endswith(".zip"):
+                    yield info.filename, z.read(info)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def row(path, member, content, code):
+            return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([member], pa.string()), pa.array([content], pa.binary()), pa.array([code], pa.string())], ["path", "member", "content", "error_code"])
+
         for batch in batches:
             for path, raw in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                with zipfile.ZipFile(io.BytesIO(raw)) as z:
-                    for info in z.infolist():
-                        name = info.filename.lower()
-                        if not info.is_dir() and info.file_size and name.endswith(SUPPORTED) and not name.endswith(".zip"):
-                            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([info.filename]), pa.array([z.read(info)], pa.binary())], ["path", "member", "content"])
+                n = 0
+                try:
+                    for member, content in members(raw or b""):
+                        n += 1
+                        yield row(path, member, content, None)
+                except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError):
+                    yield row(path, None, None, UnsupportedFormat.code)
+                    n += 1
+                if not n:
+                    yield row(path, None, None, UnsupportedFormat.code)
 
-    return archives.select("path", "content").mapInArrow(run, "path string, member string, content binary")
+    return archives.select("path", "content").mapInArrow(run, _MEMBERS)
 
 
 def registry(spark: SparkSession, path: str | None) -> DataFrame:
-    """The registry of documents; empty if there is none."""
-    return spark.createDataFrame([], REGISTRY) if path is None else spark.read.schema(REGISTRY).json(path)
+    """The registry of documents; empty if there is none, lines that can't be read are left out."""
+    if path is None:
+        return spark.createDataFrame([], REGISTRY)
+    return spark.read.schema(REGISTRY).option("mode", "DROPMALFORMED").json(path)
 
 
 def page_texts(texts: DataFrame) -> DataFrame:
@@ -85,7 +111,10 @@ def workbook_cells(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, raw in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                found = cells_of(raw)
+                try:
+                    found = cells_of(raw or b"")
+                except (zipfile.BadZipFile, ElementTree.ParseError, zlib.error, KeyError, ValueError):
+                    found = []  # no workbook, no cells
                 columns = list(zip(*found, strict=True)) or [[]] * 4
                 yield pa.RecordBatch.from_arrays([pa.array([path] * len(found)), *(pa.array(c, pa.string()) for c in columns)], ["path", "sheet", "cell", "value", "formula"])
 

@@ -6,7 +6,7 @@ import io
 import zipfile
 from xml.sax.saxutils import escape
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A workbook is made on the driver, so its rows are bounded; larger tables are written as Parquet or CSV.
@@ -64,3 +64,55 @@ def workbook(sheets: dict[str, DataFrame]) -> bytes:
 def markdown_lines(df: DataFrame) -> DataFrame:
     """Table rows as Markdown lines (column ``value``) for ``write.text``."""
     return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]), F.lit(" |")).alias("value"))
+
+
+def document_sheets(kind: str, summary: DataFrame, rows: DataFrame, issues: DataFrame, tables: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """Sheets of one document's workbook, in order: summary, its rows under the name of its kind, tables, checks."""
+    names = {"bank_statement": "Transactions", "financial_report": "Report Metrics"}
+    sheets = {"Document Summary": summary, names.get(kind, "Line Items"): rows}
+    sheets |= {f"Table {k}": t for k, t in enumerate((tables or {}).values(), 1)}
+    return sheets | {"Validation Report": issues}
+
+
+def append(df: DataFrame, path: str) -> None:
+    """Rows of a cache or of learned terms added to those there are."""
+    df.write.mode("append").parquet(path)
+
+
+def replace(df: DataFrame, path: str) -> None:
+    """A small table (registry, cache) written anew: beside the old one first, then in its place, so readers never see half of it."""
+    spark = df.sparkSession
+    fs, old, new = _path(spark, path), _hadoop(spark, path), _hadoop(spark, f"{path.rstrip('/')}.new")
+    df.write.mode("overwrite").json(f"{path.rstrip('/')}.new")
+    fs.delete(old, True)
+    if not fs.rename(new, old):
+        raise OSError(f"{path} couldn't be replaced")
+
+
+def backup(spark: SparkSession, path: str, target: str) -> None:
+    """A copy of a file or folder; refuses to write over one that is there."""
+    fs = _path(spark, path)
+    if _path(spark, target).exists(_hadoop(spark, target)):
+        raise FileExistsError(target)
+    spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, _hadoop(spark, path), _path(spark, target), _hadoop(spark, target), False, spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def write_log(df: DataFrame, path: str) -> None:
+    """A job's records: one text column as lines, other frames as JSON."""
+    (df.write.mode("overwrite").text if [t for _, t in df.dtypes] == ["string"] else df.write.mode("overwrite").json)(path)
+
+
+def coloured_rows(cells: DataFrame, plain: list[str], only: str | None = None) -> DataFrame:
+    """(sheet, row_no, cells) of rows with a coloured cell: filled other than ``plain``, or just ``only``; cells in column order."""
+    fill = F.upper("fill_rgb")
+    wanted = fill.isNotNull() & (fill == only.upper() if only else ~fill.isin(*[p.upper() for p in plain]))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("col_no", "value"))), lambda x: F.coalesce(x["value"], F.lit("")))
+    return cells.where(wanted).groupBy("sheet", "row_no").agg(F.array_join(ordered, " | ").alias("cells"))
+
+
+def _hadoop(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _path(spark: SparkSession, path: str):
+    return _hadoop(spark, path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
