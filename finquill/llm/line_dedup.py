@@ -37,7 +37,7 @@ from finquill.llm.components import components
 
 LIKE = 0.8
 #: SimHash bits in which lines that are alike may differ.
-HAMMING = 24
+HAMMING = 20
 #: Least words of a run, and runs from either end of a line.
 SEGMENT = 4
 RUNS = 4
@@ -45,8 +45,8 @@ RUNS = 4
 SHORT = 2 * SEGMENT
 #: The filter of keys has 2**FILTER_BITS cells of 64 bits (some 10 MB in memory).
 FILTER_BITS = 18
-#: Bits of a SimHash vote counter.
-SLICES = 16
+#: Bits of SimHash vote counters, for lines of few to very many words.
+SLICES = (5, 7, 16)
 
 
 def normalised(line: Column) -> Column:
@@ -56,28 +56,38 @@ def normalised(line: Column) -> Column:
 def with_simhash(lines: DataFrame, column: str = "line") -> DataFrame:
     """``lines`` with ``s``, the 64-bit SimHash of a line's distinct words, all of them.
 
-    Votes are counted for all 64 bits at once with bit-sliced counters.  A line of
-    2**SLICES distinct words or more has no SimHash (null), which rules nothing out.
+    Votes are counted for all 64 bits at once with bit-sliced counters, of as many slices
+    as the line's words need.  A line of 2**16 distinct words or more has no SimHash (null),
+    which rules nothing out.
     """
-    rows = lines.withColumn("_words", F.array_distinct(F.split(column, " ")))
-
-    def add(acc: Column, word: Column) -> Column:
-        parts, carry = [], F.xxhash64(word)
-        for k in range(SLICES):
-            parts.append(acc[f"c{k}"].bitwiseXOR(carry).alias(f"c{k}"))
-            carry = carry.bitwiseAND(acc[f"c{k}"])
-        return F.struct(*parts)
-
-    zero = F.struct(*[F.lit(0).cast("long").alias(f"c{k}") for k in range(SLICES)])
-    rows = rows.withColumn("_half", F.floor(F.size("_words") / 2)).withColumn("_votes", F.when(F.size("_words") < 1 << SLICES, F.aggregate("_words", zero, add)))
-    # votes > half, for all bits at once: compare the sliced counters with n // 2
-    more, same = F.lit(0).cast("long"), F.lit(-1).cast("long")
-    for k in reversed(range(SLICES)):
-        bit = -F.shiftright(F.col("_half"), k).bitwiseAND(F.lit(1).cast("long"))
-        count = F.col(f"_votes.c{k}")
-        more = more.bitwiseOR(same.bitwiseAND(count).bitwiseAND(F.bitwise_not(bit)))
-        same = same.bitwiseAND(F.bitwise_not(count.bitwiseXOR(bit)))
-    return rows.withColumn("s", more).drop("_words", "_half", "_votes")
+    rows = lines.withColumn("_words", F.array_distinct(F.split(column, " "))).withColumn("_n", F.size("_words"))
+
+    def votes(slices: int) -> Column:
+        def add(acc: Column, word: Column) -> Column:
+            parts, carry = [], F.xxhash64(word)
+            for k in range(slices):
+                parts.append(acc[f"c{k}"].bitwiseXOR(carry).alias(f"c{k}"))
+                carry = carry.bitwiseAND(acc[f"c{k}"])
+            return F.struct(*parts)
+
+        zero = F.struct(*[F.lit(0).cast("long").alias(f"c{k}") for k in range(slices)])
+
+        def majority(acc: Column) -> Column:
+            # votes > half, for all bits at once: compare the sliced counters with n // 2
+            half, more, same = F.floor(F.col("_n") / 2), F.lit(0).cast("long"), F.lit(-1).cast("long")
+            for k in reversed(range(slices)):
+                bit = -F.shiftright(half, k).bitwiseAND(F.lit(1).cast("long"))
+                more = more.bitwiseOR(same.bitwiseAND(acc[f"c{k}"]).bitwiseAND(F.bitwise_not(bit)))
+                same = same.bitwiseAND(F.bitwise_not(acc[f"c{k}"].bitwiseXOR(bit)))
+            return more
+
+        return F.aggregate("_words", zero, add, majority)
+
+    s = None
+    for slices in SLICES:
+        fits = F.col("_n") < 1 << slices
+        s = F.when(fits, votes(slices)) if s is None else s.when(fits, votes(slices))
+    return rows.withColumn("s", s).drop("_words", "_n")
 
 
 def with_blocks(lines: DataFrame, column: str = "line") -> DataFrame:
@@ -163,40 +173,40 @@ def _near() -> Column:
     return (F.abs(F.col("a_n") - F.col("b_n")) <= _allowed()) & (short | F.coalesce(F.bit_count(F.col("a_s").bitwiseXOR(F.col("b_s"))) <= HAMMING, F.lit(True)))
 
 
-def _similar() -> Column:
-    """Whether lines ``a`` and ``b`` are alike.
+def _similar(pairs: DataFrame) -> DataFrame:
+    """``pairs`` (a and b with their sides' columns) with alike.
 
-    Where the words differ one by one, the lengths of the differing words bound the
-    distance from above; only other pairs need the distance itself, of what is left
-    between their common first and last words.
+    What lies between the common first and last words decides.  Its length bounds the
+    distance from above, and where as many words differ one by one, so do their
+    lengths; only other pairs need the distance itself, of these middles.
     """
-    x, y = F.split("a", " "), F.split("b", " ")
+    x, y = F.col("_x"), F.col("_y")
+    rows = pairs.withColumn("_x", F.split("a", " ")).withColumn("_y", F.split("b", " ")).withColumn("_least", F.least(F.size(x), F.size(y)))
+    rows = rows.withColumn("_ahead", F.array_position(F.zip_with(x, y, lambda p, q: ~p.eqNullSafe(q)), True).cast("int"))
+    rows = rows.withColumn("_ahead", F.when(F.col("_ahead") > 0, F.col("_ahead") - 1).otherwise(F.col("_least")))
+    rows = rows.withColumn("_behind", F.array_position(F.zip_with(F.reverse(x), F.reverse(y), lambda p, q: ~p.eqNullSafe(q)), True).cast("int"))
+    rows = rows.withColumn("_behind", F.least(F.when(F.col("_behind") > 0, F.col("_behind") - 1).otherwise(F.col("_least")), F.col("_least") - F.col("_ahead")))
+    middle = [F.slice(w, F.col("_ahead") + 1, F.size(w) - F.col("_ahead") - F.col("_behind")) for w in (x, y)]
+    rows = rows.withColumn("_x", middle[0]).withColumn("_y", middle[1]).withColumn("_a", F.array_join("_x", " ")).withColumn("_b", F.array_join("_y", " "))
     differing = F.zip_with(x, y, lambda p, q: F.when(p == q, 0).otherwise(F.greatest(F.char_length(p), F.char_length(q))))
-    bound = F.aggregate(differing, F.lit(0), lambda n, d: n + d)
-
-    def alike(ends: Column) -> Column:  # how many words are equal from the start
-        first = F.coalesce(F.array_position(ends, True), F.lit(0)).cast("int")
-        return F.when(first > 0, first - 1).otherwise(F.least(F.size(x), F.size(y)))
-
-    unequal = F.zip_with(x, y, lambda p, q: ~p.eqNullSafe(q))
-    ahead = alike(unequal)
-    behind = F.least(alike(F.zip_with(F.reverse(x), F.reverse(y), lambda p, q: ~p.eqNullSafe(q))), F.least(F.size(x), F.size(y)) - ahead)
-
-    def middle(w: Column) -> Column:
-        return F.array_join(F.slice(w, ahead + 1, F.size(w) - ahead - behind), " ")
-
-    # a threshold of levenshtein is a literal in Spark's function, an expression in SQL's
-    long = F.greatest("a_n", "b_n") > 1000
-    exact = F.call_function("levenshtein", F.when(long, middle(x)).otherwise(F.col("a")), F.when(long, middle(y)).otherwise(F.col("b")), _allowed().cast("int")) >= 0
-    return _near() & (((F.size(x) == F.size(y)) & (bound <= _allowed())) | exact)
+    one_by_one = (F.size(x) == F.size(y)) & (F.aggregate(differing, F.lit(0), lambda n, d: n + d) <= _allowed())
+    # one side of the middles may lack a space at the seam, hence 1
+    whole = F.greatest(F.char_length("_a"), F.char_length("_b")) + 1 <= _allowed()
+    exact = F.call_function("levenshtein", F.when(F.col("_cut"), F.col("_a")).otherwise(F.col("a")), F.when(F.col("_cut"), F.col("_b")).otherwise(F.col("b")), _allowed().cast("int")) >= 0
+    # with an empty middle a space of the seam is missing on that side: the whole lines are compared
+    rows = rows.withColumn("_cut", (F.size(x) > 0) & (F.size(y) > 0))
+    return rows.withColumn("alike", whole | one_by_one | exact)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, what: str) -> DataFrame:
     """(a, b, alike) of pairs of keys, written."""
     one, other = (texts.select("key", "n", "words", "s", "line").toDF(f"_{x}", f"{k}_n", f"{k}_words", f"{k}_s", f"_{k}") for x, k in (("x", "a"), ("y", "b")))
     met = pairs.join(one, pairs.a == one["_x"]).join(other, pairs.b == other["_y"])
-    met = met.select(F.col("_x"), F.col("_y"), F.col("_a").alias("a"), F.col("_b").alias("b"), *[f"{k}_{c}" for k in "ab" for c in ("n", "words", "s")])
-    return cut(met.select(F.col("_x").alias("a"), F.col("_y").alias("b"), _similar().alias("alike")), what)
+    met = met.select(F.col("_x").alias("a_key"), F.col("_y").alias("b_key"), F.col("_a").alias("a"), F.col("_b").alias("b"), _near().alias("near"), "a_n", "b_n")
+    # what is too far by length or SimHash is settled; the rest is worked on alone
+    far = met.where("not near").select("a_key", "b_key", F.lit(False).alias("alike"))
+    close = _similar(met.where("near")).select("a_key", "b_key", "alike")
+    return cut(far.unionByName(close).toDF("a", "b", "alike"), what)
 
 
 def similar_lines(seen: DataFrame, docs: DataFrame, whole: DataFrame) -> DataFrame | None:
