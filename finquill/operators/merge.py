@@ -27,7 +27,7 @@ def best_of_chunks(values: DataFrame, keys: list[str]) -> DataFrame:
 
 def scaffold(found: DataFrame, fields: DataFrame, companies: DataFrame, years: DataFrame) -> DataFrame:
     """Every company, field and year, with the value found or null; dimensions are small tables."""
-    frame = companies.crossJoin(F.broadcast(years)).crossJoin(F.broadcast(fields))
+    frame = companies.crossJoin(years).crossJoin(fields)
     return frame.join(found, ["company", "field", "fy"], "left")
 
 
@@ -38,11 +38,11 @@ def financial_years(values: DataFrame) -> DataFrame:
 def first_of_labels(items: DataFrame, partition: list[str], order: list[str]) -> DataFrame:
     """The first row of each label, whatever its case."""
     w = Window.partitionBy(*partition, F.lower(F.trim("label"))).orderBy(*order)
-    return items.where("trim(label) <> ''").withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    return items.where("trim(label) <> ''").withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 
 def unmapped(items: DataFrame, terms: DataFrame) -> DataFrame:
     """Labels that neither contain nor are contained in a known term of four letters or more."""
     label = F.lower(F.trim(items["label"]))
-    known = F.broadcast(terms.select(F.lower("term").alias("_t")).where("length(_t) >= 4").distinct())
-    return items.where(label != "").join(known, label.contains(F.col("_t")) | F.col("_t").contains(label), "left_anti")
+    known = terms.select(F.lower("term").alias("__t")).where("length(__t) >= 4").distinct()
+    return items.where(label != "").join(known, label.contains(F.col("__t")) | F.col("__t").contains(label), "left_anti")

@@ -10,7 +10,7 @@ def islands(rows: DataFrame, keys: list[str], order: list[str], position: str, g
     """A group number that grows wherever the step in ``position`` exceeds ``gap``."""
     w = Window.partitionBy(*keys).orderBy(*order)
     step = F.coalesce((F.abs(F.col(position) - F.lag(position).over(w)) > gap).cast("int"), F.lit(0))
-    return rows.withColumn("_step", step).withColumn("row_group", F.sum("_step").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_step")
+    return rows.withColumn("__step", step).withColumn("row_group", F.sum("__step").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__step")
 
 
 def merge_continuations(rows: DataFrame, keys: list[str], order: list[str], is_continuation: Column) -> DataFrame:
@@ -20,32 +20,32 @@ def merge_continuations(rows: DataFrame, keys: list[str], order: list[str], is_c
     decides: no loop over rows.
     """
     w = Window.partitionBy(*keys).orderBy(*order)
-    rows = rows.withColumn("_cont", F.coalesce(is_continuation, F.lit(False)).cast("int"))
-    rows = rows.withColumn("_run", F.sum(1 - F.col("_cont")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    place = F.row_number().over(Window.partitionBy(*keys, "_run").orderBy(*order))
-    lone = F.col("_run") == 0  # continuations before any other row pair among themselves
-    rows = rows.withColumn("_place", place - 1)
-    return rows.withColumn("consumed", F.col("_place") % 2 == 1).withColumn("_lone", lone).drop("_cont", "_run", "_place", "_lone")
+    rows = rows.withColumn("__cont", F.coalesce(is_continuation, F.lit(False)).cast("int"))
+    rows = rows.withColumn("__run", F.sum(1 - F.col("__cont")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    place = F.row_number().over(Window.partitionBy(*keys, "__run").orderBy(*order))
+    lone = F.col("__run") == 0  # continuations before any other row pair among themselves
+    rows = rows.withColumn("__place", place - 1)
+    return rows.withColumn("consumed", F.col("__place") % 2 == 1).withColumn("__lone", lone).drop("__cont", "__run", "__place", "__lone")
 
 
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
     """For each left row the last ``value`` of right at or before it: one union and one window, no range join."""
-    a = left.select(*keys, at, *[c for c in left.columns if c not in (*keys, at)], F.lit(None).cast(right.schema[value].dataType).alias("_v"), F.lit(1).alias("_side"))
+    a = left.select(*keys, at, *[c for c in left.columns if c not in (*keys, at)], F.lit(None).cast(right.schema[value].dataType).alias("__v"), F.lit(1).alias("__side"))
     missing = [F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns if c not in (*keys, at)]
-    b = right.select(*keys, at, *missing, F.col(value).alias("_v"), F.lit(0).alias("_side"))
-    w = Window.partitionBy(*keys).orderBy(at, "_side", "_v").rowsBetween(Window.unboundedPreceding, 0)
-    return a.unionByName(b).withColumn(f"last_{value}", F.last("_v", ignorenulls=True).over(w)).where("_side = 1").drop("_v", "_side")
+    b = right.select(*keys, at, *missing, F.col(value).alias("__v"), F.lit(0).alias("__side"))
+    w = Window.partitionBy(*keys).orderBy(at, "__side", "__v").rowsBetween(Window.unboundedPreceding, 0)
+    return a.unionByName(b).withColumn(f"last_{value}", F.last("__v", ignorenulls=True).over(w)).where("__side = 1").drop("__v", "__side")
 
 
 def band_join(left: DataFrame, right: DataFrame, a: str, b: str, width: int) -> DataFrame:
     """Rows with |a - b| < width for integers: equal buckets, or the ones next to them."""
-    near = left.withColumn("_bucket", F.explode(F.array(*[F.floor(F.col(a) / width) + k for k in (-1, 0, 1)])))
-    far = right.withColumn("_bucket", F.floor(F.col(b) / width))
-    return near.join(far, "_bucket").where(F.abs(F.col(a) - F.col(b)) < width).drop("_bucket")
+    near = left.withColumn("__bucket", F.explode(F.array(*[F.floor(F.col(a) / width) + k for k in (-1, 0, 1)])))
+    far = right.withColumn("__bucket", F.floor(F.col(b) / width))
+    return near.join(far, "__bucket").where(F.abs(F.col(a) - F.col(b)) < width).drop("__bucket")
 
 
 def trim_range(rows: DataFrame, keys: list[str], page: str, low: Column, high: Column) -> DataFrame:
     """Rows in [low, high]; all rows of a key that has none there."""
     inside = (F.col(page) >= F.coalesce(low, F.lit(1))) & (high.isNull() | (F.col(page) <= high))
     has = F.max(inside.cast("int")).over(Window.partitionBy(*keys))
-    return rows.withColumn("_in", inside).withColumn("_any", has).where("_in or _any = 0").drop("_in", "_any")
+    return rows.withColumn("__in", inside).withColumn("__any", has).where("__in or __any = 0").drop("__in", "__any")

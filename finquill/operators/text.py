@@ -46,7 +46,7 @@ def relevance(text: Column, words: list[str], weight: int = 8) -> Column:
 def top_chunks(scored: DataFrame, keys: list[str], k: int) -> DataFrame:
     """The k best positive scores, earlier chunks first on ties."""
     w = Window.partitionBy(*keys).orderBy(F.desc("score"), "chunk_idx")
-    return scored.where("score > 0").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
+    return scored.where("score > 0").withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k).drop("__r")
 
 
 def spread(rows: DataFrame, keys: list[str], idx: str, total: Column, k: int) -> DataFrame:
