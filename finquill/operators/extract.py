@@ -58,7 +58,7 @@ def hints(candidates: DataFrame, terms: DataFrame, pages: DataFrame | None = Non
     """The first ``limit`` different matches (label and values) of each document and field, numbered in candidate order."""
     same = ["doc", "field", "label", "current_value", "previous_value"]
     one = matched(candidates, terms, pages).groupBy(*same).agg(F.min(F.struct("pos", "page")).alias("__first"))
-    place = F.row_number().over(Window.partitionBy("doc", "field").orderBy("__first.pos", "label"))
+    place = F.row_number().over(Window.partitionBy("doc", "field").orderBy("__first.pos", "label", "current_value", "previous_value"))
     return one.withColumn("place", place).where(F.col("place") <= limit).select(*same, F.col("__first.page").alias("page"), F.col("__first.pos").alias("pos"), "place")
 
 

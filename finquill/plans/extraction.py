@@ -165,7 +165,7 @@ def entity_overlay(spark, sf):
 
 
 _HINTS = f"""m AS (SELECT doc, t.field, label, current_value, previous_value, min(pos) AS pos, arg_min(page, pos) AS page FROM ({_CANDS}) JOIN {_TERMS_SQL} ON contains(lower(label), lower(term)) OR contains(lower(term), lower(label)) GROUP BY ALL),
- h AS (SELECT *, row_number() OVER (PARTITION BY doc, field ORDER BY pos, label) AS place FROM m QUALIFY place <= 5)"""
+ h AS (SELECT *, row_number() OVER (PARTITION BY doc, field ORDER BY pos, label, current_value NULLS FIRST, previous_value NULLS FIRST) AS place FROM m QUALIFY place <= 5)"""
 
 
 @query(f"WITH {_HINTS} SELECT doc, field, label, current_value, previous_value, page, pos, place FROM h")
