@@ -60,11 +60,13 @@ def with_simhash(lines: DataFrame, column: str = "line") -> DataFrame:
     as the line's words need.  A line of 2**16 distinct words or more has no SimHash (null),
     which rules nothing out.
     """
-    rows = lines.withColumn("_words", F.array_distinct(F.split(column, " "))).withColumn("_n", F.size("_words"))
+    # hashed here, since a lambda's terms are worked out again wherever they occur
+    hashes = F.transform(F.split(column, " "), lambda word: F.xxhash64(word))
+    rows = lines.withColumn("_words", F.array_distinct(hashes)).withColumn("_n", F.size("_words"))
 
     def votes(slices: int) -> Column:
         def add(acc: Column, word: Column) -> Column:
-            parts, carry = [], F.xxhash64(word)
+            parts, carry = [], word
             for k in range(slices):
                 parts.append(acc[f"c{k}"].bitwiseXOR(carry).alias(f"c{k}"))
                 carry = carry.bitwiseAND(acc[f"c{k}"])
