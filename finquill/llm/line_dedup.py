@@ -205,10 +205,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, what: str) -> DataFrame:
     one, other = (texts.select("key", "n", "words", "s", "line").toDF(f"_{x}", f"{k}_n", f"{k}_words", f"{k}_s", f"_{k}") for x, k in (("x", "a"), ("y", "b")))
     met = pairs.join(one, pairs.a == one["_x"]).join(other, pairs.b == other["_y"])
     met = met.select(F.col("_x").alias("a_key"), F.col("_y").alias("b_key"), F.col("_a").alias("a"), F.col("_b").alias("b"), _near().alias("near"), "a_n", "b_n")
-    # what is too far by length or SimHash is settled; the rest is worked on alone
-    far = met.where("not near").select("a_key", "b_key", F.lit(False).alias("alike"))
-    close = _similar(met.where("near")).select("a_key", "b_key", "alike")
-    return cut(far.unionByName(close).toDF("a", "b", "alike"), what)
+    # what is too far by length or SimHash is settled: without its texts nothing is worked out
+    met = met.select("a_key", "b_key", "near", "a_n", "b_n", F.when(F.col("near"), F.col("a")).alias("a"), F.when(F.col("near"), F.col("b")).alias("b"))
+    rows = _similar(met).select("a_key", "b_key", (F.col("near") & F.coalesce("alike", F.lit(False))).alias("alike"))
+    return cut(rows.toDF("a", "b", "alike"), what)
 
 
 def similar_lines(seen: DataFrame, docs: DataFrame, whole: DataFrame) -> DataFrame | None:
