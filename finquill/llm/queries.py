@@ -125,6 +125,16 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from finquill.llm.alignment import align, tokenise, with_counts
+
+    tokens = tokenise(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise(F.lit(""))
+    return with_counts(align(tokens).withColumn("groups_sha256", digest).drop("groups"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup,
@@ -136,6 +146,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_ngram_join": op9_ngram_join,
     "op10_sentencepiece": op10_sentencepiece,
+    "op13_alignment": op13_alignment,
 }
 
 #: Where SQL can express the operator over whole tables.
