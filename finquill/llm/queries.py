@@ -125,6 +125,34 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from finquill.llm.vector_codes import encode, hex_code, kept, learn, with_label_error
+
+    vectors = kept(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    books = learn(vectors)
+    return with_label_error(encode(vectors, books)).select(
+        "vec_id", hex_code(F.col("codes")).alias("code"), "error", "label_error", F.lit(books.sha256() if books else "").alias("codebooks_sha256")
+    )
+
+
+def op12_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from finquill.llm.licences import licence_scan
+
+    places = F.transform("base", lambda b: b["word"])
+    return licence_scan(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_words",
+        F.size("base").cast("long").alias("n_base"),
+        F.array_min(places).alias("first_word"),
+        F.array_max(places).alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform("base", lambda b: b["label"]))), ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"),
+        "score",
+        F.size("expressions").cast("long").alias("n_expressions"),
+        F.array_max(F.transform("expressions", lambda e: e["level"])).alias("level"),
+    )
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -146,11 +174,41 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_ngram_join": op9_ngram_join,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_licences": op12_licences,
     "op13_alignment": op13_alignment,
 }
 
+
+
+def _codes_sql(rounds: int) -> str:
+    """Codebooks, their rounds and the last assignment; ``b0`` to ``b{rounds}`` are the codebooks, ``a0`` on the assignments."""
+    steps = ""
+    for k in range(rounds + 1):
+        steps += f"""
+        d{k} AS (SELECT x.vec_id, x.label, x.part, b.entry, sum((x.v - b.v) * (x.v - b.v)) AS d FROM x JOIN b{k} b USING (part, place) GROUP BY ALL),
+        a{k} AS (SELECT vec_id, label, part, entry, d FROM d{k} QUALIFY row_number() OVER (PARTITION BY vec_id, part ORDER BY d, entry) = 1),"""
+        if k < rounds:
+            steps += f"""
+        m{k} AS (SELECT x.part, a.entry, x.place, CAST(floor(sum(x.v) / count(*)) AS BIGINT) AS v FROM x JOIN a{k} a USING (vec_id, part) GROUP BY ALL),
+        b{k + 1} AS (SELECT b.part, b.entry, b.place, coalesce(m.v, b.v) AS v FROM b{k} b LEFT JOIN m{k} m USING (part, entry, place)),"""
+    return f"""
+        WITH kept AS (SELECT vec_id, label, embedding AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+        x AS (SELECT vec_id, label, (i - 1) // (n // 16) AS part, (i - 1) % (n // 16) AS place, CAST(floor(256 * CAST(e[i] AS DOUBLE)) AS BIGINT) AS v
+            FROM (SELECT vec_id, label, e, len(e) AS n, unnest(range(1, len(e) + 1)) AS i FROM kept)),
+        first AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept QUALIFY entry < 64),
+        b0 AS (SELECT x.part, f.entry, x.place, x.v FROM x JOIN first f USING (vec_id)),{steps}
+        codes AS (SELECT vec_id, label, string_agg(lower(lpad(hex(entry), 2, '0')), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY ALL)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+            (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY part, entry, place)) FROM b{rounds}) AS codebooks_sha256
+        FROM codes
+    """
+
+
 #: Where SQL can express the operator over whole tables.
 ORACLE_SQL: dict[str, str] = {
+    "op11_vector_codes": _codes_sql(rounds=2),
     "op8_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         d AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS hex, min(page_id) OVER (PARTITION BY html) AS first FROM p),
