@@ -44,9 +44,11 @@ from finquill.llm.common import cut, remove, slices, worker_slot
 from finquill.llm.sentencepiece_bpe import MARK, Model, read_model
 
 #: Bytes of text in a slice (a longer text is one of its own).
-SLICE = 12 << 20
+SLICE = 4 << 20
 #: Distinct pieces between spaces that a worker remembers, and their characters; then the memory is emptied.
 MEMORY_PIECES, MEMORY_CHARACTERS = 400_000, 8_000_000
+#: New pieces that are tokenised at once.
+LEARN = 20_000
 #: At most so many id pairs, the most frequent, are broadcast (16 bytes each).
 FREQUENT = 1 << 20
 
@@ -150,8 +152,9 @@ class Pair:
 
     def _places(self, found: list[list[str]]) -> np.ndarray:
         pieces = list(chain.from_iterable(found))
-        if new := [p for p in dict.fromkeys(pieces) if p not in self.at]:
-            self._learn(new)
+        new = [p for p in dict.fromkeys(pieces) if p not in self.at]
+        for k in range(0, len(new), LEARN):
+            self._learn(new[k : k + LEARN])
         return np.fromiter(map(self.at.__getitem__, pieces), np.int64, len(pieces))
 
     def tokenise(self, texts: list[str | None]) -> dict[str, np.ndarray]:
