@@ -1,7 +1,7 @@
 """Fields from candidate rows: hints, the rule extractor, normalised entries, a second pass, injection.
 
-Catalogues (fields, terms) are small tables of their own; candidates meet them by containment, which
-no equi join expresses.  Null labels match nothing; entries without a value are null.
+Catalogues (fields, terms) are tables of their own; candidates meet them by containment, looked up
+by rare parts of the terms (see ``containment``).  Null labels match nothing; entries without a value are null.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from finquill.operators.containment import both_ways
+
 FIRST_BATCH, SECOND_BATCH = 4, 8
 HINTS = 5
 # Texts that stand for no value.
@@ -48,10 +50,10 @@ def entity_terms(base: DataFrame, overlay: DataFrame, entity: str) -> DataFrame:
 def matched(candidates: DataFrame, terms: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """candidates with the fields of which a term is in the label or the label is in a term; only ``pages`` (doc, page) if given."""
     rows = candidates if pages is None else candidates.join(pages.select("doc", "page").distinct(), ["doc", "page"], "left_semi")
-    known = terms.select("field", F.lower("term").alias("__term"))
-    label = F.lower("label")
-    met = rows.join(known, F.contains(label, F.col("__term")) | F.contains(F.col("__term"), label))
-    return met.drop("__term").distinct()
+    known = terms.select("field", F.lower("term").alias("__term")).distinct()
+    rows = rows.withColumn("__label", F.lower("label"))
+    fields = both_ways(rows, "__label", known, "__term").join(known, "__term").select("__label", "field").distinct()
+    return rows.join(fields, "__label").drop("__label").distinct()
 
 
 def hints(candidates: DataFrame, terms: DataFrame, pages: DataFrame | None = None, limit: int = HINTS) -> DataFrame:

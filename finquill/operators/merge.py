@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from finquill.operators.containment import both_ways
+
 
 def best_of_documents(values: DataFrame, keys: list[str]) -> DataFrame:
     """One row per key: known value, primary first, higher confidence, earlier document.
@@ -43,6 +45,6 @@ def first_of_labels(items: DataFrame, partition: list[str], order: list[str]) ->
 
 def unmapped(items: DataFrame, terms: DataFrame) -> DataFrame:
     """Labels that neither contain nor are contained in a known term of four letters or more."""
-    label = F.lower(F.trim(items["label"]))
     known = terms.select(F.lower("term").alias("__t")).where("length(__t) >= 4").distinct()
-    return items.where(label != "").join(known, label.contains(F.col("__t")) | F.col("__t").contains(label), "left_anti")
+    rows = items.withColumn("__label", F.lower(F.trim("label"))).where("__label <> ''")
+    return rows.join(both_ways(rows, "__label", known, "__t").select("__label").distinct(), "__label", "left_anti").select(*items.columns)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from finquill.functions.scalars import hits
+from finquill.operators.containment import containing
 
 # Words of page types, in the order in which equal scores stand.
 PAGE_TYPES = {
@@ -233,10 +234,13 @@ def line_context(pages: DataFrame, text: str, pattern: str, before: int = 2, aft
 def field_snippets(pages: DataFrame, keys: list[str], page: str, text: str, terms: DataFrame, before: int = 2, after: int = 3, limit: int = 6) -> DataFrame:
     """For each field the first line of a page that has one of its terms, with its neighbours; the first ``limit`` pages.
 
-    ``terms`` (field, term) is joined as an array per field: pages meet fields, not terms.
+    Pages meet the terms (field, term) that they contain, by rare parts of the terms.
     """
-    fields = terms.groupBy("field").agg(F.collect_set(F.lower("term")).alias("__terms"))
-    rows = pages.withColumn("__lines", F.split(F.coalesce(F.col(text), F.lit("")), "\n")).join(fields, F.exists("__terms", lambda t: F.lower(F.col(text)).contains(t)))
+    known = terms.select("field", F.lower("term").alias("__term")).distinct()
+    low = pages.select(*keys, page, F.lower(F.col(text)).alias("__low"))
+    met = containing(low, [*keys, page], "__low", known, "__term").join(known, "__term")
+    fields = met.groupBy(*keys, page, "field").agg(F.collect_set("__term").alias("__terms"))
+    rows = pages.withColumn("__lines", F.split(F.coalesce(F.col(text), F.lit("")), "\n")).join(fields, [*keys, page])
     at = F.array_position(F.transform("__lines", lambda x: F.exists("__terms", lambda t: F.lower(x).contains(t))), True)
     rows = rows.withColumn("line_no", at.cast("int")).where("line_no > 0")
     start = F.greatest(F.lit(1), F.col("line_no") - before)
