@@ -44,9 +44,9 @@ from finquill.llm.common import cut, remove, slices, worker_slot
 from finquill.llm.sentencepiece_bpe import MARK, Model, read_model
 
 #: Bytes of text in a slice (a longer text is one of its own).
-SLICE = 4 << 20
+SLICE = 2 << 20
 #: Distinct pieces between spaces that a worker remembers, and their characters; then the memory is emptied.
-MEMORY_PIECES, MEMORY_CHARACTERS = 400_000, 8_000_000
+MEMORY_PIECES, MEMORY_CHARACTERS = 300_000, 4_000_000
 #: New pieces that are tokenised at once.
 LEARN = 20_000
 #: At most so many id pairs, the most frequent, are broadcast (16 bytes each).
