@@ -10,17 +10,13 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def extract_documents(pages: DataFrame, terms: DataFrame) -> DataFrame:
-    """Fields of documents by the rule extractor: prose lines with amounts are candidates, a term's first match is the value."""
-    from finquill.operators import extract, tables
-    from finquill.operators import pages as paging
+    """Fields of documents by the rule extractor: candidates of tables and prose, a term's first match is the value."""
+    from finquill.operators import extraction
 
-    lines = pages.select("doc", "page", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("pos", F.col("page") * 100_000 + F.col("line_no"))
-    lines = paging.outside_tables(lines, ["doc", "page"], "line_no", "line").where(~paging.is_prose_skipped(F.col("line")))
-    return extract.extracted(tables.prose_candidates(lines, ["doc", "page", "pos"], "line"), terms, terms)
+    return extraction.document_fields(pages, terms, terms)
 
 
 def report_of(statement: DataFrame, years: list[str]) -> DataFrame:

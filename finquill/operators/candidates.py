@@ -11,6 +11,7 @@ a label and labels that can't be values are left out; repeated pages give repeat
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -70,7 +71,8 @@ def with_roles(tables: DataFrame, rows: str, current: Column, previous: Column)
         "__note": _votes(r, lambda c: F.lower(c).contains("note")),
         "__width": F.size(F.get(r, 0)),
     })
-    out = out.withColumns({"__cur": F.coalesce(_winner(F.coalesce("__cur", none)), F.lit(1)), "__prev": F.coalesce(_winner(F.coalesce("__prev", none)), F.lit(2))})
+    voted = F.struct(*(_winner(F.coalesce(c, none)).alias(f"{c}_col") for c in ("__cur", "__prev", "__lab", "__note")))
+    out = out.select("*", F.inline(F.array(voted))).withColumns({"__cur": F.coalesce("__cur_col", F.lit(1)), "__prev": F.coalesce("__prev_col", F.lit(2))})
     below = F.slice(r, HEADER_ROWS + 1, F.greatest(F.size(r) - HEADER_ROWS, F.lit(0)))
 
     def letters(j: Column) -> Column:
@@ -80,12 +82,12 @@ def with_roles(tables: DataFrame, rows: str, current: Column, previous: Column)
     most = F.coalesce(F.array_max(F.transform(free, lambda j: F.struct(letters(j).alias("n"), (-j).alias("j"))))["j"], F.lit(0))
     width = F.col("__width")
     out = out.withColumns({
-        "label_col": F.coalesce(_winner(F.col("__lab")), -most),
-        "note_col": F.coalesce(_winner(F.col("__note")), F.lit(-1)),
+        "label_col": F.coalesce("__lab_col", -most),
+        "note_col": F.coalesce("__note_col", F.lit(-1)),
         "current_col": F.when(F.col("__cur") < width, F.col("__cur")).otherwise(F.when(width > 1, 1).otherwise(0)),
         "previous_col": F.when(F.col("__prev") < width, F.col("__prev")).otherwise(F.when(width > 2, 2).otherwise(-1)),
     })
-    return out.drop("__cur", "__prev", "__lab", "__note", "__width")
+    return out.drop("__width", *(f"{c}{x}" for c in ("__cur", "__prev", "__lab", "__note") for x in ("", "_col")))
 
 
 def cell_amounts(cell: Column) -> Column:
@@ -132,14 +134,19 @@ def _path(statement: Column, section: Column, label: Column) -> Column:
 
 
 def _shaped(rows: DataFrame) -> DataFrame:
-    kept = ~paging.is_rejected_candidate(F.col("label"), F.col("context_path"), F.col("evidence"), F.col("source_statement"))
-    return rows.where(kept).select(*COLUMNS)
+    """Candidates of statements and notes that can be values: the rules of ``pages.is_rejected_candidate``, one pattern a text."""
+    low, ev, ctx = (F.lower(F.trim(F.coalesce(c, F.lit("")))) for c in ("label", "evidence", "context_path"))
+    words, edges = "|".join(map(re.escape, paging.REJECT_WORDS)), "|".join(paging.HEADER_FOOTER)
+    bad = ~low.rlike(r"\p{L}") | low.rlike(f"{edges}|{words}") | ev.rlike(f"{edges}|{words}") | ctx.rlike(words)
+    return rows.where(~bad).select(*COLUMNS)
 
 
 def parse(pages: DataFrame) -> DataFrame:
     """Pages (doc, page, text) with their parts, whether they are rejected, and source_statement; years of the document."""
     parts = page_parts(pages.select("doc", "page", "text"))
-    parts = parts.withColumn("rejected", is_rejected_page(F.col("markup"))).withColumn("__types", paging.page_types(F.col("markup")))
+    # a generator's output isn't written out again in every later filter
+    judged = F.inline(F.array(F.struct(F.coalesce(is_rejected_page(F.col("markup")), F.lit(False)).alias("rejected"), paging.page_types(F.col("markup")).alias("__types"))))
+    parts = parts.select("*", judged)
     first = F.get("__types", 0)
     statement = F.when(first.isin(*paging.MAIN_STATEMENTS), first).when(first == "Notes to Accounts", paging.statement_type(F.col("__types"), F.col("markup"))).otherwise("Other")
     return parts.withColumn("source_statement", statement).drop("__types", "markup")
@@ -156,7 +163,8 @@ def table_candidates(parts: DataFrame) -> DataFrame:
     is_jammed = F.size("jammed") > 0
     rows = tables.select("*", F.posexplode("rows").alias("row_no", "__cells")).where(~paging.is_header_row(F.col("__cells")))
     values = _values(F.col("__cells"), F.get("inherited", F.col("row_no")), is_jammed)
-    rows = rows.withColumn("__v", F.when(is_jammed, _by_order(values)).otherwise(_by_column(values))).withColumn("evidence", F.array_join("__cells", " | "))
+    rows = rows.select("*", F.inline(F.array(F.struct(values.alias("__vals"), F.array_join("__cells", " | ").alias("evidence")))))
+    rows = rows.select("*", F.explode(F.array(F.when(is_jammed, _by_order(F.col("__vals"))).otherwise(_by_column(F.col("__vals"))))).alias("__v"))
     shared = ["doc", "page", "table_no", "row_no", "source_statement", "note_number", "evidence", "__v"]
 
     plain = rows.where(~is_jammed).select(*shared, labels_in(F.coalesce(F.get("__cells", F.col("label_col")), F.lit(""))).alias("__labels"))
@@ -196,7 +204,7 @@ def prose_candidates(parts: DataFrame) -> DataFrame:
 def page_candidates(pages: DataFrame) -> DataFrame:
     """All candidates of pages (doc, page, text): COLUMNS, ordered within a page by kind (table first), table_no, row_no, item_no."""
     years = paging.year_of_document(pages, ["doc"], "page", "text").select("doc", F.col("year").alias("current"), (F.col("year") - 1).alias("previous"))
-    parts = parse(pages).where(~F.coalesce("rejected", F.lit(False)) & (F.col("source_statement") != "Other")).join(years, "doc", "left")
+    parts = parse(pages).where(~F.col("rejected") & (F.col("source_statement") != "Other")).join(years, "doc", "left")
     return table_candidates(parts).unionByName(prose_candidates(parts))
 
 

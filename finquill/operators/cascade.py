@@ -23,7 +23,7 @@ VARIABLE_SHARE, FIXED_GROWTH = 0.85, 1.09
 _EQUITY = "(capital + reserves - coalesce(intangibles, 0))"
 _LIABILITIES = "(current_liabilities + term_liabilities)"
 _PBDIT = "(pbt + interest + dep)"
-#: (section, row, expression); ratio(a, b, digits) is null where b is null or 0.
+# Fixed values: (section, row, expression); ratio(a, b, digits) is null where b is null or 0.  All rows read one profit after tax, "pat".
 ROWS: tuple[tuple[str, str, str], ...] = (
     ("operating", "Gross Sales", "net_sales"),
     ("operating", "Growth in sales", "ratio(net_sales - before_sales, abs(before_sales), 4)"),
@@ -37,7 +37,7 @@ ROWS: tuple[tuple[str, str, str], ...] = (
     ("operating", "Other income", "other_income"),
     ("operating", "Profit before tax", "net_sales - cost_of_sales - fixed_cost - interest + other_income"),
     ("operating", "Tax", "greatest(net_sales - cost_of_sales - fixed_cost - interest + other_income, 0) * 0.25"),
-    ("operating", "Net Profit", "net_sales - cost_of_sales - fixed_cost - interest + other_income - greatest(net_sales - cost_of_sales - fixed_cost - interest + other_income, 0) * 0.25"),
+    ("operating", "Net Profit", "pat"),
     ("operating", "Dividend", "dividend"),
     ("operating", "Retained Profit", "pat - coalesce(dividend, 0)"),
     ("operating", "Cash Accruals", "pat + dep"),

@@ -25,9 +25,10 @@ def _grams(text: Column, n: int) -> Column:
 def containing(texts: DataFrame, keys: list[str], text: str, terms: DataFrame, term: str) -> DataFrame:
     """(keys, ``term``) of all pairs of which the text contains the term, as they are spelled."""
     known = terms.select(F.col(term).alias("__needle")).where("__needle is not null").distinct()
-    hay = texts.select(*keys, F.col(text).alias("__hay")).where("__hay is not null").distinct()
+    own, same = [f"__k{i}" for i in range(len(keys))], [f"__j{i}" for i in range(len(keys))]
+    hay = texts.select(*[F.col(k).alias(o) for k, o in zip(keys, own, strict=True)], F.col(text).alias("__hay")).where("__hay is not null").distinct()
     salt = F.array(F.concat(F.lit("\0"), F.pmod(F.xxhash64("__hay"), F.lit(SALTS)).cast("string")))
-    places = hay.select(*keys, F.explode(F.concat(salt, *[_grams(F.col("__hay"), n) for n in range(1, GRAM + 1)])).alias("__gram"))
+    places = hay.select(*own, F.explode(F.concat(salt, *[_grams(F.col("__hay"), n) for n in range(1, GRAM + 1)])).alias("__gram"))
     often = places.groupBy("__gram").agg(F.count("*").alias("__n"))
 
     length = F.char_length("__needle")
@@ -38,11 +39,10 @@ def containing(texts: DataFrame, keys: list[str], text: str, terms: DataFrame, t
     empty = known.where("__needle = ''").select("__needle", F.explode(F.transform(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda k: F.concat(F.lit("\0"), k.cast("string")))).alias("__gram"))
     lookup = signed.where("__found = __parts").select("__needle", "__gram").unionByName(empty)
 
-    same = [f"__k{i}" for i in range(len(keys))]
-    near = places.join(lookup, "__gram").select(*[F.col(k).alias(s) for k, s in zip(keys, same, strict=True)], "__needle")
-    on = [F.col(k).eqNullSafe(F.col(s)) for k, s in zip(keys, same, strict=True)]
+    near = places.join(lookup, "__gram").select(*[F.col(o).alias(s) for o, s in zip(own, same, strict=True)], "__needle")
+    on = [F.col(o).eqNullSafe(F.col(s)) for o, s in zip(own, same, strict=True)]
     met = hay.join(near, on).where(F.contains(F.col("__hay"), F.col("__needle")))
-    return met.select(*keys, F.col("__needle").alias(term)).distinct()
+    return met.select(*[F.col(o).alias(k) for k, o in zip(keys, own, strict=True)], F.col("__needle").alias(term)).distinct()
 
 
 def both_ways(labels: DataFrame, label: str, terms: DataFrame, term: str) -> DataFrame:

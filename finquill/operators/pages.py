@@ -30,6 +30,8 @@ PAGE_TYPES = {
 }
 MAIN_STATEMENTS = ("Balance Sheet", "Statement of Profit and Loss", "Cash Flow Statement")
 NOTE_PHRASES = ["accompanying notes", "notes to financial", "notes forming part"]
+#: Words by which a type stands out with one hit; without them two are needed.
+_OWN_NAMES = {name: (name.lower(), *(("profit & loss",) if name == MAIN_STATEMENTS[1] else ())) for name in MAIN_STATEMENTS} | {"Notes to Accounts": tuple(NOTE_PHRASES)}
 AUDIT_PAGES = ["auditor's report", "auditors report", "directors' report", "directors report", "auditor’s report", "directors’ report"]
 # Words that give the statement away where no page type does, in order.
 STATEMENT_HINTS = (
@@ -69,22 +71,25 @@ def _any(text: Column, words: list[str]) -> Column:
 
 
 def page_types(text: Column) -> Column:
-    """Types of a page by hits of their words, best first; Other where none stands out."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    found = []
-    for k, (name, words) in enumerate(PAGE_TYPES.items()):
-        score = hits(low, words)
-        if name in MAIN_STATEMENTS:
-            named = low.contains(name.lower()) | (low.contains("profit & loss") if name == MAIN_STATEMENTS[1] else F.lit(False))
-            wanted = (score > 0) & (named | (score >= 2))
-        elif name == "Notes to Accounts":
-            wanted = (score > 0) & (_any(low, NOTE_PHRASES) | (score >= 2))
-        else:
-            wanted = score > 0
-        found.append(F.when(wanted, F.struct((-score).alias("s"), F.lit(k).alias("k"), F.lit(name).alias("name"))))
-    names = F.transform(F.array_sort(F.array_compact(F.array(*found))), lambda x: x["name"])
-    other = F.array(F.lit("Other"))
-    return F.when(_any(low, AUDIT_PAGES), other).when(F.size(names) == 0, other).otherwise(names)
+    """Types of a page by hits of their words, best first; Other where none stands out.
+
+    The text is brought to lower case once and each word is looked up once: the types are a
+    constant array that is gone through.
+    """
+    types = F.array(*[
+        F.struct(F.lit(k).alias("k"), F.lit(name).alias("name"), F.array(*map(F.lit, words)).alias("words"),
+                 F.array(*map(F.lit, _OWN_NAMES.get(name, ()))).cast("array<string>").alias("own"), F.lit(2 if name in _OWN_NAMES else 1).alias("least"))
+        for k, (name, words) in enumerate(PAGE_TYPES.items())
+    ])
+
+    def types_of(low: Column) -> Column:
+        scored = F.transform(types, lambda t: F.struct((-F.size(F.filter(t["words"], lambda w: F.contains(low, w)))).alias("s"), t["k"].alias("k"), t["name"].alias("name"), t["own"].alias("own"), t["least"].alias("least")))
+        stand = F.filter(scored, lambda t: (t["s"] < 0) & ((-t["s"] >= t["least"]) | F.exists(t["own"], lambda w: F.contains(low, w))))
+        other = F.exists(F.array(*map(F.lit, AUDIT_PAGES)), lambda w: F.contains(low, w))
+        names = F.transform(F.array_sort(F.transform(stand, lambda t: F.struct(t["s"].alias("s"), t["k"].alias("k"), t["name"].alias("name")))), lambda t: t["name"])
+        return F.when(other | (F.size(stand) == 0), F.array(F.lit("Other"))).otherwise(names)
+
+    return F.get(F.transform(F.array(F.lower(F.coalesce(text, F.lit("")))), types_of), 0)
 
 
 def statement_type(types: Column, text: Column) -> Column:

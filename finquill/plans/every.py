@@ -1,6 +1,6 @@
 """All named queries."""
 
-from finquill.plans import catalogue, extraction, paging, reporting, validation  # noqa: F401
+from finquill.plans import catalogue, extraction, paging, reporting, scans, statements, validation  # noqa: F401
 from finquill.plans.named import SQL, Q
 
 __all__ = ["SQL", "Q"]

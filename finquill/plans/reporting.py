@@ -56,7 +56,7 @@ def five_column_statement(spark, sf):
 
 @query(_section_sql(0, "operating", [("Gross Sales", "net_sales"), ("Growth in sales", _q("net_sales - sales0", "abs(sales0)").replace("net_sales - sales0 /", "(net_sales - sales0) /")), ("Raw materials", "raw_material"), ("Cost of Sales", "cost_of_sales"), ("Gross Profit", "net_sales - cost_of_sales"), ("Selling and administration", "fixed_cost"),
     ("Operating Profit before Interest", "net_sales - cost_of_sales - fixed_cost"), ("Interest", "interest"), ("Operating Profit after Interest", "op_after"), ("Other income", "other_income"), ("Profit before tax", _PBT5), ("Tax", f"CASE WHEN {_PBT5} > 0 THEN ({_PBT5}) * 0.25 ELSE 0 END"),
-    ("Net Profit", f"({_PBT5}) - CASE WHEN {_PBT5} > 0 THEN ({_PBT5}) * 0.25 ELSE 0 END"), ("Dividend", "dividend"), ("Retained Profit", "pat - dividend"), ("Cash Accruals", "accruals")]))
+    ("Net Profit", "pat"), ("Dividend", "dividend"), ("Retained Profit", "pat - dividend"), ("Cash Accruals", "accruals")]))
 def report_operating(spark, sf):
     return cascade.rows(_columns(spark, sf), "operating")
 
