@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from finquill.operators import scan
+
 from finquill.functions.scalars import pct_difference
 
 TOLERANCE = 0.02
@@ -51,20 +53,19 @@ def repeated_rows(rows: DataFrame, keys: list[str], order: list[str]) -> DataFra
     return rows.withColumn("repeat_no", F.row_number().over(w)).where("repeat_no > 1")
 
 
-def balance_progression(rows: DataFrame, account: str) -> DataFrame:
+def balance_progression(rows: DataFrame, account: str, target: int = scan.TARGET) -> DataFrame:
     """Rows (account, idx, balance, credit, debit; cents) that break the running balance.
 
     The direction of each statement is what more of its rows agree with, ascending on a
-    tie.
+    tie.  An account of more than ``target`` rows is split over tasks (see ``scan``).
     """
-    w = Window.partitionBy(account).orderBy("idx")
-    before = {c: F.lag(c).over(w) for c in ("balance", "credit", "debit")}
-    up = before["balance"] + F.col("credit") - F.col("debit")
-    down = before["balance"] - before["credit"] + before["debit"]
-    rows = rows.withColumn("up_ok", (F.abs(F.col("balance") - up) <= 100).cast("int")).withColumn("down_ok", (F.abs(F.col("balance") - down) <= 100).cast("int"))
-    rows = rows.withColumn("expected_up", up).withColumn("expected_down", down)
-    whole = Window.partitionBy(account)  # the same partitioning: no second shuffle, no join
-    both = rows.withColumn("ascending", F.coalesce(F.sum("up_ok").over(whole), F.lit(0)) >= F.coalesce(F.sum("down_ok").over(whole), F.lit(0)))
+    sliced = scan.with_slices(rows.select(account, "idx", "balance", "credit", "debit"), [account], "idx", target)
+    both = scan.with_previous(sliced, [account], "idx", ["balance", "credit", "debit"], ["balance", "credit", "debit"])
+    before = F.col("__before")
+    both = both.withColumn("expected_up", before["balance"] + F.col("credit") - F.col("debit")).withColumn("expected_down", before["balance"] - before["credit"] + before["debit"])
+    both = both.withColumns({f"{way}_ok": (F.abs(F.col("balance") - F.col(f"expected_{way}")) <= 100).cast("int") for way in ("up", "down")})
+    both = scan.with_total(both, [account], {"ups": F.col("up_ok"), "downs": F.col("down_ok")})
+    both = both.withColumn("ascending", F.coalesce("ups", F.lit(0)) >= F.coalesce("downs", F.lit(0)))
     wrong = F.when(F.col("ascending"), F.col("up_ok")).otherwise(F.col("down_ok")) == 0
     expected = F.when(F.col("ascending"), F.col("expected_up")).otherwise(F.col("expected_down"))
     return both.where(wrong).select(account, "idx", "balance", expected.alias("expected"), "ascending")

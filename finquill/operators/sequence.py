@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from finquill.operators import scan
+
 
 def islands(rows: DataFrame, keys: list[str], order: list[str], position: str, gap: float) -> DataFrame:
     """A group number that grows wherever the step in ``position`` exceeds ``gap``."""
@@ -17,24 +19,26 @@ def merge_continuations(rows: DataFrame, keys: list[str], order: list[str], is_c
     """Pairs a row with a following continuation; rows that are consumed don't pair again.
 
     In a run of continuations every second one starts a new pair, so the place in the run
-    decides: no loop over rows.
+    decides: no loop over rows.  Continuations before any other row pair among themselves.
     """
     w = Window.partitionBy(*keys).orderBy(*order)
     rows = rows.withColumn("__cont", F.coalesce(is_continuation, F.lit(False)).cast("int"))
     rows = rows.withColumn("__run", F.sum(1 - F.col("__cont")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     place = F.row_number().over(Window.partitionBy(*keys, "__run").orderBy(*order))
-    lone = F.col("__run") == 0  # continuations before any other row pair among themselves
     rows = rows.withColumn("__place", place - 1)
-    return rows.withColumn("consumed", F.col("__place") % 2 == 1).withColumn("__lone", lone).drop("__cont", "__run", "__place", "__lone")
+    return rows.withColumn("consumed", F.col("__place") % 2 == 1).drop("__cont", "__run", "__place")
+
 
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: str, target: int = scan.TARGET) -> DataFrame:
+    """For each left row the last ``value`` of right at or before it: one union and one scan, no range join.
 
-def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
-    """For each left row the last ``value`` of right at or before it: one union and one window, no range join."""
+    A key of more than ``target`` rows is split over tasks (see ``scan``).
+    """
     a = left.select(*keys, at, *[c for c in left.columns if c not in (*keys, at)], F.lit(None).cast(right.schema[value].dataType).alias("__v"), F.lit(1).alias("__side"))
     missing = [F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns if c not in (*keys, at)]
     b = right.select(*keys, at, *missing, F.col(value).alias("__v"), F.lit(0).alias("__side"))
-    w = Window.partitionBy(*keys).orderBy(at, "__side", "__v").rowsBetween(Window.unboundedPreceding, 0)
-    return a.unionByName(b).withColumn(f"last_{value}", F.last("__v", ignorenulls=True).over(w)).where("__side = 1").drop("__v", "__side")
+    rows = scan.with_slices(a.unionByName(b), keys, at, target)
+    return scan.with_last(rows, keys, at, "__v", f"last_{value}", ["__side", "__v"]).where("__side = 1").drop("__v", "__side", "__slice")
 
 
 def band_join(left: DataFrame, right: DataFrame, a: str, b: str, width: int) -> DataFrame:

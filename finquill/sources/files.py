@@ -72,8 +72,9 @@ def zip_members(archives: DataFrame) -> DataFrame:
 
 
 def registry(spark: SparkSession, path: str | None) -> DataFrame:
-    """The registry of documents; empty if there is none, lines that can't be read are left out."""
-    if path is None:
+    """The registry of documents; empty if there is none (also at ``path``), lines that can't be read are left out."""
+    there = path and spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if there is None or not there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there):
         return spark.createDataFrame([], REGISTRY)
     return spark.read.schema(REGISTRY).option("mode", "DROPMALFORMED").json(path)
 

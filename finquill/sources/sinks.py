@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import io
+import time
+import uuid
 import zipfile
 from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A workbook is made on the driver, so its rows are bounded; larger tables are written as Parquet or CSV.
 WORKBOOK_ROWS = 50_000
@@ -80,13 +83,76 @@ def append(df: DataFrame, path: str) -> None:
 
 
 def replace(df: DataFrame, path: str) -> None:
-    """A small table (registry, cache) written anew: beside the old one first, then in its place, so readers never see half of it."""
-    spark = df.sparkSession
-    fs, old, new = _path(spark, path), _hadoop(spark, path), _hadoop(spark, f"{path.rstrip('/')}.new")
-    df.write.mode("overwrite").json(f"{path.rstrip('/')}.new")
-    fs.delete(old, True)
+    """A small table at a path of its own written anew, in the format it has (JSON if it is new).
+
+    The new one is written beside the old one, which is moved aside, not deleted, before the new one takes
+    its place; if that ends halfway, the next call (or ``recover``) puts back what was moved aside.  Readers that need one
+    whole version at any time use ``publish``.
+    """
+    spark, base = df.sparkSession, path.rstrip("/")
+    recover(spark, base)
+    fs, old, new, aside = _path(spark, path), *(_hadoop(spark, f"{base}{x}") for x in ("", ".new", ".old"))
+    there = fs.exists(old)
+    parquet = there and any(f.getPath().getName().endswith(".parquet") for f in fs.listStatus(old))
+    df.write.mode("overwrite").format("parquet" if parquet else "json").save(f"{base}.new")
+    if there and not fs.rename(old, aside):
+        raise OSError(f"{path} couldn't be moved aside")
     if not fs.rename(new, old):
+        recover(spark, base)
         raise OSError(f"{path} couldn't be replaced")
+    fs.delete(aside, True)
+
+
+def recover(spark: SparkSession, path: str) -> bool:
+    """After a ``replace`` that ended halfway: the table that was moved aside goes back, or goes if the new one is in place."""
+    base = path.rstrip("/")
+    fs, old, aside = _path(spark, path), _hadoop(spark, base), _hadoop(spark, f"{base}.old")
+    if not fs.exists(aside):
+        return False
+    return fs.delete(aside, True) if fs.exists(old) else fs.rename(aside, old)
+
+
+def publish(df: DataFrame, path: str, form: str = "parquet") -> None:
+    """A table written anew as a version of its own, which a pointer then names.
+
+    ``path`` has a folder for each version and a file CURRENT with the name of one; the file is written beside the
+    old one and moved over it in one step, so a reader sees one whole version before, during and after.  The
+    version before stays until the next one, for readers that have begun; older ones go.
+    """
+    spark, base = df.sparkSession, path.rstrip("/")
+    fs, before = _path(spark, path), current_version(spark, path)
+    name = f"v-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    df.write.format(form).save(f"{base}/{name}")
+    pointer = _hadoop(spark, f"{base}/CURRENT-{name}")
+    stream = fs.create(pointer, True)
+    stream.write(f"{name} {form}".encode())
+    stream.close()
+    context = spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(pointer.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(pointer, _hadoop(spark, f"{base}/CURRENT"), options)
+    keep = {name, before[0] if before else name}
+    for status in fs.listStatus(_hadoop(spark, base)):
+        if (child := status.getPath().getName()).startswith("v-") and child not in keep:
+            fs.delete(status.getPath(), True)
+
+
+def current_version(spark: SparkSession, path: str) -> tuple[str, str] | None:
+    """Name and format of the version that a published table has now; None if it has none."""
+    fs, pointer = _path(spark, path), _hadoop(spark, f"{path.rstrip('/')}/CURRENT")
+    if not fs.exists(pointer):
+        return None
+    name, form = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(fs.open(pointer), "UTF-8").split()
+    return name, form
+
+
+def published(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
+    """What ``publish`` wrote last."""
+    found = current_version(spark, path)
+    if found is None:
+        raise FileNotFoundError(path)
+    reader = spark.read.format(found[1])
+    return (reader.schema(schema) if schema else reader).load(f"{path.rstrip('/')}/{found[0]}")
 
 
 def backup(spark: SparkSession, path: str, target: str) -> None:
