@@ -131,3 +131,16 @@ def first_primary(rows: DataFrame, keys: list[str]) -> DataFrame:
     """The first row of a primary document, else the first of any; confidence isn't asked."""
     rank = F.struct((~F.col("is_primary")).alias("p"), "doc_ord")
     return rows.groupBy(*keys).agg(F.min_by(F.struct("value", "doc_ord"), rank).alias("b")).select(*keys, "b.value", "b.doc_ord")
+
+
+def merged_documents(documents: DataFrame) -> DataFrame:
+    """The list of documents of a merged company: doc_id, filename, years (either name, else unknown), status, fields found.
+
+    ``documents`` has current_fy, previous_fy, primary_fy, secondary_fy, status and fields_found; empty years count as
+    missing, a document without an extraction has found none.
+    """
+
+    def year(*names: str) -> Column:
+        return F.coalesce(*[F.nullif(F.col(n), F.lit("")) for n in names], F.lit("unknown"))
+
+    return documents.select("doc_id", "filename", year("current_fy", "primary_fy").alias("primary_fy"), year("previous_fy", "secondary_fy").alias("secondary_fy"), F.coalesce("status", F.lit("unknown")).alias("status"), F.coalesce(F.col("fields_found").cast("int"), F.lit(0)).alias("fields_found"))

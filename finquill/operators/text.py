@@ -27,6 +27,13 @@ REJECTED_PAGES = [
     "independent accountant's review report", "annexure a", "annexure b", "companies (auditor's report)",
     "companies (auditors report)", "annexure to",
 ]
+#: Pages on which a document says its unit.
+UNIT_PAGES = 15
+# How documents say their unit, in order; the rest are in lakhs.
+UNIT_WORDS = {
+    "Crores": ["in crores", "rs. in crores", "₹ in crores", "rupees in crores", "(rs. crores)", "(₹ crores)", "amount in crore", "figures in crore"],
+    "Thousands": ["in thousands", "rs. in thousands", "₹ in thousands"],
+}
 #: Words of the main statements; a page with one of them is kept.
 STATEMENT_WORDS = [w for name in MAIN_STATEMENTS for w in PAGE_TYPES[name]]
 
@@ -39,6 +46,40 @@ def chunks(texts: DataFrame, size: int = CHUNK, overlap: int = OVERLAP) -> DataF
     return each.withColumn("chunk", F.substring(F.col("text"), F.col("chunk_idx") * step + 1, F.lit(size)))
 
 
+def document_chunks(pages: DataFrame, doc: str = "doc", page: str = "page", text: str = "text", size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """(doc, chunk_idx, chunk): windows over all pages of a document in order, each under a line that names it.
+
+    No document is put together as a whole: a page knows where it begins (a running sum of lengths) and gives
+    each window its part.  Null texts are empty; pages of one number go by their texts.
+    """
+    step = size - overlap
+    piece = F.concat(F.lit("\n=== Page "), F.col(page).cast("string"), F.lit(" ===\n"), F.coalesce(F.col(text), F.lit("")), F.lit("\n"))
+    rows = pages.select(F.col(doc).alias("doc"), F.col(page).alias("__page"), piece.alias("__piece")).withColumn("__n", F.char_length("__piece").cast("long"))
+    upto = Window.partitionBy("doc").orderBy("__page", "__piece").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("__end", F.sum("__n").over(upto)).withColumn("__all", F.sum("__n").over(Window.partitionBy("doc"))).withColumn("__at", F.col("__end") - F.col("__n"))
+    last = F.greatest(F.lit(1), F.ceil((F.col("__all") - size) / step) + 1) - 1
+    low = F.greatest(F.lit(0), F.floor((F.col("__at") - size) / step) + 1)
+    high = F.least(last, F.floor((F.col("__end") - 1) / step))
+    rows = rows.where(low <= high).withColumn("chunk_idx", F.explode(F.sequence(low, high)))
+    start = F.greatest(F.col("__at"), F.col("chunk_idx") * step)
+    end = F.least(F.col("__end"), F.col("chunk_idx") * step + size)
+    part = F.substring(F.col("__piece"), (start - F.col("__at") + 1).cast("int"), (end - start).cast("int"))
+    parts = F.array_sort(F.collect_list(F.struct("__at", part.alias("p"))))
+    return rows.groupBy("doc", "chunk_idx").agg(F.array_join(F.transform(parts, lambda x: x["p"]), "").alias("chunk"))
+
+
+def document_unit(pages: DataFrame, doc: str = "doc", page: str = "page", text: str = "text", first: int = UNIT_PAGES) -> DataFrame:
+    """(doc, unit) by the words for a unit on a document's first pages: Crores, else Thousands, else Lakhs."""
+    order = Window.partitionBy(doc).orderBy(page, text)
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    near = pages.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= first)
+    seen = [F.max(hits(low, words) > 0).alias(f"__{name}") for name, words in UNIT_WORDS.items()]
+    unit_of = None
+    for name in UNIT_WORDS:
+        unit_of = F.when(F.col(f"__{name}"), name) if unit_of is None else unit_of.when(F.col(f"__{name}"), name)
+    return near.groupBy(F.col(doc).alias("doc")).agg(*seen).select("doc", unit_of.otherwise("Lakhs").alias("unit"))
+
+
 def relevance(text: Column, words: list[str], weight: int = 8) -> Column:
     return F.least(F.lit(100), F.lit(weight) * hits(text, words))
 

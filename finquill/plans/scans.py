@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from finquill.operators import candidates, extraction
+from finquill.operators import candidates, documents, extraction, text
 from finquill.plans.named import choose, query
 from finquill.plans.statement import load
 
@@ -119,3 +119,45 @@ def document_fields(spark, sf):
   JOIN (SELECT doc, count(coalesce("current", previous)) AS found, count(*) AS total FROM f GROUP BY doc) USING (doc)""")
 def scanned_summary(spark, sf):
     return extraction.document_summary(pages(spark, sf), _fields(spark, sf))
+
+
+_PAGED = "SELECT doc_id % 97 AS doc, doc_id AS page, text FROM documents"
+_PIECES = f"SELECT doc, string_agg(concat(chr(10), '=== Page ', page, ' ===', chr(10), coalesce(text, ''), chr(10)), '' ORDER BY page, text) AS t FROM ({_PAGED}) GROUP BY doc"
+
+
+@query(f"""SELECT doc, CAST(k AS BIGINT) AS chunk_idx, length(c) AS n_chars, sha256(c) AS sha FROM (
+  SELECT doc, k, substr(t, CAST(k * 4500 + 1 AS BIGINT), 6000) AS c FROM (SELECT doc, t, unnest(range(0, CAST(greatest(1, ceil((length(t) - 6000) / 4500.0) + 1) AS BIGINT))) AS k FROM ({_PIECES})))""")
+def paged_chunks(spark, sf):
+    rows = text.document_chunks(load(spark, sf, "documents").selectExpr("doc_id % 97 AS doc", "doc_id AS page", "text"))
+    return rows.select("doc", F.col("chunk_idx").cast("bigint").alias("chunk_idx"), F.char_length("chunk").cast("bigint").alias("n_chars"), F.sha2("chunk", 256).alias("sha"))
+
+
+_UNITS = choose("o_orderkey", ["Rs. in Lakhs", "amount in crore", "rupees", "₹ in thousands", "plain", "crores", "in lakhs", "notes", "of", "it", "at", "on", "by"])
+
+
+@query(f"""SELECT doc, CASE WHEN bool_or(t LIKE '%amount in crore%') THEN 'Crores' WHEN bool_or(t LIKE '%in thousands%') THEN 'Thousands' ELSE 'Lakhs' END AS unit
+  FROM (SELECT o_custkey AS doc, {_UNITS} AS t FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) <= 4) GROUP BY doc""")
+def document_units(spark, sf):
+    return text.document_unit(load(spark, sf, "orders").selectExpr("o_custkey AS doc", "o_orderkey AS page", f"{_UNITS} AS text"), first=4)
+
+
+_DOCS = """o_orderkey AS doc_id, o_orderpriority AS filename, CASE WHEN o_orderkey % 3 = 0 THEN '2023-24' WHEN o_orderkey % 3 = 1 THEN '' END AS current_fy, CASE WHEN o_orderkey % 2 = 0 THEN '2022-23' END AS primary_fy,
+  CAST(NULL AS STRING) AS previous_fy, CASE WHEN o_orderkey % 5 = 0 THEN '2021-22' END AS secondary_fy, CASE WHEN o_orderkey % 4 > 0 THEN o_orderstatus END AS status, CASE WHEN o_orderkey % 7 > 0 THEN o_custkey END AS fields_found"""
+
+
+@query(f"""SELECT doc_id, filename, CASE WHEN doc_id % 3 = 0 THEN '2023-24' WHEN doc_id % 2 = 0 THEN '2022-23' ELSE 'unknown' END AS primary_fy, CASE WHEN doc_id % 5 = 0 THEN '2021-22' ELSE 'unknown' END AS secondary_fy,
+  CASE WHEN doc_id % 4 = 0 THEN 'unknown' ELSE status END AS status, CAST(CASE WHEN doc_id % 7 = 0 THEN 0 ELSE fields_found END AS INT) AS fields_found FROM (SELECT {_DOCS} FROM orders)""")
+def merged_documents(spark, sf):
+    return documents.merged_documents(load(spark, sf, "orders").selectExpr(*[x.strip() for x in _split(_DOCS)]))
+
+
+def _split(listed: str) -> list[str]:
+    """Expressions of a list, cut at the commas outside brackets."""
+    out, depth = [""], 0
+    for c in listed:
+        depth += (c == "(") - (c == ")")
+        if c == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return out
