@@ -17,8 +17,9 @@ _LABELS = ["Trade receivables", "Share capital", "Other payables", "Auditor fees
 #: Labels as candidates spell them: known ones in their usual spelling.
 _SPELLED = ["Trade Receivables", "Share Capital", "Other payables", "Auditor fees", "12345", "x", "Other Income", "Provision for gratuity", "Trade Payables"]
 LABEL, SPELLED = choose("l_partkey", _LABELS), choose("l_partkey", _SPELLED)
-CURRENT = "concat(CAST(CAST(floor(l_extendedprice) AS BIGINT) AS STRING), '.50')"
-PREVIOUS = "CASE WHEN l_linenumber % 3 = 0 THEN '-' ELSE concat(CAST(CAST(floor(l_quantity) AS BIGINT) AS STRING), '.25') END"
+# amounts can't be taken for a year of the header (22.25 could: the first rows vote too)
+CURRENT = "concat(CAST(CAST(floor(l_extendedprice) AS BIGINT) + 200000 AS STRING), '.50')"
+PREVIOUS = "CASE WHEN l_linenumber % 3 = 0 THEN '-' ELSE concat(CAST(CAST(floor(l_quantity) AS BIGINT) + 100 AS STRING), '.25') END"
 YEAR = "(2022 + o_custkey % 3)"
 
 
