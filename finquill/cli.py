@@ -1,6 +1,7 @@
-"""Command lines: ``python -m finquill.cli extract|report|query`` over folders that Spark reads.
+"""Command lines: ``python -m finquill.cli extract|document|report|query`` over folders that Spark reads.
 
 extract  pages (Parquet: doc, page, text) and terms (Parquet: field, term) to one row a document and field
+document whole scanned documents: the same inputs, with tables, statements and notes of the pages, and a summary below output-summary
 report   statements (Parquet: company, fy and the base fields) to the long report of five columns
 query    a named query over a folder of tables
 """
@@ -10,13 +11,17 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def extract_documents(pages: DataFrame, terms: DataFrame) -> DataFrame:
-    """Fields of documents by the rule extractor: candidates of tables and prose, a term's first match is the value."""
-    from finquill.operators import extraction
+    """Fields of documents by the rule extractor: prose lines with amounts are candidates, a term's first match is the value."""
+    from finquill.operators import extract, tables
+    from finquill.operators import pages as paging
 
-    return extraction.document_fields(pages, terms, terms)
+    lines = pages.select("doc", "page", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("pos", F.col("page") * 100_000 + F.col("line_no"))
+    lines = paging.outside_tables(lines, ["doc", "page"], "line_no", "line").where(~paging.is_prose_skipped(F.col("line")))
+    return extract.extracted(tables.prose_candidates(lines, ["doc", "page", "pos"], "line"), terms, terms)
 
 
 def report_of(statement: DataFrame, years: list[str]) -> DataFrame:
@@ -32,18 +37,31 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     one = commands.add_parser("extract")
     one.add_argument("pages")
     one.add_argument("terms")
+    four = commands.add_parser("document")
+    four.add_argument("pages")
+    four.add_argument("terms")
     two = commands.add_parser("report")
     two.add_argument("statements")
     two.add_argument("--years", nargs=3, required=True)
     three = commands.add_parser("query")
     three.add_argument("name")
     three.add_argument("tables")
-    for p in (one, two, three):
+    for p in (one, two, three, four):
         p.add_argument("output")
     given = parser.parse_args(arguments)
     spark = spark or SparkSession.builder.getOrCreate()
     if given.command == "extract":
         out = extract_documents(spark.read.parquet(given.pages), spark.read.parquet(given.terms))
+    elif given.command == "document":
+        from finquill.operators import extraction
+        from finquill.sources import steps
+
+        pages, terms = spark.read.parquet(given.pages), spark.read.parquet(given.terms)
+        extraction.document_fields(pages, terms, terms).write.mode("overwrite").parquet(given.output)
+        fields = spark.read.parquet(given.output)
+        extraction.document_summary(pages, fields).write.mode("overwrite").parquet(f"{given.output.rstrip('/')}-summary")
+        steps.clear(spark)
+        return
     elif given.command == "report":
         out = report_of(spark.read.parquet(given.statements), given.years)
     else:

@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from finquill import cli
 from finquill.functions.markup import grid, known_labels, markdown_to_html
 from finquill.operators import candidates, extraction
 from finquill.operators.containment import both_ways, containing
@@ -62,6 +63,15 @@ def test_fields_of_documents(spark):
     assert steps.clear(spark) == 1 and steps.clear(spark) == 0
 
 
+def test_document_command(spark, tmp_path):
+    pages, terms, out = (str(tmp_path / n) for n in ("pages", "terms", "out"))
+    _pages(spark).write.parquet(pages)
+    spark.createDataFrame([("payables", "trade payables")], "field string, term string").write.parquet(terms)
+    cli.main(["document", pages, terms, out], spark)
+    assert {r.doc: r.current for r in spark.read.parquet(out).collect()} == {1: 1234.5, 2: 5.0, 3: None}
+    assert {r.doc: r.coverage for r in spark.read.parquet(f"{out}-summary").collect()} == {1: 100.0, 2: 100.0, 3: 0.0}
+
+
 def test_markup():
     texts, inherited = grid("<table><tr><td rowspan=2>a</td><td colspan=2>b\nc</td></tr><tr><td>d</td></tr></table>")
     assert texts == [["a", "b c", "b c"], ["a", "d"]] and inherited == [[False] * 3, [True, False]]
