@@ -243,13 +243,16 @@ def _at(key: str, k: int) -> Column:
     return F.get(F.col(f"__{key}"), k) if k >= 0 else F.lit(None).cast("double")
 
 
-def _formula(text: str, k: int, digits: int) -> Column:
+def _formula(row: Row) -> Column:
+    """Given values, else the formula, in each column: one lambda over the columns' numbers."""
+
     def name(m: re.Match) -> str:
-        place = k - 1 if m[2] == "<" else k
-        value = f"get(__{m[1]}, {place})" if place >= 0 else "cast(null as double)"
+        value = f"get(__{m[1]}, {'k - 1' if m[2] == '<' else 'k'})"
         return value if m[2] else f"coalesce({value}, 0.0D)"
 
-    return F.round(F.expr(_NAME.sub(name, text)).cast("double"), digits)
+    made = f"round(cast({_NAME.sub(name, row.formula)} as double), {row.digits})"
+    given = "get(try_element_at(__given, '{}'), k)".format(row.field.replace("'", "\\'")) if row.field else "cast(null as double)"
+    return F.expr(f"transform(sequence(0, {COLUMNS - 1}), k -> coalesce({given}, {made}))")
 
 
 def _projected(row: Row, given: Column) -> tuple[Column, Column] | None:
@@ -290,12 +293,15 @@ def _values(row: Row) -> Column:
         known = F.filter(F.col(f"__{rule.split(':')[1]}"), lambda x: x != 0)
         mean = F.round(F.try_divide(F.aggregate(known, F.lit(0.0), lambda t, x: t + x), F.size(known)), 4)
         return F.array(mean, *[F.lit(None).cast("double")] * 4)
-    ahead = _projected(row, given)
-    out = []
-    for k in range(COLUMNS):
-        made = ahead[k - 3] if ahead and k > 2 else _formula(row.formula, k, row.digits) if row.formula else F.lit(None).cast("double")
-        out.append(F.coalesce(F.get(given, k), made))
-    return F.array(*out)
+    if row.formula:
+        return _formula(row)
+
+    def five(v: Column) -> Column:
+        ahead = _projected(row, v) or (F.lit(None).cast("double"),) * 2
+        return F.array(*[F.get(v, k) for k in range(3)], *[F.coalesce(F.get(v, k), ahead[k - 3]) for k in (3, 4)])
+
+    # bound once, and kept out of generated code, which has a limit of size for a whole level
+    return F.get(F.transform(F.array(given), five), 0)
 
 
 def statement(given: DataFrame, sections: tuple[str, ...] | None = None) -> DataFrame:
@@ -305,6 +311,8 @@ def statement(given: DataFrame, sections: tuple[str, ...] | None = None) -> Data
     wide = fields.groupBy("company").agg(F.map_from_entries(F.collect_list(F.struct("name", "v"))).alias("__given"))
     for level in levels():
         wide = wide.withColumns({f"__{r.key}": _values(r) for r in level})
-    cells = [F.struct(F.lit(r.section).alias("section"), F.lit(k).alias("row_ord"), F.lit(r.label).alias("row"), F.col(f"__{r.key}").alias("v")) for k, r in enumerate(ROWS) if sections is None or r.section in sections]
-    out = wide.select("company", F.explode(F.array(*cells)).alias("c")).select("company", "c.section", "c.row_ord", "c.row", F.posexplode("c.v").alias("col", "value"))
-    return out.where("value is not null").withColumn("col", F.col("col") + 1)
+    wanted = [(k, r) for k, r in enumerate(ROWS) if sections is None or r.section in sections]
+    names = F.array(*[F.struct(F.lit(r.section).alias("section"), F.lit(k).alias("row_ord"), F.lit(r.label).alias("row")) for k, r in wanted])
+    out = wide.select("company", F.posexplode(F.array(*[F.col(f"__{r.key}") for _, r in wanted])).alias("__k", "__v"))
+    out = out.select("company", F.get(names, F.col("__k")).alias("c"), F.posexplode("__v").alias("col", "value")).where("value is not null")
+    return out.select("company", "c.section", "c.row_ord", "c.row", (F.col("col") + 1).alias("col"), "value")
