@@ -10,14 +10,19 @@ sets are one node, named by a hash of the set; what is joined are nodes.
    n - ceil(0.8 n) + l shingles of each, for every l.  Each set chooses the l that
    minimises estimated cost: list entries that it reads, plus verifications, of which
    there are at most (entries / l).  A pair must share min(l, l') shingles of these
-   prefixes.  Lists of up to PAIRED nodes are counted pair by pair; a longer one links its
-   nodes to its smallest, unconditionally.  So no list makes a quadratic number of rows.
-3. Clusters.  Connected candidates form clusters.  All pairs of a cluster are verified
+   prefixes.  Lists of up to PAIRED nodes are counted pair by pair.
+3. Sketches.  A set's parities, by low bits of its shingles, differ from another set's in at
+   most as many places as the sets do in shingles.  Pairs whose sketches differ in more than
+   a link allows are left out, which loses none; chance meetings, whose number grows with the
+   corpus, would else join clusters.  The nodes of a list longer than PAIRED are compared by
+   sketches within a task and only edges that join them leave it; one of more than LISTED
+   links its nodes to its smallest, unconditionally.  So no list makes a quadratic number of rows.
+4. Clusters.  Connected candidates form clusters.  All pairs of a cluster are verified
    exactly where its sets lie together, in chunks of CHUNK nodes: first each chunk with
    itself and with the first one, then, only for clusters of several chunks, those
    chunks that still hold different components.  Only links that join components leave
    a task.
-4. Components of links give each document the smallest doc_id that it reaches.
+5. Components of links give each document the smallest doc_id that it reaches.
 
 Sets of clusters are computed again from the texts; a filter of fixed size
 (2**FILTER_BITS cells) of the documents that are needed spares the others.  Only
@@ -52,6 +57,9 @@ FILTER_BITS = 25
 BLOCK_BITS = 16
 LEVELS = (1, 2, 3, 4, 6, 8)
 PAIRED = 32
+LISTED = 4096
+#: Least bits of a sketch; one has at least as many as its set has shingles.
+SKETCH_BITS = 128
 CHUNK = 256
 #: Columns of a verification matrix that are in memory at once.
 SLAB = 1 << 15
@@ -92,6 +100,18 @@ def node_of(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes())).view(np.int64))
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """Parity of the number of shingles for each value of their low bits; twice the bits fold to half by exclusive or."""
+    bits = max(SKETCH_BITS, 1 << (len(shingles) - 1).bit_length())
+    return np.packbits((np.bincount(shingles & (bits - 1), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(words: np.ndarray, size: int) -> np.ndarray:
+    while len(words) > size:
+        words = words[: len(words) // 2] ^ words[len(words) // 2 :]
+    return words
+
+
 def _blocks(cells: np.ndarray) -> Iterator[tuple[int, bytes]]:
     for b, part in enumerate(cells.reshape(-1, 1 << BLOCK_BITS)):
         if part.any():
@@ -117,18 +137,19 @@ def _added(blocks: DataFrame, bits: int) -> np.ndarray:
 
 
 def _survey(rows: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """The written survey, whose rows without a block are (doc_id, node, n) of every row, and the count sketch."""
+    """The written survey, whose rows without a block are (doc_id, node, n, sketch) of every row, and the count sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "node", "n", "block", "cells"]
+        names = ["doc_id", "node", "n", "sketch", "block", "cells"]
         shingler, cells, seen = Shingler(), np.zeros(1 << CELL_BITS, np.uint8), set()
         for batch in slices(batches):
-            nodes, sizes, held = [], [], []
+            nodes, sizes, sketches, held = [], [], [], []
             for text in utf8(batch.column("text")):
                 s = shingler.set_of(text)
                 node = node_of(s) if len(s) else None
                 nodes.append(node)
                 sizes.append(len(s))
+                sketches.append(sketch(s) if len(s) and node not in seen else None)
                 if len(s) and node not in seen:
                     seen.add(node)
                     held.append(s)
@@ -137,14 +158,14 @@ def _survey(rows: DataFrame) -> tuple[DataFrame, np.ndarray]:
                 at = at.astype(np.int64)
                 cells[at] = np.minimum(cells[at].astype(np.int64) + count, 255)
             n = len(nodes)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
         found = list(_blocks(cells))
         n = len(found)
-        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([b for b, _ in found], pa.int32()), pa.array([c for _, c in found], pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array([b for b, _ in found], pa.int32()), pa.array([c for _, c in found], pa.binary())], names)
         del shingler, cells, seen, found
         tidy()
 
-    both = cut(rows.mapInArrow(run, "doc_id long, node long, n long, block int, cells binary"), "shingle-survey")
+    both = cut(rows.mapInArrow(run, "doc_id long, node long, n long, sketch binary, block int, cells binary"), "shingle-survey")
     return both, _added(both.where("block is not null").select("block", "cells"), CELL_BITS)
 
 
@@ -195,7 +216,11 @@ def _lists(rows: DataFrame, cells: np.ndarray) -> DataFrame:
 
 
 def _pairs_of(token: np.ndarray, node: np.ndarray, info: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """(a, b, shared, wanted) from the lists of some tokens; pairs whose sizes rule out a link are left out."""
+    """(token, a, b, shared, wanted) from the lists of some tokens; pairs whose sizes rule out a link are left out.
+
+    Pairs have the token 0 and, where they are sure to stand, wanted is 0.  A longer list gives
+    (token, node, 0, 0, 1) of its nodes.
+    """
     order = np.lexsort((node, token))
     token, node, info = token[order], node[order], info[order]
     once = np.r_[True, (token[1:] != token[:-1]) | (node[1:] != node[:-1])]
@@ -205,35 +230,120 @@ def _pairs_of(token: np.ndarray, node: np.ndarray, info: np.ndarray) -> Iterator
     sizes = np.diff(np.r_[starts, len(token)])
     for c in np.unique(sizes[sizes > 1]).tolist():
         at = starts[sizes == c][:, None] + np.arange(c)
-        if c > PAIRED:
+        if c > max(PAIRED, LISTED):
             b = node[at[:, 1:]].ravel()
-            yield np.repeat(node[at[:, 0]], c - 1), b, np.full(len(b), 99), np.ones(len(b), np.int64)
+            none = np.zeros(len(b), np.int64)
+            yield none, np.repeat(node[at[:, 0]], c - 1), b, none, none
+            continue
+        if c > PAIRED:
+            at = at.ravel()
+            none = np.zeros(len(at), np.int64)
+            # 0 names no list
+            yield np.where(token[at] == 0, 1, token[at]), node[at], none, none, none + 1
             continue
         i, j = np.triu_indices(c, 1)
         i, j = at[:, i].ravel(), at[:, j].ravel()
         least = np.minimum(wanted[i], wanted[j])
         fit = 100 * np.minimum(size_of[i], size_of[j]) >= SHARE * np.maximum(size_of[i], size_of[j])
         good = fit & (level[i] <= least) & (level[j] <= least)
-        yield node[i][good], node[j][good], np.ones(int(good.sum()), np.int64), least[good].astype(np.int64)
+        one = np.ones(int(good.sum()), np.int64)
+        yield one - 1, node[i][good], node[j][good], one, least[good].astype(np.int64)
 
 
-def _candidates(lists: DataFrame) -> DataFrame:
-    """(a, b) of nodes whose prefixes share enough."""
+def _met(lists: DataFrame) -> DataFrame:
+    """Pairs of short lists, as counted in a task, and nodes of long ones (see ``_pairs_of``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [tuple(np.asarray(b.column(c)) for c in ("token", "node", "info")) for b in batches if b.num_rows]
         found = list(_pairs_of(*(np.concatenate(c) for c in zip(*held, strict=True)))) if held else []
         if not found:
             return
-        a, b, shared, wanted = (np.concatenate(c) for c in zip(*found, strict=True))
-        order = np.lexsort((b, a))
-        a, b, shared, wanted = a[order], b[order], shared[order], wanted[order]
-        first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, np.int64)
-        shared = np.add.reduceat(shared, first) if len(a) else shared
-        yield pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(shared, pa.int64()), pa.array(wanted[first], pa.int64())], ["a", "b", "shared", "wanted"])
-
-    met = lists.repartition("token").mapInArrow(run, "a long, b long, shared long, wanted long")
-    return met.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("wanted").alias("wanted")).where("shared >= wanted").select("a", "b")
+        token, a, b, shared, wanted = (np.concatenate(c) for c in zip(*found, strict=True))
+        order = np.lexsort((b, a, token))
+        token, a, b, shared, wanted = (x[order] for x in (token, a, b, shared, wanted))
+        first = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, np.int64)
+        shared, wanted = (np.add.reduceat(shared, first), np.minimum.reduceat(wanted, first)) if len(a) else (shared, wanted)
+        columns = [pa.array(x, pa.int64()) for x in (token[first], a[first], b[first], shared, wanted)]
+        yield pa.RecordBatch.from_arrays(columns, ["token", "a", "b", "shared", "wanted"])
+
+    return lists.repartition("token").mapInArrow(run, "token long, a long, b long, shared long, wanted long")
+
+
+def may_link(n: np.ndarray, differ: np.ndarray) -> np.ndarray:
+    """Whether sets of ``n`` shingles together, of which ``differ`` at least are in one only, can reach the threshold."""
+    return (100 + SHARE) * differ <= (100 - SHARE) * n
+
+
+def joined(nodes: np.ndarray, sizes: np.ndarray, sketches: list[bytes]) -> list[tuple[int, int]]:
+    """Edges that join the nodes of which the sketches don't rule a link out."""
+    order = np.lexsort((nodes, sizes))
+    nodes, sizes = nodes[order], sizes[order]
+    words = [np.frombuffer(sketches[k], np.uint64) for k in order]
+    forest, edges, width, start, matrix = Forest(), [], 0, 0, None
+    for i in range(len(nodes) - 1):
+        if len(words[i]) != width:  # sketches grow with sizes: those from here on, folded to this width
+            width, start = len(words[i]), i
+            last = next((k for k in range(i, len(words)) if len(words[k]) != width), len(words)) - 1
+            matrix = np.stack([_folded(w, width) for w in words[i : np.searchsorted(sizes, sizes[last] * 100 // SHARE, side="right")]])
+        end = np.searchsorted(sizes, sizes[i] * 100 // SHARE, side="right")
+        differ = np.bitwise_count(matrix[i - start] ^ matrix[i + 1 - start : end - start]).sum(axis=1, dtype=np.int64)
+        near = np.flatnonzero(may_link(sizes[i] + sizes[i + 1 : end], differ)) + i + 1
+        a = int(nodes[i])
+        edges += [(a, b) for b in nodes[near].tolist() if forest.join(a, b)]
+    return edges
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) whose sketches don't rule a link out, and those that are sure."""
+    for batch in batches:
+        keep = []
+        for sure, n, x, y in zip(*(batch.column(c).to_pylist() for c in ("sure", "n", "x", "y")), strict=True):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            size = min(len(x), len(y))
+            keep.append(sure or bool(may_link(n, int(np.bitwise_count(_folded(x, size) ^ _folded(y, size)).sum()))))
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) of the lists of rows (token, node, n, sketch), ordered by token."""
+
+    def of(held: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        nodes, sizes, sketches = zip(*held, strict=True)
+        edges = joined(np.array(nodes, np.int64), np.array(sizes, np.int64), list(sketches))
+        return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    now, held = None, []
+    for batch in batches:
+        for token, *row in zip(*(batch.column(c).to_pylist() for c in ("token", "node", "n", "sketch")), strict=True):
+            if token != now:
+                if held:
+                    yield of(held)
+                now, held = token, []
+            held.append(row)
+    if held:
+        yield of(held)
+
+
+def _candidates(lists: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b) of nodes whose prefixes share enough and whose sketches don't rule a link out, written.
+
+    ``nodes`` has the sketches, once at least for each node.
+    """
+    spark = lists.sparkSession
+    met = cut(_met(lists), "shingle-met")
+    pairs = met.where("token = 0").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("wanted").alias("wanted"))
+    pairs = cut(pairs.where("shared >= wanted").select("a", "b", (F.col("wanted") == 0).alias("sure")), "shingle-pairs")
+    listed = met.where("token <> 0").select("token", F.col("a").alias("node"))
+    touched = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(listed.select("node")).distinct()
+    known = nodes.where("sketch is not null").join(touched, "node", "left_semi").select("node", "n", "sketch").dropDuplicates(["node"])
+    known = cut(known, "shingle-sketches")
+    one, other = known.toDF("a", "na", "x"), known.toDF("b", "nb", "y")
+    both = pairs.join(one, "a").join(other, "b").select("a", "b", "sure", (F.col("na") + F.col("nb")).alias("n"), "x", "y")
+    near = both.mapInArrow(_near, "a long, b long")
+    spanned = listed.join(known, "node").repartition("token").sortWithinPartitions("token").mapInArrow(_joined, "a long, b long")
+    edges = cut(near.unionByName(spanned), "shingle-candidates")
+    remove(spark, met, pairs, known)
+    return edges
 
 
 def _sets_of(rows: DataFrame, needed: DataFrame) -> DataFrame:
@@ -350,7 +460,7 @@ def _tasks(members: DataFrame, chunks: DataFrame, pairs: DataFrame, sets: DataFr
 def links_of(rows: DataFrame, nodes: DataFrame, cells: np.ndarray) -> DataFrame:
     """Links (a, b) between nodes that give the components of all links, written."""
     spark = rows.sparkSession
-    edges = cut(_candidates(_lists(rows, cells)), "shingle-candidates")
+    edges = _candidates(_lists(rows, cells), nodes)
     if not edges.limit(1).count():
         return edges
     found = components(edges)
@@ -409,10 +519,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     survey, cells = _survey(rows)
-    nodes = survey.where("block is null").select("doc_id", "node", "n")
+    nodes = survey.where("block is null").select("doc_id", "node", "n", "sketch")
     links = links_of(rows, nodes, cells)
     found = components(links)
-    named = nodes.join(found, "node", "left").select("doc_id", "n", F.coalesce("component", "node").alias("class"))
+    named = nodes.drop("sketch").join(found, "node", "left").select("doc_id", "n", F.coalesce("component", "node").alias("class"))
     named = cut(named, "shingle-classes")
     remove(spark, survey, links, found)
     least = cut(named.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("size")).where("size > 1"), "shingle-least")
