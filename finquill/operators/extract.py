@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from finquill.operators.containment import both_ways
+from finquill.sources.steps import written
 
 FIRST_BATCH, SECOND_BATCH = 4, 8
 HINTS = 5
@@ -169,9 +170,13 @@ def entity_context(documents: DataFrame, guides: DataFrame) -> DataFrame:
 def old_matches(rows: DataFrame, aliases: DataFrame, score: Column, least: float = 72, best: int = 5) -> DataFrame:
     """field of each row: of its ``best`` aliases by ``score`` (at least ``least``) the first that isn't excluded; the first row wins a field.
 
-    Labels with the word asset never are deferred tax liabilities.  ``aliases`` is a short catalogue.
+    Labels with the word asset never are deferred tax liabilities.  ``aliases`` is a short catalogue; ``score``
+    is of label and alias.  Each distinct label is compared once, whatever the rows; the pairs that
+    count are written (``steps.clear`` deletes them), so Spark knows their true size before it deals rows by label.
     """
-    met = rows.join(aliases).withColumn("score", score).where(F.col("score") >= least)
+    alike = rows.select("label").distinct().join(aliases).withColumn("score", score).where(F.col("score") >= least)
+    alike = written(alike.withColumnRenamed("label", "__label"), "label-scores")
+    met = rows.join(alike, F.col("label").eqNullSafe(F.col("__label"))).drop("__label")
     met = met.withColumn("__place", F.row_number().over(Window.partitionBy("doc", "pos").orderBy(F.desc("score"), "field"))).where(F.col("__place") <= best)
     excluded = F.lower("label").contains("asset") & (F.col("field") == "Deferred Tax Liabilities")
     one = met.where(~excluded).withColumn("__first", F.row_number().over(Window.partitionBy("doc", "pos").orderBy("__place"))).where("__first = 1")
