@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from finquill.functions.markup import labels_in, page_parts
+from finquill.functions.markup import labels_in, page_markup, page_parts
 from finquill.functions.scalars import numeric_tokens
 from finquill.operators import pages as paging
 from finquill.operators.text import is_rejected_page
@@ -211,7 +211,9 @@ def page_candidates(pages: DataFrame) -> DataFrame:
 def document_metadata(pages: DataFrame) -> DataFrame:
     """doc, current_fy and previous_fy (unknown if no page names a year), pages_processed, pages_rejected."""
     years = paging.year_of_document(pages, ["doc"], "page", "text").select("doc", "current_fy", "previous_fy")
-    counts = parse(pages).groupBy("doc").agg(F.count("*").alias("pages_processed"), F.count_if("rejected").alias("pages_rejected"))
+    # what a page is rejected by is its markup; its tables, lines and types aren't needed
+    judged = page_markup(pages.select("doc", "text")).select("doc", F.coalesce(is_rejected_page(F.col("markup")), F.lit(False)).alias("rejected"))
+    counts = judged.groupBy("doc").agg(F.count("*").alias("pages_processed"), F.count_if("rejected").alias("pages_rejected"))
     named = {c: F.coalesce(c, F.lit("unknown")) for c in ("current_fy", "previous_fy")}
     return counts.join(years, "doc", "left").withColumns(named).select("doc", "current_fy", "previous_fy", "pages_processed", "pages_rejected")
 

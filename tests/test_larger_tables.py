@@ -33,3 +33,12 @@ def test_each_label_is_scored_once(spark):
     assert got == {(d, p, "F") for d, p in first.items()}
     assert calls.value <= 8
     steps.clear(spark)
+
+
+def test_metadata_reads_only_markup(spark):
+    rows = [("d", 1, "Balance Sheet as at March 31, 2024\n| a | b |\n|---|---|\n| auditor's report | 1 |"), ("d", 2, "independent auditor's report"), ("e", 1, None), (None, 1, "")]
+    given = spark.createDataFrame(rows, "doc string, page long, text string")
+    got = candidates.document_metadata(given)
+    assert "MapInArrow" not in _plan(got)
+    want = {r.doc: (r.n, r.k) for r in candidates.parse(given).groupBy("doc").agg(F.count("*").alias("n"), F.count_if("rejected").alias("k")).collect()}
+    assert {r.doc: (r.pages_processed, r.pages_rejected) for r in got.collect()} == want
