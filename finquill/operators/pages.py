@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from finquill.functions.scalars import hits
-from finquill.operators.containment import containing
+from finquill.operators.containment import MANY, containing
 
 # Words of page types, in the order in which equal scores stand.
 PAGE_TYPES = {
@@ -102,8 +102,12 @@ def statement_type(types: Column, text: Column) -> Column:
     return out.otherwise("Balance Sheet")
 
 
+def is_header_cell(cell: Column) -> Column:
+    return _any(F.lower(F.coalesce(cell, F.lit(""))), HEADER_WORDS)
+
+
 def is_header_row(cells: Column) -> Column:
-    return F.exists(cells, lambda c: _any(F.lower(F.coalesce(c, F.lit(""))), HEADER_WORDS))
+    return F.exists(cells, is_header_cell)
 
 
 def is_total_row(label: Column) -> Column:
@@ -239,13 +243,15 @@ def line_context(pages: DataFrame, text: str, pattern: str, before: int = 2, aft
 def field_snippets(pages: DataFrame, keys: list[str], page: str, text: str, terms: DataFrame, before: int = 2, after: int = 3, limit: int = 6) -> DataFrame:
     """For each field the first line of a page that has one of its terms, with its neighbours; the first ``limit`` pages.
 
-    Pages meet the terms (field, term) that they contain, by rare parts of the terms.
+    Pages meet the terms (field, term) that they contain, by rare parts of the terms or, if these are few, as they
+    are.  The pages' texts are never broadcast, whatever Spark takes their size to be.
     """
     known = terms.select("field", F.lower("term").alias("__term")).distinct()
     low = pages.select(*keys, page, F.lower(F.col(text)).alias("__low"))
-    met = containing(low, [*keys, page], "__low", known, "__term").join(known, "__term")
+    n_terms = known.count()
+    met = containing(low, [*keys, page], "__low", known, "__term", n_terms).join(F.broadcast(known) if n_terms <= MANY else known, "__term")
     fields = met.groupBy(*keys, page, "field").agg(F.collect_set("__term").alias("__terms"))
-    rows = pages.withColumn("__lines", F.split(F.coalesce(F.col(text), F.lit("")), "\n")).join(fields, [*keys, page])
+    rows = pages.withColumn("__lines", F.split(F.coalesce(F.col(text), F.lit("")), "\n")).join(fields.hint("merge"), [*keys, page])
     at = F.array_position(F.transform("__lines", lambda x: F.exists("__terms", lambda t: F.lower(x).contains(t))), True)
     rows = rows.withColumn("line_no", at.cast("int")).where("line_no > 0")
     start = F.greatest(F.lit(1), F.col("line_no") - before)

@@ -16,6 +16,22 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_made_texts_are_not_broadcast(spark, monkeypatch):
+    found = Q["field_snippets"](spark, DATA)
+    inside = None
+    for line in _plan(found).split("\n"):
+        depth = len(re.match(r"[ :|+*-]*", line)[0])
+        inside = None if inside is not None and depth <= inside else inside
+        if "BroadcastExchange" in line and inside is None:
+            inside = depth
+        assert inside is None or "FileScan" not in line
+    want = sorted(map(tuple, found.collect()))
+    monkeypatch.setattr(containment, "FEW", 0)  # by parts of the terms
+    assert want and sorted(map(tuple, Q["field_snippets"](spark, DATA).collect())) == want
+    monkeypatch.setattr(containment, "MANY", 0)
+    assert sorted(map(tuple, Q["field_snippets"](spark, DATA).collect())) == want
+
+
 def test_each_label_is_scored_once(spark):
     calls = spark.sparkContext.accumulator(0)
 
