@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from finquill.operators import extract, merge, tables
-from finquill.operators.pages import is_header_row
+from finquill.operators.pages import is_header_cell
 from finquill.plans.named import choose, query
 from finquill.plans.statement import load
 
@@ -65,7 +65,7 @@ def column_roles(spark, sf):
  SELECT doc, CAST(row_no AS INT) AS row_no, label, note, current_value, previous_value FROM w WHERE NOT head AND label IS NOT NULL AND (current_value IS NOT NULL OR previous_value IS NOT NULL)""")
 def table_candidates(spark, sf):
     cells = _cells(spark, sf)
-    return tables.candidates(cells, tables.column_roles(cells, ["doc"], F.lit(2025), F.lit(2024)), ["doc"], is_header_row(F.array("text")))
+    return tables.candidates(cells, tables.column_roles(cells, ["doc"], F.lit(2025), F.lit(2024)), ["doc"], is_header_cell(F.col("text")))
 
 
 _PROSE = choose("l_partkey", ["Share Capital 1,020.00 1,018.00", "Other Income 41.89", "no amount here", "12 34", "Depreciation (5.5)", "Note 4"])

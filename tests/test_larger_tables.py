@@ -58,3 +58,10 @@ def test_metadata_reads_only_markup(spark):
     assert "MapInArrow" not in _plan(got)
     want = {r.doc: (r.n, r.k) for r in candidates.parse(given).groupBy("doc").agg(F.count("*").alias("n"), F.count_if("rejected").alias("k")).collect()}
     assert {r.doc: (r.pages_processed, r.pages_rejected) for r in got.collect()} == want
+
+
+def test_header_cells_are_plain_expressions(spark):
+    plan = _plan(Q["table_candidates"](spark, DATA))
+    assert "exists(array" not in plan
+    cells = spark.createDataFrame([("Note No",), ("x",), (None,), ("as at 31st",)], "c string")
+    assert [r[0] for r in cells.select(pages.is_header_cell(F.col("c"))).collect()] == [r[0] for r in cells.select(pages.is_header_row(F.array("c"))).collect()]
