@@ -42,12 +42,29 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: st
 
 
 def band_join(left: DataFrame, right: DataFrame, a: str, b: str, width: int) -> DataFrame:
-    """Rows with |a - b| < width for integers: equal buckets, or the ones next to them."""
-    near = left.withColumn("__bucket", F.explode(F.array(*[F.floor(F.col(a) / width) + k for k in (-1, 0, 1)])))
-    far = right.withColumn("__bucket", F.floor(F.col(b) / width))
+    """Rows with |a - b| < width: a left row is in one bucket of twice the width, a right one in the one or two that its band touches."""
+    near = left.withColumn("__bucket", F.floor(F.col(a) / (2 * width)))
+    far = right.withColumn("__bucket", F.explode(F.array_distinct(F.array(*[F.floor((F.col(b) + k) / (2 * width)) for k in (-width, width)]))))
     return near.join(far, "__bucket").where(F.abs(F.col(a) - F.col(b)) < width).drop("__bucket")
 
 
+def band_differences(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: str, width: int) -> DataFrame:
+    """Distinct (keys, diff) with diff = a - b of rows (keys[0], a) and (keys[1], b) with |a - b| < width.
+
+    Both sides are made distinct before they meet.  A right key with one value can't give a
+    difference twice, so the pairs, of which there may be many more than rows, aren't
+    shuffled for that; only those of right keys with several values are.
+    """
+    one, other = left.select(keys[0], a).distinct(), right.select(keys[1], b).distinct()
+    ends = other.groupBy(keys[1]).agg(F.min(b).alias(b), F.max(b).alias("__last"))
+    several = other.join(ends.where(F.col(b) < F.col("__last")).select(keys[1]), keys[1])
+
+    def met(some: DataFrame) -> DataFrame:
+        return band_join(one, some, a, b, width).select(*keys, (F.col(a) - F.col(b)).alias("diff"))
+
+    return met(ends.where(F.col(b) == F.col("__last")).drop("__last")).unionByName(met(several).distinct())
+
+
 def trim_range(rows: DataFrame, keys: list[str], page: str, low: Column, high: Column) -> DataFrame:
     """Rows in [low, high]; all rows of a key that has none there."""
     inside = (F.col(page) >= F.coalesce(low, F.lit(1))) & (high.isNull() | (F.col(page) <= high))

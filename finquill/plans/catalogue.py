@@ -261,7 +261,7 @@ def active_note_asof(spark, sf):
 def near_value_match(spark, sf):
     a = load(spark, sf, "lineitem").select("l_orderkey", F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("a"))
     b = load(spark, sf, "orders").select("o_orderkey", F.round(F.col("o_totalprice") * 100).cast("bigint").alias("b"))
-    return sequence.band_join(a, b, "a", "b", 5).select("l_orderkey", "o_orderkey", (F.col("a") - F.col("b")).alias("diff")).distinct()
+    return sequence.band_differences(a, b, ["l_orderkey", "o_orderkey"], "a", "b", 5)
 
 
 @query("SELECT conv_id, turn, role FROM (SELECT *, turn >= 3 AND turn <= 5 AS i, max(CAST(turn >= 3 AND turn <= 5 AS INT)) OVER (PARTITION BY conv_id) AS y FROM conversations) WHERE i OR y = 0")

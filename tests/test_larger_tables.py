@@ -65,3 +65,16 @@ def test_header_cells_are_plain_expressions(spark):
     assert "exists(array" not in plan
     cells = spark.createDataFrame([("Note No",), ("x",), (None,), ("as at 31st",)], "c string")
     assert [r[0] for r in cells.select(pages.is_header_cell(F.col("c"))).collect()] == [r[0] for r in cells.select(pages.is_header_row(F.array("c"))).collect()]
+
+
+def test_band_differences(spark):
+    r = random.Random(2)
+    left = [(k % 40, r.randrange(-60, 60)) for k in range(200)] + [(1, None)]
+    right = [(k % 30, r.randrange(-60, 60)) for k in range(60)] + [(100 + k, k - 20) for k in range(40)] * 2 + [(7, None)]
+    for width in (1, 5, 8):
+        got = sequence.band_differences(spark.createDataFrame(left, "l long, a long"), spark.createDataFrame(right, "r long, b long"), ["l", "r"], "a", "b", width)
+        rows = [tuple(x) for x in got.collect()]
+        assert len(rows) == len(set(rows))
+        assert set(rows) == {(x, y, a - b) for x, a in left for y, b in right if a is not None and b is not None and abs(a - b) < width}
+    near = sequence.band_join(spark.range(100).toDF("a"), spark.range(100).toDF("b"), "a", "b", 5)
+    assert near.count() == sum(abs(a - b) < 5 for a in range(100) for b in range(100))
