@@ -86,7 +86,7 @@ def pct_difference(a: Column, b: Column) -> Column:
     return F.when(b == 0, F.lit(0.0)).otherwise(F.abs(a - b) / F.abs(F.nullif(b, F.lit(0.0))))
 
 
-def hits(text: Column, words: list[str]) -> Column:
-    """How many of the words are in the text (a word listed twice counts twice)."""
-    low = F.lower(text)
+def hits(text: Column, words: list[str], lowered: bool = False) -> Column:
+    """How many of the words are in the text (a word listed twice counts twice), which may be in lower case already."""
+    low = text if lowered else F.lower(text)
     return sum((low.contains(w).cast("int") for w in words[1:]), low.contains(words[0]).cast("int"))

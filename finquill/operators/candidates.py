@@ -1,8 +1,9 @@
 """From pages to candidate rows: page, table and line work of a document as one operator.
 
-``parse`` reads a page's markup in Arrow batches; all else are expressions over the page's own
-arrays, so nothing is shuffled but the documents' years (one row a document) and the sections of
-prose lines (a window over one page).  A page stands alone: its statement, notes and section
+``parse`` reads a page's markup in Arrow batches, once: its result is written, since tables, lines and
+years are read from it by different paths.  All else are expressions over the page's own
+arrays; pages are dealt over the cores, and nothing else is shuffled but tables to their document's years
+and the sections of prose lines (a window over one page).  A page stands alone: its statement, notes and section
 begin anew.  Pages that are rejected or show no statement give no rows.
 
 Null and empty texts give no rows and count as pages; tables without rows, header rows, rows without
@@ -13,6 +14,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,8 +23,11 @@ from pyspark.sql import functions as F
 from finquill.functions.markup import labels_in, page_markup, page_parts
 from finquill.functions.scalars import numeric_tokens
 from finquill.operators import pages as paging
-from finquill.operators.text import is_rejected_page
+from finquill.operators.text import REJECTED_PAGES, STATEMENT_WORDS, is_rejected_page
+from finquill.sources.steps import written
 
+#: Words of which ``parse`` needs the hits: of page types, of statements, and of pages to be rejected and kept.
+_WORDS = [*paging.TYPE_WORDS, *(words for _, words in paging.STATEMENT_HINTS), REJECTED_PAGES, STATEMENT_WORDS]
 HEADER_ROWS = 3
 # Words of label columns, cells that stand for nothing, and how a line ends in amounts.
 LABEL_WORDS = ("particular", "asset", "liabilit", "equity", "description")
@@ -36,9 +42,19 @@ def _first(rows: Column) -> Column:
     return F.slice(rows, 1, HEADER_ROWS)
 
 
-def _votes(rows: Column, wanted: Callable[[Column], Column]) -> Column:
-    """Columns of the header's cells that are wanted, by row and column, as often as they are."""
-    return F.flatten(F.transform(_first(rows), lambda r: F.filter(F.transform(r, lambda c, j: F.when(wanted(c), j)), lambda j: j.isNotNull())))
+def _head(rows: Column) -> Column:
+    """The header's cells in order, each with its column, its text in lower case and the numbers that are words of it."""
+
+    def cell(c: Column, j: Column) -> Column:
+        low = F.lower(c)
+        return F.struct(j.alias("j"), low.alias("low"), F.regexp_extract_all(low, F.lit(r"\b(\d+)\b"), F.lit(1)).alias("numbers"))
+
+    return F.flatten(F.transform(_first(rows), lambda r: F.transform(r, cell)))
+
+
+def _votes(head: Column, wanted: Callable[[Column], Column]) -> Column:
+    """Columns of the header's cells that are wanted, as often as they are."""
+    return F.filter(head, wanted)["j"]
 
 
 def _winner(votes: Column) -> Column:
@@ -48,9 +64,8 @@ def _winner(votes: Column) -> Column:
 
 
 def _names_year(cell: Column, year: Column) -> Column:
-    low, four = F.lower(cell), year.cast("string")
-    pattern = F.concat(F.lit(r"\b("), four, F.lit("|"), F.substring(four, 3, 2), F.lit(r")\b"))
-    return F.regexp_like(low, pattern) | (low.contains("31st march") & F.contains(low, four))
+    four = year.cast("string")
+    return F.array_contains(cell["numbers"], four) | F.array_contains(cell["numbers"], F.substring(four, 3, 2)) | (cell["low"].contains("31st march") & F.contains(cell["low"], four))
 
 
 def with_roles(tables: DataFrame, rows: str, current: Column, previous: Column) -> DataFrame:
@@ -61,14 +76,17 @@ def with_roles(tables: DataFrame, rows: str, current: Column, previous: Column)
     vote for the previous one.  Without a voted label column it is the one with most letters below the header.
     """
     r = F.col(rows)
-    years = F.flatten(F.transform(_first(r), lambda row: F.flatten(F.transform(row, lambda c, j: F.transform(F.regexp_extract_all(F.lower(c), F.lit(r"\b(20\d{2})\b"), F.lit(1)), lambda _: j)))))
+    # a generator's output isn't written out again in every vote
+    tables = tables.select("*", F.explode(F.array(_head(r))).alias("__head"))
+    head = F.col("__head")
+    years = F.flatten(F.transform(head, lambda c: F.transform(F.filter(c["numbers"], lambda y: y.rlike(r"^20\d{2}$")), lambda _: c["j"])))
     none = F.array().cast("array<int>")
     known = current.isNotNull() & previous.isNotNull()
     out = tables.withColumns({
-        "__cur": F.when(known, _votes(r, lambda c: _names_year(c, current))).otherwise(F.slice(years, 1, 1)),
-        "__prev": F.when(known, _votes(r, lambda c: _names_year(c, previous))).otherwise(F.filter(years, lambda j: j != F.get(years, 0))),
-        "__lab": _votes(r, lambda c: F.exists(F.array(*map(F.lit, LABEL_WORDS)), lambda w: F.contains(F.lower(c), w))),
-        "__note": _votes(r, lambda c: F.lower(c).contains("note")),
+        "__cur": F.when(known, _votes(head, lambda c: _names_year(c, current))).otherwise(F.slice(years, 1, 1)),
+        "__prev": F.when(known, _votes(head, lambda c: _names_year(c, previous))).otherwise(F.filter(years, lambda j: j != F.get(years, 0))),
+        "__lab": _votes(head, lambda c: reduce(or_, [c["low"].contains(w) for w in LABEL_WORDS])),
+        "__note": _votes(head, lambda c: c["low"].contains("note")),
         "__width": F.size(F.get(r, 0)),
     })
     voted = F.struct(*(_winner(F.coalesce(c, none)).alias(f"{c}_col") for c in ("__cur", "__prev", "__lab", "__note")))
@@ -87,7 +105,7 @@ def with_roles(tables: DataFrame, rows: str, current: Column, previous: Column)
         "current_col": F.when(F.col("__cur") < width, F.col("__cur")).otherwise(F.when(width > 1, 1).otherwise(0)),
         "previous_col": F.when(F.col("__prev") < width, F.col("__prev")).otherwise(F.when(width > 2, 2).otherwise(-1)),
     })
-    return out.drop("__width", *(f"{c}{x}" for c in ("__cur", "__prev", "__lab", "__note") for x in ("", "_col")))
+    return out.drop("__head", "__width", *(f"{c}{x}" for c in ("__cur", "__prev", "__lab", "__note") for x in ("", "_col")))
 
 
 def cell_amounts(cell: Column) -> Column:
@@ -142,36 +160,50 @@ def _shaped(rows: DataFrame) -> DataFrame:
 
 
 def parse(pages: DataFrame) -> DataFrame:
-    """Pages (doc, page, text) with their parts, whether they are rejected, and source_statement; years of the document."""
-    parts = page_parts(pages.select("doc", "page", "text"))
-    # a generator's output isn't written out again in every later filter
-    judged = F.inline(F.array(F.struct(F.coalesce(is_rejected_page(F.col("markup")), F.lit(False)).alias("rejected"), paging.page_types(F.col("markup")).alias("__types"))))
-    parts = parts.select("*", judged)
-    first = F.get("__types", 0)
-    statement = F.when(first.isin(*paging.MAIN_STATEMENTS), first).when(first == "Notes to Accounts", paging.statement_type(F.col("__types"), F.col("markup"))).otherwise("Other")
-    return parts.withColumn("source_statement", statement).drop("__types", "markup")
+    """Pages (doc, page, text) with the years that they name and their parts, whether they are rejected, and source_statement."""
+    # few bytes take long here, so pages are dealt over all cores, whatever files they lie in
+    rows = pages.select("doc", "page", "text").repartition("doc", "page").withColumn("years", paging.years_in(F.col("text")))
+    parts = page_parts(rows, words=_WORDS)
+    n, at, types = F.col("hits"), len(paging.TYPE_WORDS), F.col("__types")
+    # a generator's output isn't written out again in every later expression
+    parts = parts.select("*", F.explode(F.array(paging.types_of_hits(n))).alias("__types"))
+    hinted = [n[at + k] > 0 for k in range(len(paging.STATEMENT_HINTS))]
+    statement = F.when(types[0].isin(*paging.MAIN_STATEMENTS), types[0]).when(types[0] == "Notes to Accounts", paging.statement_of(types, hinted)).otherwise("Other")
+    rejected = (n[len(_WORDS) - 2] > 0) & (n[len(_WORDS) - 1] == 0)  # as is_rejected_page has it
+    return parts.withColumns({"rejected": rejected, "source_statement": statement}).drop("__types", "hits")
+
+
+def parsed(pages: DataFrame) -> DataFrame:
+    """``parse``, written once for all that reads it; pages that give no rows have no parts (null)."""
+    rows = parse(pages)
+    kept = ~F.col("rejected") & (F.col("source_statement") != "Other")
+    return written(rows.withColumns({c: F.when(kept, F.col(c)) for c in ("tables", "lines", "notes")}), "pages", result=False)
 
 
 def table_candidates(parts: DataFrame) -> DataFrame:
     """Candidates of the tables of pages with ``current`` and ``previous`` end years."""
     t = F.col("__t")
     tables = parts.select("doc", "page", "source_statement", "notes", "current", "previous", F.posexplode("tables").alias("table_no", "__t"))
-    active = F.array_max(F.transform(F.filter("notes", lambda n: n["at"] <= t["at"]), lambda n: F.struct(n["at"].alias("at"))))["at"]
-    note = F.element_at(F.filter("notes", lambda n: n["at"] <= t["at"]), -1)["note"]
+    before_it = F.filter("notes", lambda n: n["at"] <= t["at"])
+    active = F.array_max(F.transform(before_it, lambda n: F.struct(n["at"].alias("at"))))["at"]
+    note = F.element_at(before_it, -1)["note"]
     tables = tables.withColumns({"note_number": F.when(active.isNull(), "").otherwise(note), "rows": t["rows"], "inherited": t["inherited"], "jammed": t["jammed"], "jammed_row": t["jammed_row"]}).drop("__t", "notes")
-    tables = with_roles(tables, "rows", F.col("current"), F.col("previous"))
-    is_jammed = F.size("jammed") > 0
-    rows = tables.select("*", F.posexplode("rows").alias("row_no", "__cells")).where(~paging.is_header_row(F.col("__cells")))
-    values = _values(F.col("__cells"), F.get("inherited", F.col("row_no")), is_jammed)
-    rows = rows.select("*", F.inline(F.array(F.struct(values.alias("__vals"), F.array_join("__cells", " | ").alias("evidence")))))
-    rows = rows.select("*", F.explode(F.array(F.when(is_jammed, _by_order(F.col("__vals"))).otherwise(_by_column(F.col("__vals"))))).alias("__v"))
     shared = ["doc", "page", "table_no", "row_no", "source_statement", "note_number", "evidence", "__v"]
 
-    plain = rows.where(~is_jammed).select(*shared, labels_in(F.coalesce(F.get("__cells", F.col("label_col")), F.lit(""))).alias("__labels"))
+    def rows_of(some: DataFrame, jammed: bool, values_of: Callable[[Column], Column]) -> DataFrame:
+        rows = with_roles(some, "rows", F.col("current"), F.col("previous"))
+        rows = rows.select("*", F.posexplode("rows").alias("row_no", "__cells")).where(~paging.is_header_row(F.col("__cells")))
+        values = _values(F.col("__cells"), F.get("inherited", F.col("row_no")), F.lit(jammed))
+        rows = rows.select("*", F.inline(F.array(F.struct(values.alias("__vals"), F.array_join("__cells", " | ").alias("evidence")))))
+        return rows.select("*", F.explode(F.array(values_of(F.col("__vals")))).alias("__v"))
+
+    # tables with jammed labels are few and are told apart before any work on their rows
+    plain = rows_of(tables.where(F.size("jammed") == 0), False, _by_column).select(*shared, labels_in(F.coalesce(F.get("__cells", F.col("label_col")), F.lit(""))).alias("__labels"))
     plain = plain.select(*shared, F.posexplode("__labels").alias("item_no", "label")).withColumn("label", F.trim("label")).where(F.char_length("label") >= 2)
     plain = plain.withColumns({"current_value": F.get("__v.cur", F.col("item_no")), "previous_value": F.get("__v.prev", F.col("item_no"))})
 
-    below = rows.where(is_jammed & (F.col("row_no") > F.col("jammed_row"))).withColumn("__n", F.greatest(F.size("__v.cur"), F.size("__v.prev"))).where("__n > 0")
+    below = rows_of(tables.where(F.size("jammed") > 0), True, _by_order).where(F.col("row_no") > F.col("jammed_row"))
+    below = below.withColumn("__n", F.greatest(F.size("__v.cur"), F.size("__v.prev"))).where("__n > 0")
     before = Window.partitionBy("doc", "page", "table_no", "__id").orderBy("row_no").rowsBetween(Window.unboundedPreceding, -1)
     below = below.withColumn("__id", F.xxhash64("jammed", "rows")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
     pieces = F.sequence(F.lit(0), F.col("__n") - 1)
@@ -201,21 +233,33 @@ def prose_candidates(parts: DataFrame) -> DataFrame:
     return _shaped(rows.withColumn("context_path", _path(F.col("source_statement"), F.col("__section"), F.col("label"))))
 
 
-def page_candidates(pages: DataFrame) -> DataFrame:
-    """All candidates of pages (doc, page, text): COLUMNS, ordered within a page by kind (table first), table_no, row_no, item_no."""
-    years = paging.year_of_document(pages, ["doc"], "page", "text").select("doc", F.col("year").alias("current"), (F.col("year") - 1).alias("previous"))
-    parts = parse(pages).where(~F.col("rejected") & (F.col("source_statement") != "Other")).join(years, "doc", "left")
-    return table_candidates(parts).unionByName(prose_candidates(parts))
+def page_candidates(pages: DataFrame, parts: DataFrame | None = None) -> DataFrame:
+    """All candidates of pages (doc, page, text): COLUMNS, ordered within a page by kind (table first), table_no, row_no, item_no.
+
+    ``parts`` are the pages as ``parsed`` has them, if they are there already; else they are written
+    (``steps.clear`` deletes them).
+    """
+    parts = parsed(pages) if parts is None else parts
+    years = paging.year_of_document(parts, ["doc"], "page", years="years").select("doc", F.col("year").alias("current"), (F.col("year") - 1).alias("previous"))
+    tables = parts.where(F.size("tables") > 0).join(years, "doc", "left")
+    return table_candidates(tables).unionByName(prose_candidates(parts.where(F.size("lines") > 0)))
 
 
-def document_metadata(pages: DataFrame) -> DataFrame:
-    """doc, current_fy and previous_fy (unknown if no page names a year), pages_processed, pages_rejected."""
-    years = paging.year_of_document(pages, ["doc"], "page", "text").select("doc", "current_fy", "previous_fy")
-    # what a page is rejected by is its markup; its tables, lines and types aren't needed
-    judged = page_markup(pages.select("doc", "text")).select("doc", F.coalesce(is_rejected_page(F.col("markup")), F.lit(False)).alias("rejected"))
+def document_metadata(pages: DataFrame, parts: DataFrame | None = None) -> DataFrame:
+    """doc, current_fy and previous_fy (unknown if no page names a year), pages_processed, pages_rejected.
+
+    Of ``parts``, the pages as ``parsed`` has them, only the years and the judgement are read.
+    """
+    if parts is None:
+        # what a page is rejected by is its markup; its tables, lines and types aren't needed
+        rows = pages.select("doc", "page", "text").repartition("doc", "page")
+        years = paging.year_of_document(rows, ["doc"], "page", "text")
+        judged = page_markup(rows.select("doc", "text")).select("doc", F.coalesce(is_rejected_page(F.col("markup")), F.lit(False)).alias("rejected"))
+    else:
+        years, judged = paging.year_of_document(parts, ["doc"], "page", years="years"), parts.select("doc", "rejected")
     counts = judged.groupBy("doc").agg(F.count("*").alias("pages_processed"), F.count_if("rejected").alias("pages_rejected"))
     named = {c: F.coalesce(c, F.lit("unknown")) for c in ("current_fy", "previous_fy")}
-    return counts.join(years, "doc", "left").withColumns(named).select("doc", "current_fy", "previous_fy", "pages_processed", "pages_rejected")
+    return counts.join(years.select("doc", "current_fy", "previous_fy"), "doc", "left").withColumns(named).select("doc", "current_fy", "previous_fy", "pages_processed", "pages_rejected")
 
 
 def positioned(candidates: DataFrame) -> DataFrame:

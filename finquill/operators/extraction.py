@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from finquill.operators import extract
-from finquill.operators.candidates import document_metadata, page_candidates, positioned
+from finquill.operators.candidates import document_metadata, page_candidates, parsed, positioned
 from finquill.sources.steps import written
 
 
@@ -20,14 +20,16 @@ def _framed(pages: DataFrame, catalogue: DataFrame) -> DataFrame:
     return pages.select("doc").distinct().join(F.broadcast(every), F.lit(True)).select("doc", F.explode("__fields").alias("field"))
 
 
-def document_fields(pages: DataFrame, terms: DataFrame, catalogue: DataFrame, learned: DataFrame | None = None) -> DataFrame:
+def document_fields(pages: DataFrame, terms: DataFrame, catalogue: DataFrame, learned: DataFrame | None = None, parts: DataFrame | None = None) -> DataFrame:
     """(doc, field, current, previous, from_second) of pages (doc, page, text).
 
     The first candidate of a field's terms (field, term) gives its values; fields without any are
-    looked for again with ``learned`` terms.  The candidates are written once (``steps.clear`` deletes them).
+    looked for again with ``learned`` terms.  The candidates, and the pages' ``parts`` if they aren't given,
+    are written once (``steps.clear`` deletes them).
     """
-    candidates = written(positioned(page_candidates(pages)), "candidates")
-    frame = _framed(pages, catalogue)
+    parts = parsed(pages) if parts is None else parts
+    candidates = written(positioned(page_candidates(pages, parts)), "candidates")
+    frame = _framed(parts, catalogue)
 
     def values(of: DataFrame) -> DataFrame:
         found = extract.from_hints(extract.hints(candidates, of)).select(F.col("doc").alias("__doc"), F.col("field").alias("__field"), "current", "previous")
@@ -39,6 +41,6 @@ def document_fields(pages: DataFrame, terms: DataFrame, catalogue: DataFrame, le
     return extract.second_pass(first, values(learned))
 
 
-def document_summary(pages: DataFrame, fields: DataFrame) -> DataFrame:
+def document_summary(pages: DataFrame, fields: DataFrame, parts: DataFrame | None = None) -> DataFrame:
     """One row a document: years, pages processed and rejected, fields found, all fields, coverage in percent with one decimal."""
-    return document_metadata(pages).join(extract.coverage(fields), "doc", "left")
+    return document_metadata(pages, parts).join(extract.coverage(fields), "doc", "left")

@@ -70,35 +70,43 @@ def _any(text: Column, words: list[str]) -> Column:
     return reduce(or_, [text.contains(w) for w in words])
 
 
+#: Words of which ``types_of_hits`` needs the hits: of each type, of its own names, and of audit pages.
+TYPE_WORDS = [*PAGE_TYPES.values(), *(list(_OWN_NAMES.get(name, ())) for name in PAGE_TYPES), AUDIT_PAGES]
+
+
+def types_of_hits(counts: Column) -> Column:
+    """Types of a page, best first, by the hits of TYPE_WORDS; Other where none stands out."""
+    stand = []
+    for k, name in enumerate(PAGE_TYPES):
+        n, own = counts[k], counts[len(PAGE_TYPES) + k]
+        enough = (n > 0) & ((n >= 2) | (own > 0)) if name in _OWN_NAMES else n > 0
+        stand.append(F.when(enough, F.struct((-n).alias("s"), F.lit(k).alias("k"), F.lit(name).alias("name"))))
+    names = F.sort_array(F.array_compact(F.array(*stand)))["name"]
+    return F.when((counts[2 * len(PAGE_TYPES)] > 0) | (F.size(names) == 0), F.array(F.lit("Other"))).otherwise(names)
+
+
 def page_types(text: Column) -> Column:
     """Types of a page by hits of their words, best first; Other where none stands out.
 
-    The text is brought to lower case once and each word is looked up once: the types are a
-    constant array that is gone through.
+    The text is brought to lower case once and each word is looked up once.
     """
-    types = F.array(*[
-        F.struct(F.lit(k).alias("k"), F.lit(name).alias("name"), F.array(*map(F.lit, words)).alias("words"),
-                 F.array(*map(F.lit, _OWN_NAMES.get(name, ()))).cast("array<string>").alias("own"), F.lit(2 if name in _OWN_NAMES else 1).alias("least"))
-        for k, (name, words) in enumerate(PAGE_TYPES.items())
-    ])
-
-    def types_of(low: Column) -> Column:
-        scored = F.transform(types, lambda t: F.struct((-F.size(F.filter(t["words"], lambda w: F.contains(low, w)))).alias("s"), t["k"].alias("k"), t["name"].alias("name"), t["own"].alias("own"), t["least"].alias("least")))
-        stand = F.filter(scored, lambda t: (t["s"] < 0) & ((-t["s"] >= t["least"]) | F.exists(t["own"], lambda w: F.contains(low, w))))
-        other = F.exists(F.array(*map(F.lit, AUDIT_PAGES)), lambda w: F.contains(low, w))
-        names = F.transform(F.array_sort(F.transform(stand, lambda t: F.struct(t["s"].alias("s"), t["k"].alias("k"), t["name"].alias("name")))), lambda t: t["name"])
-        return F.when(other | (F.size(stand) == 0), F.array(F.lit("Other"))).otherwise(names)
-
-    return F.get(F.transform(F.array(F.lower(F.coalesce(text, F.lit("")))), types_of), 0)
+    low = F.array(F.lower(F.coalesce(text, F.lit(""))))
+    counts = F.transform(low, lambda t: F.array(*(hits(t, words, lowered=True) if words else F.lit(0) for words in TYPE_WORDS)))
+    return F.get(F.transform(counts, types_of_hits), 0)
 
 
 def statement_type(types: Column, text: Column) -> Column:
     """The main statement of a page: its best page type of that kind, else by words, else the balance sheet."""
     low = F.lower(F.coalesce(text, F.lit("")))
+    return statement_of(types, [_any(low, words) for _, words in STATEMENT_HINTS])
+
+
+def statement_of(types: Column, hinted: list[Column]) -> Column:
+    """``statement_type`` by whether there are words of each of STATEMENT_HINTS."""
     main = F.filter(types, lambda t: t.isin(*MAIN_STATEMENTS))
     out = F.when(F.size(main) > 0, F.get(main, F.lit(0)))
-    for name, words in STATEMENT_HINTS:
-        out = out.when(_any(low, words), name)
+    for (name, _), is_hinted in zip(STATEMENT_HINTS, hinted, strict=True):
+        out = out.when(is_hinted, name)
     return out.otherwise("Balance Sheet")
 
 
@@ -107,7 +115,8 @@ def is_header_cell(cell: Column) -> Column:
 
 
 def is_header_row(cells: Column) -> Column:
-    return F.exists(cells, is_header_cell)
+    # no header word has a line break, so the row's cells can be looked through at once
+    return is_header_cell(F.array_join(cells, "\n"))
 
 
 def is_total_row(label: Column) -> Column:
@@ -158,8 +167,9 @@ def context_paths(lines: DataFrame, keys: list[str], at: str, label: str, statem
 
 def years_in(text: Column) -> Column:
     """Years (2010 to 2035) of all spellings in a text, in order of spelling, then of place; one phrase may count several times."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    found = F.concat(*[F.regexp_extract_all(low, F.lit(p), F.lit(1)) for p in YEAR_PATTERNS])
+    # a lambda's variable is there once, an expression would be worked out for each spelling
+    low = F.array(F.lower(F.coalesce(text, F.lit(""))))
+    found = F.flatten(F.transform(low, lambda t: F.concat(*[F.regexp_extract_all(t, F.lit(p), F.lit(1)) for p in YEAR_PATTERNS])))
     return F.filter(F.transform(found, lambda y: y.cast("int")), lambda y: y.between(2010, 2035))
 
 
@@ -167,9 +177,13 @@ def label_of_year(year: Column) -> Column:
     return F.concat((year - 1).cast("string"), F.lit("-"), F.lpad((year % 100).cast("string"), 2, "0"))
 
 
-def year_of_document(pages: DataFrame, keys: list[str], page: str, text: str) -> DataFrame:
-    """The end year that a document's pages name most often (ties: seen first), with current and previous labels."""
-    seen = pages.select(*keys, F.col(page).alias("__page"), F.posexplode(years_in(F.col(text))).alias("__at", "year"))
+def year_of_document(pages: DataFrame, keys: list[str], page: str, text: str | None = None, years: str | None = None) -> DataFrame:
+    """The end year that a document's pages name most often (ties: seen first), with current and previous labels.
+
+    The pages have a ``text``, or the ``years`` in it as ``years_in`` has them.
+    """
+    named = years_in(F.col(text)) if years is None else F.col(years)
+    seen = pages.select(*keys, F.col(page).alias("__page"), F.posexplode(named).alias("__at", "year"))
     each = seen.groupBy(*keys, "year").agg(F.count("*").alias("__n"), F.min(F.struct("__page", "__at")).alias("__first"))
     rank = F.struct(F.col("__n"), -F.col("__first.__page"), -F.col("__first.__at"))
     best = each.groupBy(*keys).agg(F.max_by("year", rank).alias("year"))

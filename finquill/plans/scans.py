@@ -106,20 +106,22 @@ _FOUND = f"""WITH {_CANDIDATES}, {_META}, {_pass('one', _TERMS)}, {_pass('two',
   f AS (SELECT doc, field, CASE WHEN empty THEN c2 ELSE c1 END AS "current", CASE WHEN empty THEN p2 ELSE p1 END AS previous, empty AND coalesce(c2, p2) IS NOT NULL AS from_second FROM e)"""
 
 
-def _fields(spark, sf):
+def _fields(spark, of, parts=None):
     terms, learned, catalogue = _tables(spark)
-    return extraction.document_fields(pages(spark, sf), terms, catalogue, learned)
+    return extraction.document_fields(of, terms, catalogue, learned, parts)
 
 
 @query(f"{_FOUND} SELECT * FROM f")
 def document_fields(spark, sf):
-    return _fields(spark, sf)
+    return _fields(spark, pages(spark, sf))
 
 
 @query(f"""{_FOUND} SELECT m.*, found, total, round(found * 100.0 / total, 1) AS coverage FROM m
   JOIN (SELECT doc, count(coalesce("current", previous)) AS found, count(*) AS total FROM f GROUP BY doc) USING (doc)""")
 def scanned_summary(spark, sf):
-    return extraction.document_summary(pages(spark, sf), _fields(spark, sf))
+    of = pages(spark, sf)
+    parts = candidates.parsed(of)
+    return extraction.document_summary(of, _fields(spark, of, parts), parts)
 
 
 _PAGED = "SELECT doc_id % 97 AS doc, doc_id AS page, text FROM documents"

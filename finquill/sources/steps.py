@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_WRITTEN: dict[str, list[str]] = {}
+_WRITTEN: dict[str, list[tuple[str, bool]]] = {}
 
 
 def folder(spark: SparkSession) -> str:
@@ -24,11 +24,11 @@ def folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """``df``, written as Parquet and to be read from there."""
+def written(df: DataFrame, what: str, result: bool = True) -> DataFrame:
+    """``df``, written as Parquet and to be read from there; what is only read on the way to a ``result`` is no result."""
     spark = df.sparkSession
     path = f"{folder(spark)}/{what}-{uuid.uuid4().hex}"
-    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append((path, result))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -36,7 +36,7 @@ def written(df: DataFrame, what: str) -> DataFrame:
 def clear(spark: SparkSession) -> int:
     """Deletes all that ``written`` wrote in this application; how many results those were."""
     jvm, paths = spark.sparkContext._jvm, _WRITTEN.pop(spark.sparkContext.applicationId, [])
-    for name in paths:
+    for name, _ in paths:
         path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    return len(paths)
+    return sum(result for _, result in paths)

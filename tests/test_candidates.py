@@ -96,3 +96,40 @@ def test_containment_against_all_pairs(spark):
     assert "NestedLoop" not in pairs._jdf.queryExecution().toString()
     assert containing(a.limit(0), ["id"], "__needle", b, "term").count() == 0
     assert containing(a.where(F.length("__needle") > 0), ["id"], "__needle", b.limit(0), "term").count() == 0
+
+
+def test_pages_are_parsed_once(spark):
+    # all paths read what one parse wrote; before, each of them parsed the pages again
+    for got in (candidates.page_candidates(_pages(spark)), candidates.document_metadata(_pages(spark), candidates.parsed(_pages(spark)))):
+        assert "MapInArrow" not in got._jdf.queryExecution().optimizedPlan().toString()
+    meta = {tuple(r) for r in got.collect()}
+    assert meta == {tuple(r) for r in candidates.document_metadata(_pages(spark)).collect()}
+    steps.clear(spark)
+
+
+def test_bare_tables_have_the_grid_of_the_parser(monkeypatch):
+    from finquill.functions import markup
+
+    rng = random.Random(3)
+    cells = ["a", " b\n c ", "", "1,2 ", "&amp;", "x<br>y", "é", "\t"]
+    for _ in range(300):
+        rows = ["".join(f"<{t}>{rng.choice(cells)}</{rng.choice((t, 'td'))}>" for t in rng.choices(("td", "th"), k=rng.randint(0, 3))) for _ in range(rng.randint(0, 4))]
+        html = f"<table>{''.join(f'<tr>{r}</tr>' for r in rows)}</table>"
+        quick = grid(html)
+        with monkeypatch.context() as m:
+            m.setattr(markup, "_BARE", markup.re.compile("(?!)"))
+            assert quick == grid(html)
+
+
+def test_types_by_hits_are_those_by_text(spark):
+    from finquill.operators.pages import AUDIT_PAGES, NOTE_PHRASES, PAGE_TYPES, page_types, statement_type
+    from finquill.operators.text import is_rejected_page
+
+    rng = random.Random(4)
+    words = [w.title() for x in PAGE_TYPES.values() for w in x] + AUDIT_PAGES[:1] + NOTE_PHRASES * 9 + ["revenue from operations", "independent auditor", "plain"]
+    rows = [(k, 0, " ".join(rng.sample(words, rng.randint(0, 4)))) for k in range(300)]
+    pages = spark.createDataFrame(rows, "doc int, page int, text string")
+    types, first = page_types(F.col("text")), F.get(page_types(F.col("text")), 0)
+    want = F.when(first.isin("Balance Sheet", "Statement of Profit and Loss", "Cash Flow Statement"), first).when(first == "Notes to Accounts", statement_type(types, F.col("text"))).otherwise("Other")
+    expected = {r.doc: (r.r, r.s) for r in pages.select("doc", is_rejected_page(F.col("text")).alias("r"), want.alias("s")).collect()}
+    assert {r.doc: (r.rejected, r.source_statement) for r in candidates.parse(pages).collect()} == expected
