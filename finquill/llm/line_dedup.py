@@ -6,9 +6,12 @@
    its end; each run's number and words make a block (see ``with_blocks``).  Two lines of
    which fewer words differ than there are blocks share one, wherever the changes are.
    Lines are joined on equal blocks.
-3. In a block every line is compared with the smallest one.  Lines unlike it are also
-   compared with the lines of the block that aren't in their group by then and are near by
-   SimHash and length; others can't join groups.
+3. In a block every line is compared with the smallest one.  Lines unlike it (strays) are
+   also compared with the lines of the block that aren't in their group by then and are near
+   by SimHash and length; others can't join groups.  Before that, the groups of blocks of more
+   than MEET lines are joined in rounds: the block, and what divides it (see ``with_parts``),
+   compare all lines with one line after the other while that links something.  The rounds
+   only save pairs within groups; what they miss is found by the comparisons after them.
 4. SimHash.  Lines that meet get a 64-bit SimHash of all their words.  Pairs more than
    ``HAMMING`` bits apart aren't alike; the others are verified: 1 - edit distance /
    longer length must reach ``LIKE``.
@@ -45,6 +48,10 @@ RUNS = 4
 SHORT = 2 * SEGMENT
 #: The filter of keys has 2**FILTER_BITS cells of 64 bits (some 10 MB in memory).
 FILTER_BITS = 18
+#: Lines of a block above which its groups are first joined in rounds.
+MEET = 32
+#: Least characters of a word that two lines are aligned by.
+ANCHOR = 5
 #: Bits of SimHash vote counters, for lines of few to very many words.
 SLICES = (5, 7, 16)
 
@@ -92,6 +99,10 @@ def with_simhash(lines: DataFrame, column: str = "line") -> DataFrame:
     return rows.withColumn("s", s).drop("_words", "_n")
 
 
+def _length_of(n: Column) -> Column:
+    return F.greatest(F.lit(SEGMENT), F.call_function("shiftleft", F.lit(1), F.length(F.bin(n.cast("long"))) - 3))
+
+
 def with_blocks(lines: DataFrame, column: str = "line") -> DataFrame:
     """``lines`` with the column blocks, an array of hashes.
 
@@ -105,11 +116,8 @@ def with_blocks(lines: DataFrame, column: str = "line") -> DataFrame:
     Words and lengths are columns of their own, so that they are computed once.
     """
 
-    def length_of(n: Column) -> Column:
-        return F.greatest(F.lit(SEGMENT), F.call_function("shiftleft", F.lit(1), F.length(F.bin(n.cast("long"))) - 3))
-
     rows = lines.withColumn("_w", F.split(column, " ")).withColumn("_n", F.size("_w"))
-    rows = rows.withColumn("_usual", length_of(F.col("_n"))).withColumn("_less", length_of(F.floor(F.col("_n") * LIKE)))
+    rows = rows.withColumn("_usual", _length_of(F.col("_n"))).withColumn("_less", _length_of(F.floor(F.col("_n") * LIKE)))
     w, n = F.col("_w"), F.col("_n")
     keys = []
     for size, wanted in ((F.col("_usual"), F.lit(True)), (F.col("_less"), F.col("_less") != F.col("_usual"))):
@@ -135,6 +143,26 @@ def with_blocks(lines: DataFrame, column: str = "line") -> DataFrame:
     return rows.withColumn("blocks", F.concat(F.array_compact("_runs"), "_short")).drop("_w", "_n", "_usual", "_less", "_runs", "_short")
 
 
+def with_parts(lines: DataFrame, column: str = "line") -> DataFrame:
+    """``lines`` with the column parts, an array of hashes that divide a block.
+
+    Runs of half the length of ``with_blocks``, twice as many from either end, so lines that
+    share a block and have fewer changed words than RUNS share some of them too; single words
+    up to SHORT words.
+    """
+    rows = lines.withColumn("_w", F.split(column, " ")).withColumn("_n", F.size("_w"))
+    rows = rows.withColumn("_usual", _length_of(F.col("_n"))).withColumn("_less", _length_of(F.floor(F.col("_n") * LIKE)))
+    w, n = F.col("_w"), F.col("_n")
+    keys = []
+    for length, wanted in ((F.col("_usual"), F.lit(True)), (F.col("_less"), F.col("_less") != F.col("_usual"))):
+        size = F.when(n <= SHORT, F.lit(1)).otherwise(F.shiftright(length, 1))
+        for k in range(2 * RUNS):
+            fit = wanted & (n >= size * (k + 1))
+            keys.append(F.when(fit, F.xxhash64(F.lit(4), size, F.lit(k), F.slice(w, size * k + 1, size))))
+            keys.append(F.when(fit, F.xxhash64(F.lit(5), size, F.lit(k), F.slice(w, n - size * (k + 1) + 1, size))))
+    return rows.withColumn("parts", F.array_distinct(F.array_compact(F.array(*keys)))).drop("_w", "_n", "_usual", "_less")
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc_id, mark, at, line) of every line that isn't blank, normalised; mark is a hash of the text."""
     rows = docs.where("doc_id is not null and text is not null")
@@ -180,7 +208,8 @@ def _similar(pairs: DataFrame) -> DataFrame:
 
     What lies between the common first and last words decides.  Its length bounds the
     distance from above, and where as many words differ one by one, so do their
-    lengths; only other pairs need the distance itself, of these middles.
+    lengths.  So do the distances of what lies between the longer words that both have, if
+    these stand in one order.  Only other pairs need the distance itself, of these middles.
     """
     x, y = F.col("_x"), F.col("_y")
     rows = pairs.withColumn("_x", F.split("a", " ")).withColumn("_y", F.split("b", " ")).withColumn("_least", F.least(F.size(x), F.size(y)))
@@ -197,7 +226,22 @@ def _similar(pairs: DataFrame) -> DataFrame:
     exact = F.call_function("levenshtein", F.when(F.col("_cut"), F.col("_a")).otherwise(F.col("a")), F.when(F.col("_cut"), F.col("_b")).otherwise(F.col("b")), _allowed().cast("int")) >= 0
     # with an empty middle a space of the seam is missing on that side: the whole lines are compared
     rows = rows.withColumn("_cut", (F.size(x) > 0) & (F.size(y) > 0))
-    return rows.withColumn("alike", whole | one_by_one | exact)
+    rows = rows.withColumn("_sure", whole | one_by_one)
+    # words of both, in one order, cut the middles into gaps that are compared one by one
+    rows = rows.withColumn("_both", F.when(~F.col("_sure") & F.col("near"), F.array_intersect(F.filter("_x", lambda w: F.char_length(w) >= ANCHOR), "_y")))
+    rows = rows.withColumns({f"_{k}_in": F.filter(w, lambda w: F.array_contains("_both", w)) for k, w in (("a", x), ("b", y))})
+    in_order = F.col("_cut") & (F.size("_both") > 0) & (F.col("_a_in") == F.col("_b_in")) & ~F.contains("_a", F.lit("\x01")) & ~F.contains("_b", F.lit("\x01"))
+
+    def gaps(words: Column) -> Column:
+        return F.split(F.array_join(F.transform(words, lambda w: F.when(F.array_contains("_both", w), F.lit("\x01")).otherwise(w)), " "), "\x01")
+
+    def apart(p: Column, q: Column) -> Column:
+        # a gap above what is allowed is left to the distance of the middles
+        return F.when(p == q, 0).when(F.greatest(F.char_length(p), F.char_length(q)) <= _allowed(), F.levenshtein(p, q)).otherwise(1 << 20)
+
+    rows = rows.withColumn("_apart", F.when(in_order, F.aggregate(F.zip_with(gaps(x), gaps(y), apart), F.lit(0).cast("long"), lambda n, d: n + d)))
+    aligned = F.coalesce(F.col("_apart") <= _allowed(), F.lit(False))
+    return rows.withColumn("alike", F.col("_sure") | aligned | exact)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, what: str) -> DataFrame:
@@ -244,16 +288,66 @@ def similar_lines(seen: DataFrame, docs: DataFrame, whole: DataFrame) -> DataFra
     parts = cut(parts.select("key", "n", "words", "s", F.coalesce("component", "key").alias("part")), "line-parts")
     remove(spark, groups)
     stray = members.join(star.where("not alike").select(F.col("a").alias("rep"), F.col("b").alias("key")), ["rep", "key"])
-    stray = cut(stray.select("block", "key").join(parts, "key").select("block", *_as("a")), "line-strays")
-    others = members.select("block", "key").join(stray.select("block").distinct(), "block").join(parts, "key").select("block", *_as("b"))
-    rest = stray.join(others, "block").where((F.col("a_part") != F.col("b_part")) & _near())
+    stray = cut(stray.select("block", "key"), "line-strays")
+    sizes = members.join(stray.select("block").distinct(), "block").groupBy("block").agg(F.count("*").alias("size"))
+    sizes = cut(sizes, "line-sizes")
+    linked = []
+    if sizes.where(F.col("size") > MEET).limit(1).count():
+        large = cut(members.select("block", "key").join(sizes.where(F.col("size") > MEET), "block").select("block", "key"), "line-large")
+        # written, since a filter on parts would be worked out on all texts
+        halves = cut(with_parts(texts.join(large.select("key").distinct(), "key").select("key", "line")).select("key", "parts"), "line-halves")
+        divided = large.join(halves, "key").select(F.explode("parts").alias("run"), "block", "key")
+        divided = cut(divided.select(F.xxhash64("block", "run").alias("block"), "key").distinct(), "line-divided")
+        hot = divided.join(divided.groupBy("block").agg(F.count("*").alias("size")).where("size > 1"), "block").select("block", "key")
+        hot = cut(large.unionByName(hot), "line-hot")
+        remove(spark, large, halves, divided)
+        linked, parts = _linked_in_rounds(hot, texts, parts)
+    near = stray.join(parts, "key").select("block", *_as("a"))
+    others = members.select("block", "key").join(sizes.select("block"), "block").join(parts, "key").select("block", *_as("b"))
+    rest = near.join(others, "block").where((F.col("a_part") != F.col("b_part")) & _near())
     rest = cut(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-rest-pairs")
     more = _verified(rest, texts, "line-rest")
-    edges = cut(star.where("alike").select("a", "b").unionByName(more.where("alike").select("a", "b")), "line-edges")
-    remove(spark, members, texts, parts, star, stray, rest, more)
+    edges = star.where("alike").select("a", "b").unionByName(more.where("alike").select("a", "b"))
+    for links in linked:
+        edges = edges.unionByName(links.where("alike").select("a", "b"))
+    edges = cut(edges, "line-edges")
+    remove(spark, members, texts, parts, star, stray, sizes, rest, more, *linked)
     return edges
 
 
+def _linked_in_rounds(hot: DataFrame, texts: DataFrame, parts: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """(a, b, alike) of each round, and ``parts`` by then; ``hot`` and ``parts`` are removed.
+
+    In each round each block of ``hot`` chooses a line by a hash and compares it with its lines
+    of other groups; a block in which that links nothing is done.
+    """
+    spark, edges, k = hot.sparkSession, [], 0
+    while True:
+        here = cut(hot.join(parts.select("key", "part"), "key"), "line-open")
+        remove(spark, hot)
+        chosen = here.groupBy("block").agg(F.max_by(F.struct("key", "part"), F.xxhash64("key", "block", F.lit(k))).alias("rep"))
+        chosen = cut(chosen.select("block", F.col("rep.key").alias("rep"), F.col("rep.part").alias("rep_part")), "line-chosen")
+        met = here.join(chosen, "block").where("part <> rep_part").select("block", F.least("key", "rep").alias("a"), F.greatest("key", "rep").alias("b"))
+        met = cut(met, "line-met")
+        pairs = cut(met.select("a", "b").distinct(), "line-round-pairs")
+        links = _verified(pairs, texts, "line-round")
+        edges.append(links)
+        remove(spark, chosen, pairs)
+        if not links.where("alike").limit(1).count():
+            remove(spark, here, met)
+            return edges, parts
+        busy = met.join(links.where("alike"), ["a", "b"]).select("block").distinct()
+        hot = cut(here.join(busy, "block").select("block", "key"), "line-hot")
+        # groups that a link joins become one
+        part_of = parts.select("key", "part")
+        joined = links.where("alike").join(part_of.toDF("a", "x"), "a").join(part_of.toDF("b", "y"), "b")
+        merged = components(joined.select(F.col("x").alias("a"), F.col("y").alias("b")))
+        after = parts.join(merged, parts.part == merged.node, "left").select("key", "n", "words", "s", F.coalesce("component", "part").alias("part"))
+        after = cut(after, "line-parts")
+        remove(spark, here, met, merged, parts)
+        parts, k = after, k + 1
+
+
 def _as(name: str) -> list[Column]:
     return [F.col("key").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("n", "words", "s", "part")]]
 

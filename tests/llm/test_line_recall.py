@@ -33,3 +33,30 @@ def test_lines_that_differ_in_one_word(spark):
     docs = spark.createDataFrame([(2 * k + j, x) for k, p in enumerate(pairs) for j, x in enumerate(p)], "doc_id long, text string")
     got = {x.doc_id for x in line_dedup.line_report(docs).where("n_removed > 0").collect()}
     assert len(pairs) > 50 and got == set(range(1, 2 * len(pairs), 2))
+
+
+def test_groups_of_a_large_block_are_joined_before_their_lines_meet(spark, monkeypatch):
+    r = random.Random(7)
+
+    def words(n):
+        return ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 8))) for _ in range(n)]
+
+    passage, families, copies = words(8), [words(23) for _ in range(3)], 40
+    lines = []
+    for k in range(copies):
+        for family in families:
+            own = list(family)
+            own[k % 20] = words(1)[0]
+            lines.append(" ".join(own + passage))
+    sizes, plain = [], line_dedup._verified
+
+    def verified(pairs, texts, what):
+        if what != "line-stars":
+            sizes.append(pairs.count())
+        return plain(pairs, texts, what)
+
+    monkeypatch.setattr(line_dedup, "_verified", verified)
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {x.doc_id for x in line_dedup.line_report(docs).where("n_removed > 0").collect()}
+    assert got == set(range(3, 3 * copies))
+    assert sum(sizes) < 10 * len(lines)  # all pairs of two families are 1,560
