@@ -2,14 +2,13 @@
 
 Python only tokenises.  ``tokenise`` gives one row for each slice of documents: the ids and
 byte ends of the tokens of A (byte-level BPE, read from a ``tokenizers`` file) and B
-(SentencePiece BPE, which puts a space before the text) for the slice's distinct pieces, and
-each document as an array of pieces.  A piece reaches from one space to the next; tokens of
+(SentencePiece BPE, which puts a space before the text) for each of the slice's distinct pieces,
+and each document as an array of pieces with the number of its tokens.  A piece reaches from one space to the next; tokens of
 neither side cross from one to the next, so a document's groups and links are those of its
 pieces, one after the other.  All else is Spark's higher-order functions over these arrays,
 linear in their length:
 
-* ``array_intersect`` of a piece's two arrays of ends gives the offsets where both tokens end;
-  if they are all of either side, tokens, groups and links go one to one;
+* if a piece's two arrays of ends are equal, tokens, groups and links go one to one;
 * else both arrays of ends, each end packed with its side and place, are sorted into one; an
   element's place there, less its place on its own side, is the number of tokens of the other
   side that ended before it, so each element names one link (a pair of overlapping tokens) or
@@ -44,7 +43,9 @@ from finquill.llm.common import cut, remove, slices, worker_slot
 from finquill.llm.sentencepiece_bpe import MARK, Model, read_model
 
 #: Bytes of text in a slice (a longer text is one of its own).
-SLICE = 2 << 20
+SLICE = 4 << 20
+#: Characters of text that are cut into pieces at once.
+CUT = 1 << 20
 #: Distinct pieces between spaces that a worker remembers, and their characters; then the memory is emptied.
 MEMORY_PIECES, MEMORY_CHARACTERS = 300_000, 4_000_000
 #: New pieces that are tokenised at once.
@@ -157,20 +158,32 @@ class Pair:
             self._learn(new[k : k + LEARN])
         return np.fromiter(map(self.at.__getitem__, pieces), np.int64, len(pieces))
 
-    def tokenise(self, texts: list[str | None]) -> dict[str, np.ndarray]:
-        """Tokens of the distinct pieces, and the pieces of each text (none if it can't be given back)."""
-        if len(self.at) > MEMORY_PIECES or self.held > MEMORY_CHARACTERS:
-            self._forget()
+    def _cut(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the pieces of texts, one after the other, and how many each text has."""
         found = [(t.split(" ") if self.b.split else [t]) if t else [] for t in texts]
         places = self._places(found)
-        text_of = np.repeat(np.arange(len(texts)), [len(x) for x in found])
         if self.b.split:
+            text_of = np.repeat(np.arange(len(texts)), [len(x) for x in found])
             odd = np.unique(text_of[(self.flags[places] & 2) > 0]).tolist()
             if odd:  # spaces beside white space are no cuts there
                 for i in odd:
                     found[i] = [p[1:] for p in _PIECE.findall(" " + texts[i])]
                 places = self._places(found)
-                text_of = np.repeat(np.arange(len(texts)), [len(x) for x in found])
+        return places, np.array([len(x) for x in found], np.int64)
+
+    def tokenise(self, texts: list[str | None]) -> dict[str, np.ndarray]:
+        """Tokens of the distinct pieces, and the pieces of each text (none if it can't be given back)."""
+        if len(self.at) > MEMORY_PIECES or self.held > MEMORY_CHARACTERS:
+            self._forget()
+        parts, counts, start, size = [], [], 0, 0
+        for i, t in enumerate(texts):
+            size += len(t or "")
+            if size >= CUT or i == len(texts) - 1:
+                for x, into in zip(self._cut(texts[start : i + 1]), (parts, counts), strict=True):
+                    into.append(x)
+                start, size = i + 1, 0
+        places = np.concatenate([np.zeros(0, np.int64), *parts])
+        text_of = np.repeat(np.arange(len(texts)), np.concatenate([np.zeros(0, np.int64), *counts]))
         lost = np.zeros(len(texts), bool)
         lost[text_of[(self.flags[places] & 1) > 0]] = True
         stay = ~lost[text_of]
@@ -188,16 +201,20 @@ def _pair(a: bytes, b: bytes) -> Pair:
     return worker_slot(("alignment", hashlib.sha256(a).hexdigest(), hashlib.sha256(b).hexdigest()), lambda: Pair(a, b))
 
 
-_FLAT = ("a_ids", "a_ends", "a_upto", "b_ids", "b_ends", "b_upto")
-TOKENS = "docs array<struct<doc_id: long, pieces: array<int>>>, " + ", ".join(f"{c} array<int>" for c in _FLAT)
+_ITEM = ("a_ids", "a_ends", "b_ids", "b_ends")
+TOKENS = f"docs array<struct<doc_id: long, n_a: long, n_b: long, pieces: array<int>>>, items array<struct<{', '.join(f'{c}: array<int>' for c in _ITEM)}>>"
+
+
+def _one_row(array: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array([0, len(array)], pa.int32()), array)
 
 
 def tokenise(docs: DataFrame, a_path: str, b_path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """A row for each slice of documents: their pieces, and the tokens of the distinct pieces under both vocabularies.
 
     ``a_ends`` and ``b_ends`` are byte ends in the text that the distinct pieces, a space before
-    each, make together; ``a_upto`` and ``b_upto`` count the tokens up to each piece's end.  The vocabulary files, bounded in size, are read
-    on the driver and sent to the executors once.
+    each, make together.  The vocabulary files, bounded in size, are read on the driver and
+    sent to the executors once.
     """
     context = docs.sparkSession.sparkContext
     shared_a, shared_b = context.broadcast(read_model(a_path)), context.broadcast(read_model(b_path))
@@ -206,11 +223,13 @@ def tokenise(docs: DataFrame, a_path: str, b_path: str, id_column: str = "doc_id
         both = _pair(shared_a.value, shared_b.value)
         for batch in slices(batches, "text", SLICE):
             out = both.tokenise(batch.column("text").to_pylist())
-            pieces = pa.ListArray.from_arrays(pa.array(np.r_[0, out["upto"]], pa.int32()), pa.array(out["pieces"]))
-            rows = pa.StructArray.from_arrays([batch.column("doc_id"), pieces], ["doc_id", "pieces"])
-            flat = [pa.ListArray.from_arrays(pa.array([0, len(out[c])], pa.int32()), pa.array(out[c], pa.int32())) for c in _FLAT]
-            docs_of = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
-            yield pa.RecordBatch.from_arrays([docs_of, *flat], ["docs", *_FLAT])
+            upto = np.r_[0, out["upto"]]
+            pieces = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(out["pieces"]))
+            of_side = {side: np.r_[0, out[f"{side}_upto"]].astype(np.int32) for side in "ab"}
+            sizes = [pa.array(np.diff(np.r_[0, np.cumsum(np.diff(of_side[side])[out["pieces"]])][upto]), pa.int64()) for side in "ab"]
+            rows = pa.StructArray.from_arrays([batch.column("doc_id"), *sizes, pieces], ["doc_id", "n_a", "n_b", "pieces"])
+            items = [pa.ListArray.from_arrays(pa.array(of_side[c[0]]), pa.array(out[c], pa.int32())) for c in _ITEM]
+            yield pa.RecordBatch.from_arrays([_one_row(rows), _one_row(pa.StructArray.from_arrays(items, _ITEM))], ["docs", "items"])
 
     rows = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].cast("string").alias("text"))
     return rows.mapInArrow(run, TOKENS)
@@ -251,14 +270,18 @@ def _steps(a_ids: Column, a_ends: Column, b_ids: Column, b_ends: Column) -> Colu
     return F.transform(F.sort_array(F.concat(_packed(a_ends, 0), _packed(b_ends, _SIDE))), step)
 
 
-def _group_texts(closes: Column, a_names: Column, b_names: Column) -> Column:
+def _names(ids: Column) -> Column:
+    return F.array_join(ids.cast("array<string>"), ",")
+
+
+def _group_texts(closes: Column, a_ids: Column, b_ids: Column) -> Column:
     """Texts ``a1,a2|b1`` of the groups that end at ``closes``; null after the last."""
 
     def group(start: Column, end: Column) -> Column:
         a, b = F.shiftright(start, 32).bitwiseAND(_PLACE).cast("int"), start.bitwiseAND(_PLACE).cast("int")
         n_a, n_b = F.shiftright(end, 32).bitwiseAND(_PLACE).cast("int") - a, end.bitwiseAND(_PLACE).cast("int") - b
-        many = F.concat(F.array_join(F.slice(a_names, a + 1, n_a), ","), F.lit("|"), F.array_join(F.slice(b_names, b + 1, n_b), ","))
-        return F.when(end - start == (1 << 32) + 1, F.concat(F.get(a_names, a), F.lit("|"), F.get(b_names, b))).otherwise(many)
+        many = F.concat(_names(F.slice(a_ids, a + 1, n_a)), F.lit("|"), _names(F.slice(b_ids, b + 1, n_b)))
+        return F.when(end - start == (1 << 32) + 1, F.concat(F.get(a_ids, a).cast("string"), F.lit("|"), F.get(b_ids, b).cast("string"))).otherwise(many)
 
     return F.zip_with(F.concat(F.array(F.lit(_CLOSE)), closes), closes, group)
 
@@ -269,54 +292,29 @@ def align(tokens: DataFrame) -> DataFrame:
     ``groups`` is the text ``a1,a2|b1;a3|b2,b3`` of decimal ids in order.  ``links`` has one long
     per pair of overlapping tokens in order, A's id in the upper half and B's in the lower.
     """
-    names = {"a_names": F.col("a_ids").cast("array<string>"), "b_names": F.col("b_ids").cast("array<string>")}
-
-    def piece(p: Column) -> Column:
-        def tokens_of(at: Column) -> Column:
-            return F.struct(*(F.slice(f"{side}_{x}", at[side] + 1, at[f"n_{side}"]).alias(f"{side}_{x}") for side in "ab" for x in ("ids", "ends", "names")))
-
-        def parts(t: Column) -> Column:
-            a_ids, a_ends, a_names, b_ids, b_ends, b_names = (t[f"{side}_{x}"] for side in "ab" for x in ("ids", "ends", "names"))
-            n_a, n_b = F.size(a_ids), F.size(b_ids)
-            size = _pair_of(n_a, n_b).alias("size")
-            one_to_one = F.struct(
-                size,
-                F.zip_with(a_ids, b_ids, _pair_of).alias("links"),
-                F.array_join(F.zip_with(a_names, b_names, lambda x, y: F.concat(x, F.lit("|"), y)), ";").alias("text"),
-            )
-
-            def mixed(s: Column) -> Column:
-                closes = F.filter(s, lambda x: x < 0)
-                text = F.array_join(_let(closes, lambda c: _group_texts(c, a_names, b_names)), ";")
-                return F.struct(size, F.filter(s, lambda x: x >= 0).alias("links"), text.alias("text"))
-
-            # as many common ends as tokens on either side: each token of A is one of B
-            n = F.size(F.array_intersect(a_ends, b_ends))
-            return F.when((n == n_a) & (n == n_b), one_to_one).otherwise(_let(_steps(a_ids, a_ends, b_ids, b_ends), mixed))
-
-        def upto(side: str) -> tuple[Column, Column]:
-            start = F.when(p == 0, F.lit(0)).otherwise(F.get(f"{side}_upto", p - 1))
-            return start.alias(side), (F.get(f"{side}_upto", p) - start).alias(f"n_{side}")
-
-        return _let(_let(F.struct(*upto("a"), *upto("b")), tokens_of), parts)
-
-    def document(of: Column, d: Column) -> Column:
-        size = F.aggregate(d["pieces"], F.lit(0).cast("long"), lambda s, p: s + F.get(of, p)["size"])
-        links = F.flatten(F.transform(d["pieces"], lambda p: F.get(of, p)["links"]))
-        groups = F.array_join(F.transform(d["pieces"], lambda p: F.get(of, p)["text"]), ";")
-        return F.struct(d["doc_id"].alias("doc_id"), size.alias("size"), groups.alias("groups"), links.alias("links"))
-
-    n = F.size("a_upto")
-    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    rows = _let(F.transform(places, piece), lambda of: F.transform("docs", lambda d: document(of, d)))
+
+    def piece(x: Column) -> Column:
+        a_ids, a_ends, b_ids, b_ends = (x[c] for c in _ITEM)
+        pairs = F.zip_with(a_ids, b_ids, lambda p, q: F.concat(p.cast("string"), F.lit("|"), q.cast("string")))
+        one_to_one = F.struct(F.zip_with(a_ids, b_ids, _pair_of).alias("links"), F.array_join(pairs, ";").alias("text"))
+
+        def mixed(s: Column) -> Column:
+            text = F.array_join(_group_texts(F.filter(s, lambda y: y < 0), a_ids, b_ids), ";")
+            return F.struct(F.filter(s, lambda y: y >= 0).alias("links"), text.alias("text"))
+
+        # equal ends: each token of A is one of B
+        return F.when(a_ends == b_ends, one_to_one).otherwise(_let(_steps(a_ids, a_ends, b_ids, b_ends), mixed))
+
+    def document(d: Column) -> Column:
+        groups = F.array_join(F.transform(d["pieces"], lambda p: F.get("of", p)["text"]), ";")
+        links = F.flatten(F.transform(d["pieces"], lambda p: F.get("of", p)["links"]))
+        return F.struct(*(d[c].alias(c) for c in ("doc_id", "n_a", "n_b")), groups.alias("groups"), links.alias("links"))
+
+    # the generator keeps the pieces, used in every document, from being computed there
+    rows = tokens.select("docs", F.transform("items", piece).alias("of")).select("*", F.explode(F.array(F.lit(0))).alias("_one"))
     n_links = F.size("links").cast("long")
-    return (
-        # the generator keeps the names, used in every piece, from being computed there
-        tokens.withColumns(names)
-        .select("*", F.explode(F.array(F.lit(0))).alias("_one"))
-        .select(F.inline(rows))
-        .withColumns({"n_a": F.shiftright("size", 32), "n_b": F.col("size").bitwiseAND(_PLACE)})
-        .select("doc_id", "n_a", "n_b", (F.col("n_a") + F.col("n_b") - n_links).alias("n_groups"), n_links.alias("n_links"), "groups", "links")
+    return rows.select(F.inline(F.transform("docs", document))).select(
+        "doc_id", "n_a", "n_b", (F.col("n_a") + F.col("n_b") - n_links).alias("n_groups"), n_links.alias("n_links"), "groups", "links"
     )
 
 

@@ -238,3 +238,13 @@ def test_small_memory_gives_the_same(libraries, monkeypatch):
         return [pieces[p] for p in out["pieces"]], out["upto"].tolist()
 
     assert of(whole) == of(again)
+
+
+def test_pieces_are_read_by_place_and_cut_in_small_parts(spark, libraries, monkeypatch):
+    a, b, a_path, b_path = libraries
+    monkeypatch.setattr(alignment, "CUT", 7)
+    texts = dict(enumerate([*ODD, "hello unbelievably hello", "a\u2581b", None, ""]))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+    tokens = alignment.tokenise(df, a_path, b_path)
+    assert tokens.columns == ["docs", "items"]  # tokens of each distinct piece, not sliced from arrays of all pieces
+    check(alignment.with_counts(alignment.align(tokens)).collect(), texts, a, b)
