@@ -8,7 +8,8 @@
    Lines are joined on equal blocks.
 3. In a block every line is compared with the smallest one.  Lines unlike it (strays) are
    also compared with the lines of the block that aren't in their group by then and are near
-   by SimHash and length; others can't join groups.  Before that, the groups of blocks of more
+   by SimHash and length, each pair in one block only (see ``_meetings``); others can't join
+   groups.  Before that, the groups of blocks of more
    than MEET lines are joined in rounds: the block, and what divides it (see ``with_parts``),
    compare all lines with one line after the other while that links something.  The rounds
    only save pairs within groups; what they miss is found by the comparisons after them.
@@ -113,18 +114,24 @@ def with_blocks(lines: DataFrame, column: str = "line") -> DataFrame:
     shorter meets it.  Up to SHORT words: the line itself and the line without each word;
     of a word too long to be replaced as a whole, a half stays.
 
-    Words and lengths are columns of their own, so that they are computed once.
+    Words and lengths are columns of their own, so that they are computed once.  Runs are cut
+    at spaces; only short lines are split into words.
     """
 
-    rows = lines.withColumn("_w", F.split(column, " ")).withColumn("_n", F.size("_w"))
+    spaces = F.octet_length(column) - F.octet_length(F.replace(F.col(column), F.lit(" "), F.lit("")))
+    rows = lines.withColumn("_n", spaces + 1).withColumn("_w", F.when(F.col("_n") <= SHORT, F.split(column, " ")))
     rows = rows.withColumn("_usual", _length_of(F.col("_n"))).withColumn("_less", _length_of(F.floor(F.col("_n") * LIKE)))
     w, n = F.col("_w"), F.col("_n")
+
+    def upto(text: Column, words: Column) -> Column:
+        return F.call_function("substring_index", text, F.lit(" "), words.cast("int"))
+
     keys = []
     for size, wanted in ((F.col("_usual"), F.lit(True)), (F.col("_less"), F.col("_less") != F.col("_usual"))):
         for k in range(RUNS):
             fit = wanted & (n >= 2 * SEGMENT) & (n >= size * (k + 1))
-            keys.append(F.when(fit, F.xxhash64(F.lit(1), size, F.lit(k), F.slice(w, size * k + 1, size))))
-            keys.append(F.when(fit, F.xxhash64(F.lit(2), size, F.lit(k), F.slice(w, n - size * (k + 1) + 1, size))))
+            keys.append(F.when(fit, F.xxhash64(F.lit(1), size, F.lit(k), upto(upto(F.col(column), size * (k + 1)), -size))))
+            keys.append(F.when(fit, F.xxhash64(F.lit(2), size, F.lit(k), upto(upto(F.col(column), -size * (k + 1)), size))))
 
     def without(word: Column, i: Column) -> Column:
         def key(*instead: Column) -> Column:
@@ -302,10 +309,7 @@ def similar_lines(seen: DataFrame, docs: DataFrame, whole: DataFrame) -> DataFra
         hot = cut(large.unionByName(hot), "line-hot")
         remove(spark, large, halves, divided)
         linked, parts = _linked_in_rounds(hot, texts, parts)
-    near = stray.join(parts, "key").select("block", *_as("a"))
-    others = members.select("block", "key").join(sizes.select("block"), "block").join(parts, "key").select("block", *_as("b"))
-    rest = near.join(others, "block").where((F.col("a_part") != F.col("b_part")) & _near())
-    rest = cut(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-rest-pairs")
+    rest = cut(_meetings(members.join(sizes.select("block"), "block").select("block", "key"), stray, parts), "line-rest-pairs")
     more = _verified(rest, texts, "line-rest")
     edges = star.where("alike").select("a", "b").unionByName(more.where("alike").select("a", "b"))
     for links in linked:
@@ -315,6 +319,23 @@ def similar_lines(seen: DataFrame, docs: DataFrame, whole: DataFrame) -> DataFra
     return edges
 
 
+def _meetings(members: DataFrame, stray: DataFrame, parts: DataFrame) -> DataFrame:
+    """(a, b) of lines near each other and of other groups, one of them a stray of a block that has both.
+
+    A pair is made once, in the smallest such block, however many blocks it shares.
+    """
+    told = members.withColumn("_stray", F.lit(False)).unionByName(stray.select("block", "key").withColumn("_stray", F.lit(True)))
+    of = told.groupBy("key").agg(F.collect_set(F.when(~F.col("_stray"), F.col("block"))).alias("all"), F.collect_set(F.when(F.col("_stray"), F.col("block"))).alias("strays"))
+    rows = of.join(parts, "key")
+    one = rows.select(F.explode("strays").alias("block"), *_as("a"), F.col("all").alias("a_all"), F.col("strays").alias("a_strays"))
+    other = rows.select(F.explode("all").alias("block"), *_as("b"), F.col("all").alias("b_all"), F.col("strays").alias("b_strays"))
+    # both strays of the block: one order only
+    order = (F.col("a") < F.col("b")) | ~F.array_contains("b_strays", F.col("block"))
+    first = F.least(F.array_min(F.array_intersect("a_strays", "b_all")), F.array_min(F.array_intersect("a_all", "b_strays")))
+    met = one.join(other.withColumnRenamed("block", "_block"), (F.col("block") == F.col("_block")) & (F.col("a_part") != F.col("b_part")) & order & _near() & (F.col("block") == first))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def _linked_in_rounds(hot: DataFrame, texts: DataFrame, parts: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     """(a, b, alike) of each round, and ``parts`` by then; ``hot`` and ``parts`` are removed.
 

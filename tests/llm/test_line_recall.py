@@ -60,3 +60,16 @@ def test_groups_of_a_large_block_are_joined_before_their_lines_meet(spark, monke
     got = {x.doc_id for x in line_dedup.line_report(docs).where("n_removed > 0").collect()}
     assert got == set(range(3, 3 * copies))
     assert sum(sizes) < 10 * len(lines)  # all pairs of two families are 1,560
+
+
+def test_strays_that_share_many_blocks_meet_once(spark):
+    r = random.Random(11)
+    keys = list(range(40))
+    blocks = {b: r.sample(keys, 25) for b in range(6)}
+    strays = {b: set(r.sample(x, 15)) for b, x in blocks.items()}
+    members = spark.createDataFrame([(b, k) for b, x in blocks.items() for k in x], "block long, key long")
+    stray = spark.createDataFrame([(b, k) for b, x in strays.items() for k in x], "block long, key long")
+    parts = spark.createDataFrame([(k, 50, 9, 0, k // 2) for k in keys], "key long, n int, words int, s long, part long")
+    want = {(a, b) for x, y in blocks.items() for a in y for b in y if a < b and a // 2 != b // 2 and (a in strays[x] or b in strays[x])}
+    got = [(p.a, p.b) for p in line_dedup._meetings(members, stray, parts).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
