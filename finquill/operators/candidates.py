@@ -1,10 +1,10 @@
 """From pages to candidate rows: page, table and line work of a document as one operator.
 
-``parse`` reads a page's markup in Arrow batches, once: its result is written, since tables, lines and
-years are read from it by different paths.  All else are expressions over the page's own
-arrays; pages are dealt over the cores, and nothing else is shuffled but tables to their document's years
-and the sections of prose lines (a window over one page).  A page stands alone: its statement, notes and section
-begin anew.  Pages that are rejected or show no statement give no rows.
+``page_facts`` reads what a page's markup says by itself in Arrow batches, once: its result is written, since
+tables, lines and years are read from it by different paths.  All else are expressions over a table, a row or a
+line; pages are dealt over the cores, and nothing else is shuffled but tables to their document's years.
+A page stands alone: its statement, notes and section begin anew.  Pages that are rejected or show no
+statement give no rows.
 
 Null and empty texts give no rows and count as pages; tables without rows, header rows, rows without
 a label and labels that can't be values are left out; repeated pages give repeated rows.
@@ -12,132 +12,66 @@ a label and labels that can't be values are left out; repeated pages give repeat
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from finquill.functions.markup import labels_in, page_markup, page_parts
-from finquill.functions.scalars import numeric_tokens
+from finquill.functions.markup import page_markup
 from finquill.operators import pages as paging
-from finquill.operators.text import REJECTED_PAGES, STATEMENT_WORDS, is_rejected_page
+from finquill.operators.page_facts import with_facts
+from finquill.operators.text import is_rejected_page
 from finquill.sources.steps import written
 
-#: Words of which ``parse`` needs the hits: of page types, of statements, and of pages to be rejected and kept.
-_WORDS = [*paging.TYPE_WORDS, *(words for _, words in paging.STATEMENT_HINTS), REJECTED_PAGES, STATEMENT_WORDS]
-HEADER_ROWS = 3
-# Words of label columns, cells that stand for nothing, and how a line ends in amounts.
-LABEL_WORDS = ("particular", "asset", "liabilit", "equity", "description")
-EMPTY_CELLS = ("", "=", "·", "二", "。", "nil", "n.a.", "na")
-_NOTE_CELL = r"(?i)^(?:Note\s*(?:No\.?)?\s*)?\d{1,3}$"
-_LABEL = r"""(?U)^([A-Za-z][\w\s&\(\)'"/,.-]{3,}?)"""
+# How lines end in amounts.
+_LABEL = r"""^([A-Za-z][\w\s&\(\)'"/,.-]{3,}?)"""
 _AMOUNT = r"\s+([\d,]+\.?\d*|\(\d[\d,]*\.?\d*\)|-)"
 COLUMNS = ("doc", "page", "kind", "table_no", "row_no", "item_no", "label", "context_path", "source_statement", "note_number", "current_value", "previous_value", "evidence")
 
 
-def _first(rows: Column) -> Column:
-    return F.slice(rows, 1, HEADER_ROWS)
+def with_roles(tables: DataFrame) -> DataFrame:
+    """current_col, previous_col, label_col and note_col (-1: none) of each table by the votes of its header.
 
-
-def _head(rows: Column) -> Column:
-    """The header's cells in order, each with its column, its text in lower case and the numbers that are words of it."""
-
-    def cell(c: Column, j: Column) -> Column:
-        low = F.lower(c)
-        return F.struct(j.alias("j"), low.alias("low"), F.regexp_extract_all(low, F.lit(r"\b(\d+)\b"), F.lit(1)).alias("numbers"))
-
-    return F.flatten(F.transform(_first(rows), lambda r: F.transform(r, cell)))
-
-
-def _votes(head: Column, wanted: Callable[[Column], Column]) -> Column:
-    """Columns of the header's cells that are wanted, as often as they are."""
-    return F.filter(head, wanted)["j"]
-
-
-def _winner(votes: Column) -> Column:
-    """The most frequent vote, of equal ones the first; null without votes."""
-    counted = F.transform(F.array_distinct(votes), lambda v: F.struct(F.size(F.filter(votes, lambda x: x == v)).alias("n"), (-F.array_position(votes, v)).alias("p"), v.alias("v")))
-    return F.array_max(counted)["v"]
-
-
-def _names_year(cell: Column, year: Column) -> Column:
-    four = year.cast("string")
-    return F.array_contains(cell["numbers"], four) | F.array_contains(cell["numbers"], F.substring(four, 3, 2)) | (cell["low"].contains("31st march") & F.contains(cell["low"], four))
-
-
-def with_roles(tables: DataFrame, rows: str, current: Column, previous: Column) -> DataFrame:
-    """current_col, previous_col, label_col and note_col (-1: none) of each table (an array of rows of cells).
-
-    Cells of the header vote; the most votes win, of equal ones the first.  Where the years
-    aren't known, the first year seen names the current column and the years of other columns
+    Where the years aren't known, the first year seen names the current column and the years of other columns
     vote for the previous one.  Without a voted label column it is the one with most letters below the header.
     """
-    r = F.col(rows)
-    # a generator's output isn't written out again in every vote
-    tables = tables.select("*", F.explode(F.array(_head(r))).alias("__head"))
-    head = F.col("__head")
-    years = F.flatten(F.transform(head, lambda c: F.transform(F.filter(c["numbers"], lambda y: y.rlike(r"^20\d{2}$")), lambda _: c["j"])))
-    none = F.array().cast("array<int>")
-    known = current.isNotNull() & previous.isNotNull()
-    out = tables.withColumns({
-        "__cur": F.when(known, _votes(head, lambda c: _names_year(c, current))).otherwise(F.slice(years, 1, 1)),
-        "__prev": F.when(known, _votes(head, lambda c: _names_year(c, previous))).otherwise(F.filter(years, lambda j: j != F.get(years, 0))),
-        "__lab": _votes(head, lambda c: reduce(or_, [c["low"].contains(w) for w in LABEL_WORDS])),
-        "__note": _votes(head, lambda c: c["low"].contains("note")),
-        "__width": F.size(F.get(r, 0)),
-    })
-    voted = F.struct(*(_winner(F.coalesce(c, none)).alias(f"{c}_col") for c in ("__cur", "__prev", "__lab", "__note")))
-    out = out.select("*", F.inline(F.array(voted))).withColumns({"__cur": F.coalesce("__cur_col", F.lit(1)), "__prev": F.coalesce("__prev_col", F.lit(2))})
-    below = F.slice(r, HEADER_ROWS + 1, F.greatest(F.size(r) - HEADER_ROWS, F.lit(0)))
-
-    def letters(j: Column) -> Column:
-        return F.aggregate(below, F.lit(0), lambda n, row: n + F.coalesce(F.char_length(F.regexp_replace(F.get(row, j), r"[^\p{L}]", "")), F.lit(0)))
-
-    free = F.filter(F.sequence(F.lit(0), F.greatest(F.col("__width") - 1, F.lit(0))), lambda j: (j != F.col("__cur")) & (j != F.col("__prev")))
-    most = F.coalesce(F.array_max(F.transform(free, lambda j: F.struct(letters(j).alias("n"), (-j).alias("j"))))["j"], F.lit(0))
-    width = F.col("__width")
-    out = out.withColumns({
-        "label_col": F.coalesce("__lab_col", -most),
-        "note_col": F.coalesce("__note_col", F.lit(-1)),
-        "current_col": F.when(F.col("__cur") < width, F.col("__cur")).otherwise(F.when(width > 1, 1).otherwise(0)),
-        "previous_col": F.when(F.col("__prev") < width, F.col("__prev")).otherwise(F.when(width > 2, 2).otherwise(-1)),
-    })
-    return out.drop("__head", "__width", *(f"{c}{x}" for c in ("__cur", "__prev", "__lab", "__note") for x in ("", "_col")))
-
+    known, width = F.col("current").isNotNull() & F.col("previous").isNotNull(), F.col("width")
 
-def cell_amounts(cell: Column) -> Column:
-    """Amounts and dashes of a cell; none in a cell that stands for nothing."""
-    return F.when(F.trim(cell).isin(*EMPTY_CELLS), F.array().cast("array<string>")).otherwise(numeric_tokens(cell))
+    def named(year: str, unknown: str, default: int) -> Column:
+        return F.coalesce(F.when(known, F.get("named_cols", F.array_position("named", F.col(year)).cast("int") - 1)).otherwise(F.col(unknown)), F.lit(default))
 
-
-def _values(cells: Column, inherited: Column, jammed: Column) -> Column:
-    """(column, amounts) of a row's own cells with amounts; notes' numbers and the label aside."""
-    each = F.transform(cells, lambda c, j: F.struct(j.alias("c"), F.when(c.rlike(_NOTE_CELL), F.lit(None)).otherwise(cell_amounts(c)).alias("v"), F.get(inherited, j).alias("i")))
-    return F.filter(each, lambda x: ~x["i"] & (x["c"] != F.col("note_col")) & ((x["c"] != F.col("label_col")) | jammed) & (F.size(F.coalesce(x["v"], F.array().cast("array<string>"))) > 0))
+    out = tables.withColumns({"__cur": named("current", "first_col", 1), "__prev": named("previous", "other_col", 2)})
+    counted = F.transform("letters", lambda n, j: F.struct(n.alias("n"), (-j).alias("j")))
+    most = F.array_max(F.filter(counted, lambda x: (-x["j"] != F.col("__cur")) & (-x["j"] != F.col("__prev"))))["j"]
+    return out.withColumns({
+        "label_col": F.coalesce("voted_label", -most, F.lit(0)),
+        "current_col": F.when(F.col("__cur") < width, F.col("__cur")).otherwise(F.when(width > 1, 1).otherwise(0)),
+        "previous_col": F.when(F.col("__prev") < width, F.col("__prev")).otherwise(F.when(width > 2, 2).otherwise(-1)),
+    }).drop("__cur", "__prev", "width", "named", "named_cols", "first_col", "other_col", "voted_label", "letters", "current", "previous")
 
 
 def _by_column(values: Column) -> Column:
     """Current and previous amounts of a row: by the columns' roles, other columns by their order."""
-    none = F.array().cast("array<string>")
-    start = F.struct(none.alias("cur"), none.alias("prev"))
+    start = F.struct(F.lit("").alias("cur"), F.lit("").alias("prev"))
     in_order = F.col("current_col") < F.col("previous_col")
 
+    def more(a: Column, b: Column) -> Column:
+        return F.when(a == "", b).otherwise(F.concat(a, F.lit(" "), b))
+
     def step(s: Column, x: Column) -> Column:
-        no_cur, no_prev = F.size(s["cur"]) == 0, F.size(s["prev"]) == 0
+        no_cur, no_prev = s["cur"] == "", s["prev"] == ""
         other = (x["c"] != F.col("current_col")) & (x["c"] != F.col("previous_col"))
         to_cur = (x["c"] == F.col("current_col")) | (other & no_cur & (in_order | ~no_prev))
-        to_prev = ~to_cur & ((x["c"] == F.col("previous_col")) | (other & no_prev & (~in_order | ~no_cur)))
-        return F.struct(F.when(to_cur, F.concat(s["cur"], x["v"])).otherwise(s["cur"]).alias("cur"), F.when(to_prev, F.concat(s["prev"], x["v"])).otherwise(s["prev"]).alias("prev"))
+        to_prev = (x["c"] == F.col("previous_col")) | (other & no_prev & (~in_order | ~no_cur))
+        cur, prev = s["cur"].alias("cur"), s["prev"].alias("prev")
+        return F.when(to_cur, F.struct(more(s["cur"], x["v"]).alias("cur"), prev)).when(to_prev, F.struct(cur, more(s["prev"], x["v"]).alias("prev"))).otherwise(s)
 
     return F.aggregate(values, start, step)
 
 
 def _by_order(values: Column) -> Column:
     """Current and previous amounts under jammed labels: the first two cells with amounts, in the columns' order."""
-    none = F.array().cast("array<string>")
+    none = F.lit("")
     first, second = F.get(values, 0), F.get(values, 1)
     in_order = (F.col("current_col") < F.col("previous_col")) | (F.col("previous_col") == -1)
     two = F.when(in_order, F.struct(first["v"].alias("cur"), second["v"].alias("prev"))).otherwise(F.struct(second["v"].alias("cur"), first["v"].alias("prev")))
@@ -145,6 +79,11 @@ def _by_order(values: Column) -> Column:
     return F.when(F.size(values) >= 2, two).when(F.size(values) == 1, one).otherwise(F.struct(none.alias("cur"), none.alias("prev")))
 
 
+def _amounts(joined: str) -> Column:
+    """Amounts that are joined by spaces."""
+    return F.when(F.col(joined) == "", F.array().cast("array<string>")).otherwise(F.split(joined, " "))
+
+
 def _path(statement: Column, section: Column, label: Column) -> Column:
     """Statement, section and label, joined; a label that is there already isn't repeated."""
     above = F.array_compact(F.array(F.nullif(statement, F.lit("")), section))
@@ -152,85 +91,73 @@ def _path(statement: Column, section: Column, label: Column) -> Column:
 
 
 def _shaped(rows: DataFrame) -> DataFrame:
-    """Candidates of statements and notes that can be values: the rules of ``pages.is_rejected_candidate``, one pattern a text."""
-    low, ev, ctx = (F.lower(F.trim(F.coalesce(c, F.lit("")))) for c in ("label", "evidence", "context_path"))
-    words, edges = "|".join(map(re.escape, paging.REJECT_WORDS)), "|".join(paging.HEADER_FOOTER)
-    bad = ~low.rlike(r"\p{L}") | low.rlike(f"{edges}|{words}") | ev.rlike(f"{edges}|{words}") | ctx.rlike(words)
+    """Candidates of statements and notes that can be values: the rules of ``pages.is_rejected_candidate``.
+
+    Statements and evidence were judged with the page.  A label is part of its evidence or a known one, and a context path
+    has else only fixed words, so only what begins a label is left to be judged.
+    """
+    label = F.lower(F.trim(F.coalesce("label", F.lit(""))))
+    bad = ~label.rlike(r"\p{L}") | label.rlike("|".join(p for p in paging.HEADER_FOOTER if p[0] == "^"))
     return rows.where(~bad).select(*COLUMNS)
 
 
 def parse(pages: DataFrame) -> DataFrame:
-    """Pages (doc, page, text) with the years that they name and their parts, whether they are rejected, and source_statement."""
+    """Pages (doc, page, text) with the facts of ``page_facts``."""
     # few bytes take long here, so pages are dealt over all cores, whatever files they lie in
-    rows = pages.select("doc", "page", "text").repartition("doc", "page").withColumn("years", paging.years_in(F.col("text")))
-    parts = page_parts(rows, words=_WORDS)
-    n, at, types = F.col("hits"), len(paging.TYPE_WORDS), F.col("__types")
-    # a generator's output isn't written out again in every later expression
-    parts = parts.select("*", F.explode(F.array(paging.types_of_hits(n))).alias("__types"))
-    hinted = [n[at + k] > 0 for k in range(len(paging.STATEMENT_HINTS))]
-    statement = F.when(types[0].isin(*paging.MAIN_STATEMENTS), types[0]).when(types[0] == "Notes to Accounts", paging.statement_of(types, hinted)).otherwise("Other")
-    rejected = (n[len(_WORDS) - 2] > 0) & (n[len(_WORDS) - 1] == 0)  # as is_rejected_page has it
-    return parts.withColumns({"rejected": rejected, "source_statement": statement}).drop("__types", "hits")
+    return with_facts(pages.select("doc", "page", "text").repartition("doc", "page"))
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """``parse``, written once for all that reads it; pages that give no rows have no parts (null)."""
-    rows = parse(pages)
-    kept = ~F.col("rejected") & (F.col("source_statement") != "Other")
-    return written(rows.withColumns({c: F.when(kept, F.col(c)) for c in ("tables", "lines", "notes")}), "pages", result=False)
+    """``parse``, written once for all that reads it."""
+    return written(parse(pages), "pages", result=False)
 
 
 def table_candidates(parts: DataFrame) -> DataFrame:
     """Candidates of the tables of pages with ``current`` and ``previous`` end years."""
-    t = F.col("__t")
-    tables = parts.select("doc", "page", "source_statement", "notes", "current", "previous", F.posexplode("tables").alias("table_no", "__t"))
-    before_it = F.filter("notes", lambda n: n["at"] <= t["at"])
-    active = F.array_max(F.transform(before_it, lambda n: F.struct(n["at"].alias("at"))))["at"]
-    note = F.element_at(before_it, -1)["note"]
-    tables = tables.withColumns({"note_number": F.when(active.isNull(), "").otherwise(note), "rows": t["rows"], "inherited": t["inherited"], "jammed": t["jammed"], "jammed_row": t["jammed_row"]}).drop("__t", "notes")
+    tables = parts.select("doc", "page", "source_statement", "current", "previous", F.monotonically_increasing_id().alias("__id"), F.posexplode("tables").alias("table_no", "__t"))
+    tables = with_roles(tables.select("doc", "page", "source_statement", "current", "previous", "__id", "table_no", "__t.*"))
     shared = ["doc", "page", "table_no", "row_no", "source_statement", "note_number", "evidence", "__v"]
 
-    def rows_of(some: DataFrame, jammed: bool, values_of: Callable[[Column], Column]) -> DataFrame:
-        rows = with_roles(some, "rows", F.col("current"), F.col("previous"))
-        rows = rows.select("*", F.posexplode("rows").alias("row_no", "__cells")).where(~paging.is_header_row(F.col("__cells")))
-        values = _values(F.col("__cells"), F.get("inherited", F.col("row_no")), F.lit(jammed))
-        rows = rows.select("*", F.inline(F.array(F.struct(values.alias("__vals"), F.array_join("__cells", " | ").alias("evidence")))))
-        return rows.select("*", F.explode(F.array(values_of(F.col("__vals")))).alias("__v"))
+    def rows_of(some: DataFrame, own: Column, values_of: Callable[[Column], Column]) -> DataFrame:
+        rows = some.select("*", F.explode("rows").alias("__row")).drop("rows").select("*", "__row.*").drop("__row")
+        # a generator's output isn't written out again in every later expression
+        return rows.select("*", F.explode(F.array(values_of(F.filter("amounts", lambda x: (x["c"] != F.col("note_col")) & ((x["c"] != F.col("label_col")) | own))))).alias("__v"))
 
     # tables with jammed labels are few and are told apart before any work on their rows
-    plain = rows_of(tables.where(F.size("jammed") == 0), False, _by_column).select(*shared, labels_in(F.coalesce(F.get("__cells", F.col("label_col")), F.lit(""))).alias("__labels"))
+    plain = rows_of(tables.where(F.size("jammed") == 0), F.lit(False), _by_column).select(*shared, F.split(F.get("labels", F.col("label_col")), "\n").alias("__labels"))
     plain = plain.select(*shared, F.posexplode("__labels").alias("item_no", "label")).withColumn("label", F.trim("label")).where(F.char_length("label") >= 2)
-    plain = plain.withColumns({"current_value": F.get("__v.cur", F.col("item_no")), "previous_value": F.get("__v.prev", F.col("item_no"))})
 
-    below = rows_of(tables.where(F.size("jammed") > 0), True, _by_order).where(F.col("row_no") > F.col("jammed_row"))
-    below = below.withColumn("__n", F.greatest(F.size("__v.cur"), F.size("__v.prev"))).where("__n > 0")
+    below = rows_of(tables.where(F.size("jammed") > 0), F.lit(True), _by_order).where(F.col("row_no") > F.col("jammed_row"))
+    below = below.withColumn("__n", F.greatest(F.size(_amounts("__v.cur")), F.size(_amounts("__v.prev")))).where("__n > 0")
     before = Window.partitionBy("doc", "page", "table_no", "__id").orderBy("row_no").rowsBetween(Window.unboundedPreceding, -1)
-    below = below.withColumn("__id", F.xxhash64("jammed", "rows")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
-    pieces = F.sequence(F.lit(0), F.col("__n") - 1)
-    below = below.select(*shared, "jammed", "__before", F.explode(pieces).alias("item_no")).withColumn("label", F.get("jammed", (F.col("__before") + F.col("item_no")).cast("int"))).where("label is not null")
-    below = below.withColumns({"current_value": F.get("__v.cur", F.col("item_no")), "previous_value": F.get("__v.prev", F.col("item_no"))}).drop("jammed", "__before")
+    below = below.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    below = below.select(*shared, "jammed", "__before", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("item_no"))
+    below = below.select(*shared, "item_no", F.get("jammed", (F.col("__before") + F.col("item_no")).cast("int")).alias("label")).where("label is not null")
 
-    out = plain.unionByName(below).drop("__v").withColumn("kind", F.lit("table"))
+    out = plain.unionByName(below)
+    out = out.withColumns({"kind": F.lit("table"), "current_value": F.get(_amounts("__v.cur"), F.col("item_no")), "previous_value": F.get(_amounts("__v.prev"), F.col("item_no"))})
     return _shaped(out.withColumn("context_path", _path(F.col("source_statement"), F.lit(None).cast("string"), F.col("label"))))
 
 
 def prose_candidates(parts: DataFrame) -> DataFrame:
     """Candidates of the lines outside tables that end in one or two amounts; the section is the one opened last on the page."""
-    note = F.coalesce(F.element_at(F.when(F.size("notes") > 0, F.col("notes")), -1)["note"], F.lit(""))
-    lines = parts.select("doc", "page", "source_statement", note.alias("note_number"), F.monotonically_increasing_id().alias("__id"), "lines")
-    lines = lines.select("*", F.posexplode("lines").alias("__pos", "__l")).select("*", "__l.line_no", "__l.line").where(~paging.is_prose_skipped(F.col("line")))
-    upto = Window.partitionBy("doc", "page", "__id").orderBy("__pos").rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.withColumn("__section", F.last(paging.section_of(F.col("line")), ignorenulls=True).over(upto))
-    two, one = _LABEL + _AMOUNT * 2 + r"\s*$", _LABEL + _AMOUNT + r"\s*$"
-    pair = F.col("line").rlike(two)
-    rows = lines.where(F.col("line").rlike(one))
+    lines = parts.select("doc", "page", "source_statement", "note_number", F.inline("lines"))
+    # a second amount is taken where there is one: no shorter label leaves a single amount then
+    ends = _LABEL + _AMOUNT + f"(?:{_AMOUNT})?" + r"\s*$"
+    plain = F.octet_length("line") == F.char_length("line")
+
+    def of(f: Callable[[str], Column]) -> Column:
+        # classes of all of Unicode are slow and add nothing where the line is ASCII
+        return F.when(plain, f(ends)).otherwise(f(f"(?U){ends}"))
 
     def part(k: int) -> Column:
-        return F.when(pair, F.regexp_extract("line", two, k)).otherwise(F.regexp_extract("line", one, k) if k < 3 else F.lit(None))
+        return of(lambda p: F.regexp_extract("line", p, k))
 
-    rows = rows.select("doc", "page", "source_statement", "note_number", "__section", "line_no", F.col("line").alias("evidence"), F.trim(part(1)).alias("label"), F.nullif(part(2), F.lit("-")).alias("current_value"), F.nullif(part(3), F.lit("-")).alias("previous_value"))
+    rows = lines.where(of(lambda p: F.col("line").rlike(p)))
+    rows = rows.select("doc", "page", "source_statement", "note_number", "section", "line_no", F.col("line").alias("evidence"), F.trim(part(1)).alias("label"), part(2).alias("current_value"), part(3).alias("previous_value"))
+    rows = rows.withColumns({c: F.when(~F.col(c).isin("", "-"), F.col(c)) for c in ("current_value", "previous_value")})
     rows = rows.withColumns({"kind": F.lit("line"), "table_no": F.lit(None).cast("int"), "row_no": F.col("line_no"), "item_no": F.lit(0)})
-    return _shaped(rows.withColumn("context_path", _path(F.col("source_statement"), F.col("__section"), F.col("label"))))
+    return _shaped(rows.withColumn("context_path", _path(F.col("source_statement"), F.col("section"), F.col("label"))))
 
 
 def page_candidates(pages: DataFrame, parts: DataFrame | None = None) -> DataFrame:
@@ -260,9 +187,3 @@ def document_metadata(pages: DataFrame, parts: DataFrame | None = None) -> DataF
     counts = judged.groupBy("doc").agg(F.count("*").alias("pages_processed"), F.count_if("rejected").alias("pages_rejected"))
     named = {c: F.coalesce(c, F.lit("unknown")) for c in ("current_fy", "previous_fy")}
     return counts.join(years.select("doc", "current_fy", "previous_fy"), "doc", "left").withColumns(named).select("doc", "current_fy", "previous_fy", "pages_processed", "pages_rejected")
-
-
-def positioned(candidates: DataFrame) -> DataFrame:
-    """Candidates with ``pos``, their place in the document: by page, tables before lines."""
-    order = Window.partitionBy("doc").orderBy("page", F.desc("kind"), "table_no", "row_no", "item_no", "label")
-    return candidates.withColumn("pos", F.row_number().over(order))

@@ -51,10 +51,13 @@ def entity_terms(base: DataFrame, overlay: DataFrame, entity: str) -> DataFrame:
 def matched(candidates: DataFrame, terms: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """candidates with the fields of which a term is in the label or the label is in a term; only ``pages`` (doc, page) if given."""
     rows = candidates if pages is None else candidates.join(pages.select("doc", "page").distinct(), ["doc", "page"], "left_semi")
-    known = terms.select("field", F.lower("term").alias("__term")).distinct()
-    rows = rows.withColumn("__label", F.lower("label"))
-    fields = both_ways(rows, "__label", known, "__term").join(known, "__term").select("__label", "field").distinct()
-    return rows.join(fields, "__label").drop("__label").distinct()
+    return rows.withColumn("__label", F.lower("label")).join(label_fields(rows, terms, ["field"]), "__label").drop("__label").distinct()
+
+
+def label_fields(candidates: DataFrame, terms: DataFrame, what: list[str]) -> DataFrame:
+    """(__label, what ...) of candidates' labels in lower case with what the terms say that they contain or are in."""
+    known = terms.select(*what, F.lower("term").alias("__term")).distinct()
+    return both_ways(candidates.select(F.lower("label").alias("__label")), "__label", known, "__term").join(known, "__term").select("__label", *what).distinct()
 
 
 def hints(candidates: DataFrame, terms: DataFrame, pages: DataFrame | None = None, limit: int = HINTS) -> DataFrame:

@@ -133,3 +133,47 @@ def test_types_by_hits_are_those_by_text(spark):
     want = F.when(first.isin("Balance Sheet", "Statement of Profit and Loss", "Cash Flow Statement"), first).when(first == "Notes to Accounts", statement_type(types, F.col("text"))).otherwise("Other")
     expected = {r.doc: (r.r, r.s) for r in pages.select("doc", is_rejected_page(F.col("text")).alias("r"), want.alias("s")).collect()}
     assert {r.doc: (r.rejected, r.source_statement) for r in candidates.parse(pages).collect()} == expected
+
+
+def test_fields_are_found_without_sorting_documents(spark):
+    terms = spark.createDataFrame([("payables", "trade payables")], "field string, term string")
+    learned = spark.createDataFrame([("cash", "cash in hand")], "field string, term string")
+    catalogue = spark.createDataFrame([("payables",), ("cash",), ("other",)], "field string")
+    pages = _pages(spark).withColumn("doc", F.when(F.col("doc") > 1, F.col("doc")))
+    fields = extraction.document_fields(pages, terms, catalogue, learned)
+    plan = fields._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("candidates-") <= 1
+    got = {(r.doc, r.field): (r.current, r.previous, r.from_second) for r in fields.collect()}
+    # null documents are one document, in the second pass too
+    assert got[None, "payables"] == (1234.5, 999.0, False) and got[None, "cash"] == (7.0, None, True) and got[None, "other"] == (None, None, False) and len(got) == 9
+    steps.clear(spark)
+
+
+def test_repeated_pages_give_repeated_rows(spark):
+    once = [tuple(r) for r in candidates.page_candidates(_pages(spark)).collect()]
+    twice = [tuple(r) for r in candidates.page_candidates(_pages(spark).unionAll(_pages(spark))).collect()]
+    assert sorted(map(str, once * 2)) == sorted(map(str, twice))
+    steps.clear(spark)
+
+
+def test_facts_are_those_of_the_expressions(spark):
+    from finquill.functions.scalars import numeric_tokens
+    from finquill.operators import page_facts
+    from finquill.operators.pages import is_prose_skipped, section_of, years_in
+
+    rng = random.Random(5)
+    some = ["(1,234.50)", "-", "–5", "12", "1234", "5%", "Note 3", "note no. 12", "nil", "a", "7.5.", "1,", "(3", "", " ", "é", "٣", "x-1", "12 of 40"]
+    cells = [(k, " ".join(rng.choices(some, k=rng.randint(1, 3)))) for k in range(300)]
+    for r in spark.createDataFrame(cells, "k int, c string").withColumn("v", numeric_tokens(F.col("c"))).collect():
+        note, blank = page_facts._NOTE_CELL.fullmatch(r.c), r.c.strip(" ") in page_facts.EMPTY_CELLS
+        assert page_facts.amounts_of(r.c) == ("" if note or blank else " ".join(r.v)), r.c
+    parts = ["Year ended March 31, 2024", "31st mar 2023", "for the year ended on 2009 or 2019", "non-current assets", "Other income", "page 3", "Place: x", "short", "director", "operating  activities", "nothing here", "1,200.50", "(3)", "current liabilities"]
+    lines = [(k, " ".join(rng.choices(parts, k=rng.randint(1, 3)))) for k in range(300)]
+    made = spark.createDataFrame(lines, "k int, c string").select("k", "c", years_in(F.col("c")).alias("y"), (~is_prose_skipped(F.col("c"))).alias("kept"), section_of(F.col("c")).alias("s")).orderBy("k").collect()
+    section, want = None, []
+    for r in made:
+        assert page_facts.years_of(r.c.lower()) == r.y
+        section = r.s if r.kept and r.s else section
+        if r.kept and r.c[-1] in "0123456789.,)-":
+            want.append((r.k, r.c, section))
+    assert want and page_facts.prose_lines(lines) == want
